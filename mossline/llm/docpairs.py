@@ -55,8 +55,13 @@ def stem(word: str) -> str:
     return word[:-1] if len(word) > 3 and word.endswith("s") else word
 
 
+CODE_LINE = re.compile(r"[\w.\[\]\"'* ,]+\s*(?:[-+*/|&%]|//|\*\*)?=\s*[^=\s].*|(?:return|yield|raise|del|assert|await)\s+[\w.]+\(.*\)|[\w.]+\(.*\)|(?:import|from)\s+[\w.]+.*|(?:if|for|while|with|elif|def|class)\b.*:|(?:else|try|finally):|(?:pass|break|continue)")
+
+
 def is_code(lines: list[str]) -> bool:
-    """Whether commented lines are code that was switched off: they parse, and as more than names and numbers."""
+    """Whether commented lines are code that was switched off: they parse, and as more than names and numbers, or all look so."""
+    if lines and all(CODE_LINE.fullmatch(x.strip()) for x in lines):
+        return True
     body = inspect.cleandoc("\n".join(lines)) if lines else ""
     try:
         tree = ast.parse(body)
