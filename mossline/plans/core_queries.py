@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossline.operators import known_at
+from mossline.operators import known_at, log_templates
 from mossline.runtime import table
 
 
@@ -14,6 +14,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known_at.commit_file_versions(table(spark, sf_dir, "commits"), table(spark, sf_dir, "file_versions"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_templates.log_entries(table(spark, sf_dir, "pipeline_log"), table(spark, sf_dir, "log_runs"))
+
+
+def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per mined template: its symbols and how many lines it covers."""
+    found = log_templates.mined_templates(table(spark, sf_dir, "pipeline_log"), "message")
+    return spark.createDataFrame([("".join(t.symbols), t.count) for t in found.values()], "template string, n_lines bigint")
+
+
 P3_FOUND = """
 WITH delivered AS (
   SELECT sha, repo, authored_at, files, row_number() OVER (PARTITION BY sha ORDER BY ingested_at DESC) AS k FROM commits WHERE authored_at IS NOT NULL
@@ -27,5 +37,5 @@ WITH delivered AS (
 SELECT sha, file_path, version_id FROM best WHERE k = 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_templates, p3_found)}
 ORACLES = {"p3_found": P3_FOUND}
