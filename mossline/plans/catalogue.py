@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mossline.plans import core_queries
+from mossline.plans import core_queries, reference_queries
 
-FLAGSHIP = "p3_found"
-QUERIES = core_queries.QUERIES
-ORACLES = core_queries.ORACLES
+FLAGSHIP = "bm25_topk"
+QUERIES = core_queries.QUERIES | reference_queries.QUERIES
+ORACLES = core_queries.ORACLES | reference_queries.ORACLES
