@@ -41,8 +41,7 @@ def test_penalty(value: Column, path: Column, factor: float = 0.5) -> Column:
 
 def whitespace_tokens(text: Column) -> Column:
     """How many tokens blanks separate."""
-    trimmed = F.trim(F.coalesce(text, F.lit("")))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
 
 
 def ancestor_dirs(path: Column) -> Column:
