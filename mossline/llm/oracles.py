@@ -29,7 +29,7 @@ END
 P6_FUSED = f"""
 WITH raw AS (
   SELECT instance_id AS g, lower(trim(retriever)) AS s,
-         regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(file_path), '\\', '/'), '/(\\./|/)+', '/', 'g'), '^(\\.?/)+', ''), '^[ab]/(.)', '\\1'), '^(\\.?/)+', '') AS i,
+         regexp_replace(regexp_replace(replace(trim(file_path), '\\', '/'), '/(\\./|/)+', '/', 'g'), '^([ab]/|(\\.?/)+)', '') AS i,
          CASE WHEN isnan(score) THEN NULL ELSE score END AS score, rank::DOUBLE AS rank
   FROM rankings
 ), once AS (

@@ -166,7 +166,7 @@ def string_only(text: str, strings: list[Str], start: int, end: int) -> str | No
         at = s.end
     rest.append(text[at:end])
     gap = re.sub(r"#[^\r\n]*", "", "\n".join(rest))
-    return "".join(literal(text, s) for s in own) if not gap.strip("() \t\f\r\n\\") else None
+    return "".join(literal(text, s) for s in own) if not gap.strip("();\\ \t\f\r\n") else None
 
 
 def scan(text: str) -> tuple[list[Function], list[Comment]]:

@@ -178,7 +178,7 @@ def kind_of(s: Stats, text: str) -> str:
         return "junk"
     if s.n_lines >= 3 and s.table_share >= 0.75 and s.code_share < 0.6 and s.end_punct_share < 0.5:
         return "table"
-    if s.top_ngram_share > 0.6 or (s.n_chars > 200 and s.duplicate_sentence_share > 0.6):
+    if (s.top_ngram_share > 0.6 and s.bullet_share < 0.5) or (s.n_chars > 200 and s.duplicate_sentence_share > 0.6):
         return "junk"
     if spaced and s.single_letter_share > 0.6 and s.n_words > 10:
         return "junk"

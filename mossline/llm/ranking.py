@@ -35,11 +35,9 @@ def inverse_normal(p: Column) -> Column:
 
 
 def root_relative(path: Column) -> Column:
-    """A path as spelled from the root of its repository: forward slashes, no blanks around, no ./, / or a/ and b/ before."""
-    p = F.translate(F.trim(path), "\\", "/")
-    p = F.regexp_replace(p, "/(\\./|/)+", "/")
-    p = F.regexp_replace(p, "^(\\.?/)+", "")
-    return F.regexp_replace(F.regexp_replace(p, "^[ab]/(?=.)", ""), "^(\\.?/)+", "")
+    """A path as spelled from the root of its repository: forward slashes, no blanks around, no ./ or / before, nor a diff's a/ or b/."""
+    p = F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/(\\./|/)+", "/")
+    return F.regexp_replace(p, "^([ab]/(?=.)|(\\.?/)+)", "")
 
 
 def list_values(rankings: DataFrame, *, group: str, source: str, item: str, score: str, rank: str, weights: dict[str, float]) -> DataFrame:
