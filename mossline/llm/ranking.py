@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mossline.operators.prefix import group_ranks
+from mossline.runtime import cut
 
 #: The published coefficients of Acklam's rational approximation of the inverse normal distribution.
 CENTRE_NUM = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
@@ -40,24 +41,45 @@ def root_relative(path: Column) -> Column:
     return F.regexp_replace(p, "^([ab]/(?=.)|(\\.?/)+)", "")
 
 
-def list_values(rankings: DataFrame, *, group: str, source: str, item: str, score: str, rank: str, weights: dict[str, float]) -> DataFrame:
-    """_g, _s, _i, _v: one row per group, list and item with the value that orders the list, larger first.
+#: A group of more rows than this is not gathered in one task.
+HOT_ROWS = 2_000_000
 
-    A list whose items all have a score is ordered by score, one whose items all have a rank by rank, any other by score
-    where present and otherwise by rank after all scored items. Of an item that a list has twice the better place counts.
-    """
-    rows = rankings.select(
-        F.col(group).alias("_g"), F.lower(F.trim(F.col(source))).alias("_s"), F.col(item).alias("_i"),
-        F.when(~F.isnan(F.col(score)), F.col(score).cast("double")).alias("_score"), F.col(rank).cast("double").alias("_rank"),
-    ).filter(F.col("_g").isNotNull() & (F.col("_i") != "") & F.col("_s").isin(*weights) & F.coalesce("_score", "_rank").isNotNull())
-    once = rows.groupBy("_g", "_s", "_i").agg(F.max("_score").alias("_score"), F.min("_rank").alias("_rank"))
-    lists = once.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_n"), F.count("_score").alias("_ns"), F.count("_rank").alias("_nr"), F.min("_score").alias("_low"))
-    value = (
-        F.when(F.col("_ns") == F.col("_n"), F.col("_score"))
-        .when(F.col("_nr") == F.col("_n"), -F.col("_rank"))
-        .otherwise(F.coalesce(F.col("_score"), F.coalesce(F.col("_low"), F.lit(0.0)) - 1.0 - F.abs("_rank")))
+
+def ordering_value(n: Column, n_scores: Column, n_ranks: Column, low: Column) -> Column:
+    """What orders a list, larger first: scores if all its items have one, ranks if all have one, else scores and below them ranks."""
+    return (
+        F.when(n_scores == n, F.col("_score")).when(n_ranks == n, -F.col("_rank"))
+        .otherwise(F.coalesce(F.col("_score"), F.coalesce(low, F.lit(0.0)) - 1.0 - F.abs("_rank")))
+    )
+
+
+def bounded(value: Column) -> Column:
+    return F.greatest(F.least(value, F.lit(1.7e308)), F.lit(-1.7e308))
+
+
+def gathered_items(once: DataFrame) -> DataFrame:
+    """_g, _i, _in, _lists, n_items of groups that fit one task: rows are brought together by group once, all else is local to it."""
+    lists, group = Window.partitionBy("_g", "_s"), Window.partitionBy("_g")
+    valued = (
+        once.withColumn("_n", F.count(F.lit(1)).over(lists))
+        .withColumn("_v", bounded(ordering_value(F.col("_n"), F.count("_score").over(lists), F.count("_rank").over(lists), F.min("_score").over(lists))))
+        .withColumn("n_below", F.rank().over(lists.orderBy("_v")).cast("long") - 1)
+        .withColumn("n_ties", F.count(F.lit(1)).over(Window.partitionBy("_g", "_s", "_v")))
+        .withColumn("_lists", F.sort_array(F.collect_set(F.struct("_s", "_n")).over(group)))
     )
-    return once.join(lists, ["_g", "_s"]).select("_g", "_s", "_i", value.alias("_v"))
+    items = valued.groupBy("_g", "_i").agg(F.sort_array(F.collect_list(F.struct("_s", "n_below", "n_ties", F.col("_n").alias("n_group")))).alias("_in"), F.first("_lists").alias("_lists"))
+    return items.withColumn("n_items", F.count(F.lit(1)).over(group))
+
+
+def spread_items(once: DataFrame) -> DataFrame:
+    """The same of groups of any size: ranks come from blocks of values, no task sees a whole group."""
+    sizes = once.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_n"), F.count("_score").alias("_ns"), F.count("_rank").alias("_nr"), F.min("_score").alias("_low"))
+    valued = once.join(sizes, ["_g", "_s"]).select("_g", "_s", "_i", bounded(ordering_value(F.col("_n"), F.col("_ns"), F.col("_nr"), F.col("_low"))).alias("_v"))
+    ranks = group_ranks(valued, ["_g", "_s"], "_v")
+    items = valued.join(ranks, ["_g", "_s", "_v"]).groupBy("_g", "_i").agg(F.sort_array(F.collect_list(F.struct("_s", "n_below", "n_ties", "n_group"))).alias("_in"))
+    lists = sizes.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_s", "_n"))).alias("_lists"))
+    groups = items.groupBy("_g").agg(F.count(F.lit(1)).alias("n_items")).join(lists, "_g")
+    return items.join(groups, "_g").select("_g", "_i", "_in", "_lists", "n_items")
 
 
 def fused_scores(
@@ -69,39 +91,43 @@ def fused_scores(
     item: str = "file_path",
     score: str = "score",
     rank: str = "rank",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """group, item, fused DOUBLE, n_lists INT, n_items BIGINT: one row per group and item of any of its lists.
 
     Each list of a group gives every item of the group a percentile among all items of the group, ties averaged; items
     that a list lacks tie below all that it has, so a short list and a long one spread alike. Percentiles go through the
     inverse normal distribution; fused is the mean over the group's lists by `weights`. A list that is missing from a
-    group takes no part in it. Rows without group, item, or both rank and score, and lists without a weight are ignored.
+    group takes no part in it. A list whose items all have a score is ordered by score, one whose items all have a rank by
+    rank, any other by score where present and otherwise by rank after all scored items; of an item that a list has twice
+    the better place counts. Rows without group, item, or both rank and score, and lists without a weight are ignored.
     Infinite scores order as such. Item text is used as given; `root_relative` normalises paths.
     """
     weights = {k.lower(): float(w) for k, w in weights.items()}
-    values = list_values(rankings, group=group, source=source, item=item, score=score, rank=rank, weights=weights)
-    finite = F.greatest(F.least(F.col("_v"), F.lit(1.7e308)), F.lit(-1.7e308))
-    values = values.withColumn("_v", finite)
-    ranks = group_ranks(values, ["_g", "_s"], "_v")
-    items = values.join(ranks, ["_g", "_s", "_v"]).groupBy("_g", "_i").agg(F.sort_array(F.collect_list(F.struct("_s", "n_below", "n_ties", "n_group"))).alias("_in"))
+    rows = rankings.select(
+        F.col(group).alias("_g"), F.lower(F.trim(F.col(source))).alias("_s"), F.col(item).alias("_i"),
+        F.when(~F.isnan(F.col(score)), F.col(score).cast("double")).alias("_score"), F.col(rank).cast("double").alias("_rank"),
+    ).filter(F.col("_g").isNotNull() & (F.col("_i") != "") & F.col("_s").isin(*weights) & F.coalesce("_score", "_rank").isNotNull())
+    best = [F.max("_score").alias("_score"), F.min("_rank").alias("_rank")]
+    hot = cut(rows.groupBy("_g").count().filter(F.col("count") > hot_rows).select("_g"))
+    if hot.isEmpty():
+        items = gathered_items(rows.repartition("_g").groupBy("_g", "_s", "_i").agg(*best))
+    else:
+        usual = gathered_items(rows.join(hot, "_g", "left_anti").repartition("_g").groupBy("_g", "_s", "_i").agg(*best))
+        items = usual.unionByName(spread_items(rows.join(hot, "_g", "left_semi").groupBy("_g", "_s", "_i").agg(*best)))
     weight = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
-    lists = values.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_n")).groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_s", "_n"))).alias("_lists"))
-    groups = items.groupBy("_g").agg(F.count(F.lit(1)).alias("n_items")).join(lists, "_g")
+    n = F.col("n_items")
 
-    def z(p_rank: Column, n: Column) -> Column:
+    def z(p_rank: Column) -> Column:
         return inverse_normal(p_rank / n.cast("double"))
 
-    n = F.col("n_items")
     found = F.aggregate(
         F.col("_in"), F.lit(0.0),
-        lambda total, x: total + weight[x["_s"]] * (z((n - x["n_group"] + x["n_below"]).cast("double") + x["n_ties"] / 2.0, n) - absent(n - x["n_group"], n)),
+        lambda total, x: total + weight[x["_s"]] * (z((n - x["n_group"] + x["n_below"]).cast("double") + x["n_ties"] / 2.0) - absent(n - x["n_group"], n)),
     )
     floor = F.aggregate(F.col("_lists"), F.lit(0.0), lambda total, x: total + weight[x["_s"]] * absent(n - x["_n"], n))
     total = F.aggregate(F.col("_lists"), F.lit(0.0), lambda total, x: total + weight[x["_s"]])
-    return (
-        items.join(groups, "_g")
-        .select(F.col("_g").alias(group), F.col("_i").alias(item), F.round((found + floor) / total, 9).alias("fused"), F.size("_in").alias("n_lists"), n)
-    )
+    return items.select(F.col("_g").alias(group), F.col("_i").alias(item), F.round((found + floor) / total, 9).alias("fused"), F.size("_in").alias("n_lists"), n)
 
 
 def absent(missing: Column, n: Column) -> Column:

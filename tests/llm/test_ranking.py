@@ -9,8 +9,8 @@ SCHEMA = "instance_id string, retriever string, rank int, file_path string, scor
 EQUAL = {"bm25": 1.0, "dense": 1.0, "llm": 1.0}
 
 
-def fused(spark, rows, weights=EQUAL):
-    return R.fused_scores(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA), weights)
+def fused(spark, rows, weights=EQUAL, **options):
+    return R.fused_scores(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA), weights, **options)
 
 
 def plain(rows, weights):
@@ -67,6 +67,9 @@ def test_random_lists_against_a_plain_version(spark):
     got = {(r.instance_id, r.file_path): r.fused for r in fused(spark, rows, weights).collect()}
     exact = plain(rows, weights)
     assert got.keys() == exact.keys() and all(abs(got[k] - exact[k]) < 1e-6 for k in exact)
+    for hot_rows in (0, 25):
+        spread = {(r.instance_id, r.file_path): r.fused for r in fused(spark, rows, weights, hot_rows=hot_rows).collect()}
+        assert spread == got
 
 
 def test_a_wide_range_does_not_dominate(spark):
