@@ -15,6 +15,7 @@ LINE = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
 MARK = re.compile(r"\s*(?:[-*+•‣⁃▪▫○●◦∙·‐-―→➤✓✔✗☐-☒]\s+|(?:[-*+]\s+)?\[[ xX✓]?\]\s+|\(?(?:\d{1,4}|[A-Za-z]|[ivxIVX]{1,6})[.):]\s+|#\d+[.:)]?\s+|\d{1,3}(?:\.\d{1,3})+\.?\s+|\(?[a-z]\)\s+)\S")
 SENTENCE_END = re.compile(r"[.!?…。！？؟।][\"'”’»)\]`]*\s*$")
 SENTENCE_IN = re.compile(r"(?<=[^\W\d_][\w`)'\"\]])[.!?؟।][\"'”’)`]*(?:\s+[^\Wa-z\d_]|$)|[。！？]")
+AFTER_NUMBER = re.compile(r"\d\.(?:\s+[^\Wa-z\d_]|\s*$)")
 SENTENCE_BREAK = re.compile(r"(?<=[.!?。！？؟।])\s+|(?<=[。！？])")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CODE_LINE = re.compile(
@@ -24,11 +25,10 @@ CODE_LINE = re.compile(
 )
 CODE_OPENING = re.compile(r"^\s*(?:(?:async\s+)?def\s+\w+\s*\(|class\s+\w+.*:\s*$|import\s+[\w.]+|from\s+[\w.]+\s+import\s|@\w+|#!/|(?:public|private|static)\s|function\s+\w+\s*\(|#include)", re.M)
 HEX_LINE = re.compile(r"\s*(?:[0-9a-fA-F]{4,16}:?\s+)?(?:[0-9a-fA-F]{2,4}\s+){6,}.*$|\s*(?:\\x[0-9a-fA-F]{2}|0x[0-9a-fA-F]{2},?\s*){6,}.*$")
-FURNITURE = re.compile(
-    r"\s*(?:[-=<|~— ]*(?:page|seite|página|pag|p\.)\s*[-#]?\d+(?:\s*(?:/|of|von|de|sur)\s*\d+)?[-=>|~— ]*|[-–—]\s*\d+\s*[-–—]|.*[\[(|][#=>.█░▒ -]{5,}[\])|].*|.*\b\d{1,3}\s?%.*(?:\d+(?:\.\d+)?\s?(?:it|[kMG]i?B|B)/s|eta|[#=█]{3,}|\||\d+/\d+).*|(?:downloading|uploading|processing|loading|progress|fetching)\b.*\d+\s?%.*|"
-    r".*(?:<<|«)?\s*\b(?:prev(?:ious)?|zurück)\b.*\|.*\b(?:next|weiter)\b.*|.*\b(?:cookies?|log ?in|sign ?up|subscribe|copyright|all rights reserved|skip to content|back to top|share this|terms of (?:use|service)|privacy policy)\b.{0,60})\s*$",
-    re.I,
-)
+PAGE = re.compile(r"[-=<|~—\s]*(?:page|seite|página|pag|p\.)\s*[-#]?\d+(?:\s*(?:/|of|von|de|sur)\s*\d+)?[-=>|~—\s]*$|\s*[-–—]\s*\d+\s*[-–—]\s*$", re.I)
+PROGRESS = re.compile(r"[\[(|][#=>.█░▒ -]{5,}[\])|]|\d\s?%.*(?:\d\s?(?:it|[kMG]i?B|B)/s|eta|[#=█]{3}|\||\d/\d)|(?:downloading|uploading|processing|loading|progress|fetching)\b.*\d\s?%", re.I)
+# What links and notices around a page's text say.
+NOTICES = ("cookie", "log in", "login", "sign up", "signup", "subscribe", "all rights reserved", "skip to content", "back to top", "share this", "copy link", "terms of use", "terms of service", "privacy policy", "copyright", "prev |", "| next", "« prev", "next »")
 MOJIBAKE = re.compile(r"[ÂÃÅÐÑâãïð][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]|�|ï¿½")
 IN_WORD_NOISE = re.compile(r"[^\W\d_][\\^%$~#*@|\[\];{}<>+=?!&]+(?=[^\W\d_])")
 RUN = re.compile(r"(\S)\1{39,}")
@@ -86,6 +86,28 @@ WHOLE = {"n_chars", "n_words", "n_lines", "longest_word"}
 COLUMNS = [(name, "bigint" if name in WHOLE else "double") for name in Stats._fields]
 
 
+def is_furniture(line: str) -> bool:
+    """Whether a line is a page number, a progress bar, or links and notices around a text."""
+    n = len(line)
+    if n > 160:
+        return False
+    if "%" in line and PROGRESS.search(line):
+        return True
+    if n <= 40 and PAGE.match(line):
+        return True
+    if n > 90:
+        return False
+    lower = line.lower()
+    return any(x in lower for x in NOTICES)
+
+
+def is_sentence(line: str) -> bool:
+    """Whether a line has the end of a sentence in it; a number before the stop counts unless it numbers the line."""
+    if SENTENCE_IN.search(line):
+        return True
+    return "." in line and AFTER_NUMBER.search(line) is not None and not MARK.match(line)
+
+
 def table_share(lines: list[str]) -> float:
     """The largest share of the lines that are rows with the same number of cells in one notation, apart from rules."""
     rows = [x for x in lines if not RULE_LINE.match(x)]
@@ -141,7 +163,7 @@ def statistics(text: str) -> Stats:
         n_lines=len(lines),
         mean_line_len=sum(len(x.strip()) for x in lines) / k,
         end_punct_share=sum(bool(SENTENCE_END.search(x)) for x in lines) / k,
-        sentence_share=sum(bool(SENTENCE_IN.search(x)) for x in lines) / k,
+        sentence_share=sum(map(is_sentence, lines)) / k,
         bullet_share=sum(bool(MARK.match(x)) for x in lines) / k,
         short_share=sum(len(x.strip()) <= 100 for x in lines) / k,
         code_share=sum(bool(CODE_LINE.match(x)) for x in lines) / k,
@@ -158,7 +180,7 @@ def statistics(text: str) -> Stats:
         mojibake_share=len(MOJIBAKE.findall(text)) / visible,
         noise_share=len(IN_WORD_NOISE.findall(text)) / max(1, len(tokens)),
         hex_share=sum(bool(HEX_LINE.match(x)) for x in lines) / k,
-        furniture_share=sum(len(x) <= 160 and FURNITURE.match(x) is not None for x in lines) / k,
+        furniture_share=sum(map(is_furniture, lines)) / k,
         table_share=table_share(lines),
     )
 
