@@ -119,29 +119,31 @@ def documentation_of(name: str, text: str) -> str:
 SPAN = "kind string, at int, qualname string, name string, start_line int, anchor_line int, end_line int, signature string, doc string, code string"
 
 
-def source_spans(files: DataFrame, *, keys: list[str], content: str, at: str) -> DataFrame:
-    """Function spans ('f', at their first decorator and at their def), comment spans ('c', at their last line), and one 'n' a file."""
+def latest_contents(files: DataFrame, *, keys: list[str], content: str, at: str) -> DataFrame:
+    """_k0, _k1, ..., _content: of each key the content ingested last. Partial aggregates hold one content a key, so repeats of a key don't gather."""
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = files.select(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col(at).cast("timestamp").alias("_at"), F.col(content).alias("_content")).dropna(subset=names)
-    rows = rows.withColumn("_hash", F.xxhash64("_content"))
-    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    rows = files.select(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col(at).alias("_at"), F.col(content).alias("_content")).dropna(subset=names)
+    best = F.max_by("_content", F.struct("_at", F.xxhash64("_content")))
+    return rows.groupBy(*names).agg(best.alias("_content")).filter("_content is not null and _content <> ''")
+
+
+def source_spans(contents: DataFrame, names: list[str]) -> DataFrame:
+    """Function spans ('f', at their first decorator and at their def) and comment spans ('c', at their last line)."""
+    kinds = ", ".join(f"{n} {contents.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for *key, text in zip(*(batch[c] for c in [*names, "_at", "_hash", "_content"]), strict=True):
-                out.append((*key, "n", 0, *[None] * 8))
-                if not text:
-                    continue
+            for *key, text in zip(*(batch[c] for c in [*names, "_content"]), strict=True):
                 functions, comments = scan(text)
                 for c in comments:
                     out.append((*key, "c", c.end_line, None, None, c.start_line, None, c.end_line, None, c.text, None))
                 for f in functions:
                     for line in {f.anchor_line, f.start_line}:
                         out.append((*key, "f", line, f.qualname, f.name, f.start_line, f.anchor_line, f.end_line, f.signature, f.docstring, text[f.start : f.end]))
-            yield pd.DataFrame(out, columns=[*names, "_at", "_hash", *[x.split()[0] for x in SPAN.split(", ")]])
+            yield pd.DataFrame(out, columns=[*names, *[x.split()[0] for x in SPAN.split(", ")]])
 
-    return rows.select(*names, "_at", "_hash", "_content").mapInPandas(run, f"{kinds}, _at timestamp, _hash long, {SPAN}")
+    return contents.select(*names, "_content").mapInPandas(run, f"{kinds}, {SPAN}")
 
 
 @F.pandas_udf(StringType())
@@ -161,12 +163,10 @@ def documented_functions(files: DataFrame, *, keys: list[str], content: str = "c
     without docstring takes the comment lines that end on the line above its first decorator or above its `def`.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    spans = source_spans(files, keys=keys, content=content, at=at).repartition(*names)
-    newest = F.max(F.struct("_at", "_hash")).over(Window.partitionBy(*names))
-    current = spans.withColumn("_new", newest).filter(F.col("_at").eqNullSafe(F.col("_new._at")) & F.col("_hash").eqNullSafe(F.col("_new._hash")))
+    spans = source_spans(latest_contents(files, keys=keys, content=content, at=at), names)
     above = Window.partitionBy(*names).orderBy("at", F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
     comment = F.when(F.col("kind") == "c", F.struct("end_line", "doc"))
-    joined = current.withColumn("_above", F.last(comment, ignorenulls=True).over(above)).filter("kind = 'f'")
+    joined = spans.withColumn("_above", F.last(comment, ignorenulls=True).over(above)).filter("kind = 'f'")
     touching = F.when(F.col("doc").isNull() & (F.col("_above.end_line") == F.col("at") - 1), F.col("_above.doc"))
     functions = (
         joined.withColumn("_comment", touching)
