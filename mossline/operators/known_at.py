@@ -2,9 +2,11 @@
 
 Each version of an entity becomes usable once it is both valid and recorded. From then on it is the answer until a
 version of higher precedence (later valid_from, then later recorded_at, then higher id) becomes usable. These exact
-half-open intervals are disjoint within an entity. Each is decomposed into dyadic time nodes; an event is sent to the
-node of every kept level that encloses it, so the range condition becomes an equi-join that spreads a hot entity over
-its nodes, and the exact interval is checked after it.
+half-open intervals are disjoint within an entity. Each is decomposed into a handful of dyadic time nodes, no finer than a
+sixteenth to a quarter of its length; an event is sent to the enclosing node of each level that its entity's intervals
+use, which a join of one row per entity tells. The range condition so becomes an equi-join that spreads a hot entity over
+its nodes, and the exact interval is checked after it: an event meets its own version and few neighbours of it, however
+many the entity has. Rows travel as hashes of 128 bits; names are joined back to what matched.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from mossline.runtime import micros
 
-#: Leaves of 2**36 microseconds (19 hours); two binary levels a step, ten levels up to a root of 571 years.
-LEAF_BITS, STEP, LEVELS = 36, 2, 10
+#: Leaves of 2**28 microseconds (4.5 minutes); two binary levels a step, 14 levels up to a root of 571 years.
+LEAF_BITS, STEP, LEVELS = 28, 2, 14
+#: Levels that the nodes of one interval are on.
+SPAN = 3
 ORIGIN = 1 << 53
 TOP_LEAF = (1 << (STEP * (LEVELS - 1))) - 1
 #: Versions of one entity are ordered in blocks of 2**38 microseconds (3 days) of their valid_from.
@@ -29,22 +33,27 @@ def leaf(time: str) -> str:
 
 
 def nodes_of_interval(start: str, end: str) -> str:
-    """SQL: array of (level, node) that covers the leaves of the half-open interval exactly, six nodes a level at most."""
+    """SQL: array of (level, node) of disjoint nodes that cover the half-open interval, widened to whole nodes of its lowest level.
+
+    The lowest level is such that 4 to 16 of its nodes make the length, so the interval grows by a quarter at most on
+    either side (the outer leaves and the last levels aside), and three levels hold all nodes, five or so.
+    """
     first, past = leaf(start), f"({leaf(f'({end} - 1)')} + 1)"
+    base = f"least(greatest(cast(floor(log2(cast({past} - {first} as double)) / {STEP}) as int) - 1, 0), {LEVELS - SPAN})"
     span = "if({0} < {1}, sequence({0}, {1} - 1L), cast(array() as array<bigint>))"
     arrays = []
-    for level in range(LEVELS):
-        bits = STEP * level
-        low, high = f"shiftright({first} + {(1 << bits) - 1}L, {bits})", f"shiftright({past}, {bits})"
-        if level == LEVELS - 1:
+    for k in range(SPAN):
+        low, high = f"shiftright(x.low + {(1 << STEP * k) - 1}L, {STEP * k})", f"shiftright(x.high, {STEP * k})"
+        if k == SPAN - 1:
             nodes = span.format(low, high)
         else:
-            up = bits + STEP
-            above_low = f"shiftleft(shiftright({first} + {(1 << up) - 1}L, {up}), {STEP})"
-            above_high = f"shiftleft(shiftright({past}, {up}), {STEP})"
+            up = STEP * (k + 1)
+            above_low = f"shiftleft(shiftright(x.low + {(1 << up) - 1}L, {up}), {STEP})"
+            above_high = f"shiftleft(shiftright(x.high, {up}), {STEP})"
             nodes = f"if({above_low} < {above_high}, concat({span.format(low, above_low)}, {span.format(above_high, high)}), {span.format(low, high)})"
-        arrays.append(f"transform({nodes}, n -> struct({level} as level, n as node))")
-    return f"concat({', '.join(arrays)})"
+        arrays.append(f"transform({nodes}, n -> struct(x.base + {k} as level, n as node))")
+    widened = f"transform(transform(array(struct({base} as base, {first} as first, {past} as past)), y -> struct(y.base as base, shiftright(y.first, {STEP} * y.base) as low, shiftright(y.past + shiftleft(1L, {STEP} * y.base) - 1L, {STEP} * y.base) as high)), x -> concat({', '.join(arrays)}))[0]"
+    return widened
 
 
 def usable_intervals(versions: DataFrame, entity: list[str], valid_from: str, known_from: str, version_id: str) -> DataFrame:
@@ -91,24 +100,22 @@ def attributes_known_at(
     names. An event time equal to a version's start sees that version; one equal to its end doesn't.
     """
     keys, out = [f"_e{i}" for i in range(len(entity))], [f"_k{i}" for i in range(len(event_keys))]
-    levels = ", ".join(f"struct({level} as level, shiftright(_leaf, {STEP * level}) as node)" for level in range(LEVELS))
-    e = (
-        events.select(*[F.col(c).alias(k) for c, k in zip(event_keys, out, strict=True)], *[F.col(c).alias(k) for c, k in zip(entity, keys, strict=True)], micros(event_time).alias("_t"))
-        .dropna(subset=[*keys, "_t"])
-        .withColumn("_leaf", F.expr(leaf("_t")))
-        .withColumn("_n", F.explode(F.expr(f"array({levels})")))
-        .select(*out, *keys, "_t", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
-    )
+    entity_hash = [F.xxhash64(*keys).alias("_h"), F.xxhash64(*keys, F.lit("2")).alias("_h2")]
     v = (
         usable_intervals(versions, entity, valid_from, known_from, version_id)
         .withColumn("_n", F.explode(F.expr(nodes_of_interval("_start", "_end"))))
-        .select(*keys, "_id", "_start", "_end", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
-    )
-    return (
-        e.join(v, [*keys, "_level", "_node"])
-        .filter("_start <= _t and _t < _end")
-        .select(*[F.col(k).alias(c) for c, k in zip(event_keys, out, strict=True)], F.col("_id").alias(version_id))
+        .select(*entity_hash, "_id", "_start", "_end", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
     )
+    levels = v.groupBy("_h").agg(F.sort_array(F.collect_set("_level")).alias("_levels"))
+    named = events.select(*[F.col(c).alias(k) for c, k in zip(event_keys, out, strict=True)], *[F.col(c).alias(k) for c, k in zip(entity, keys, strict=True)], micros(event_time).alias("_t")).dropna(subset=[*keys, "_t"])
+    own = [F.xxhash64(*out, *keys, "_t").alias("_x"), F.xxhash64(*out, *keys, "_t", F.lit("2")).alias("_x2")]
+    e = (
+        named.select(*entity_hash, "_t", *own).join(levels, "_h").distinct()
+        .withColumn("_level", F.explode("_levels"))
+        .select("_x", "_x2", "_h", "_h2", "_t", "_level", F.expr(f"shiftright({leaf('_t')}, {STEP} * _level)").alias("_node"))
+    )
+    matched = e.join(v.withColumnRenamed("_h2", "_v2"), ["_h", "_level", "_node"]).filter("_start <= _t and _t < _end and _h2 = _v2").select("_x", "_x2", "_id")
+    return named.select(*out, *own).join(matched, ["_x", "_x2"]).select(*[F.col(k).alias(c) for c, k in zip(event_keys, out, strict=True)], F.col("_id").alias(version_id))
 
 
 def commit_files(commits: DataFrame) -> DataFrame:

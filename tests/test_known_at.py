@@ -54,11 +54,19 @@ def test_commit_files_once_per_sha_and_file(spark):
     assert sorted((r.sha, r.file_path) for r in K.commit_files(commits).collect()) == [("s", "a"), ("s", "b")]
 
 
-def test_nodes_cover_an_interval_exactly(spark):
+def test_nodes_cover_an_interval_and_little_more(spark):
     rng = random.Random(1)
-    pairs = [(a, a + rng.randrange(1, 400) * 10**11) for a in (rng.randrange(-(10**15), 10**15) for _ in range(50))]
+    pairs = [(a, a + rng.choice([1, 10**6, 10**9, 10**11, 10**13]) * rng.randrange(1, 400)) for a in (rng.randrange(-(10**15), 10**15) for _ in range(200))] + [(0, K.NEVER), (-(10**18), 10**18)]
     rows = spark.createDataFrame(pairs, "s bigint, e bigint").selectExpr("s", "e", f"{K.nodes_of_interval('s', 'e')} as n").collect()
     for r in rows:
-        low, high = ((x + K.ORIGIN) >> K.LEAF_BITS for x in (r.s, r.e - 1))
-        leaves = [leaf for n in r.n for leaf in range(n.node << (2 * n.level), (n.node + 1) << (2 * n.level))]
-        assert sorted(leaves) == list(range(low, high + 1))
+        low, high = (min(max((x + K.ORIGIN) >> K.LEAF_BITS, 0), K.TOP_LEAF) for x in (r.s, r.e - 1))
+        spans = sorted((n.node << (2 * n.level), (n.node + 1) << (2 * n.level)) for n in r.n)
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and len({n.level for n in r.n}) <= K.SPAN and len(r.n) <= 14
+        assert spans[0][0] <= low and high < spans[-1][1]
+        assert spans[-1][1] - spans[0][0] <= 1.5 * (high - low + 1) + 1 or high - low > K.TOP_LEAF // 64
+
+
+def test_a_hot_entity_meets_few_neighbours(spark):
+    versions = [(i, "r", "f", T0 + timedelta(seconds=7 * i), T0 + timedelta(seconds=7 * i), "") for i in range(3000)]
+    events = [(f"s{i}", "r", "f", T0 + timedelta(seconds=7 * i + 3), "") for i in range(3000)]
+    assert run(spark, events, versions) == sorted((f"s{i}", "f", i) for i in range(3000))
