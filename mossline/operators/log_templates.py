@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mossline.runtime import cut
+from mossline.runtime import cut, spread
 
 ANSI = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]")
 # Names of levels, also as single letters and as numbers.
@@ -458,6 +458,7 @@ def log_entries(lines: DataFrame, runs: DataFrame, *, run: str = "run_id", numbe
         lines.select(F.col(run).alias("run_id"), F.col(number).cast("int").alias("line_no"), F.col(message).alias("message"))
         .filter("run_id is not null and line_no is not null")
     )
+    rows = spread(rows)
     layouts = layouts_of(mined_templates(rows, "message"))
 
     def run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

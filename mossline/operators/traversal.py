@@ -153,36 +153,42 @@ def traversed(seeds: DataFrame, edges: DataFrame, scores: DataFrame, *, statemen
     """instance_id, run, rank (from 1), node_id, score, distance, chain_score, lines, ended, iterations: the best functions of each search.
 
     seeds: instance_id, run, node_id, prior, rank; edges: src, dst, edge_type; scores: instance_id, node_id, sem;
-    statements: node_id, line, sem. Of edges and scores, only what lies within `hops` of an instance's seeds is shipped.
+    statements: node_id, line, sem. Of edges and scores, only what lies within `hops` of an instance's seeds is shipped, once
+    for all runs of the instance; runs that start alike are searched once.
     """
     starts = seeds.select(F.col("node_id").alias("start")).distinct()
     near = reached(edges.select("src", "dst").distinct(), starts, hops).select(F.col("start").alias("node_id"), F.col("node").alias("near"))
     region = seeds.select("instance_id", "node_id").distinct().join(near, "node_id").select("instance_id", F.col("near").alias("node_id")).distinct()
-    nothing = F.lit(None)
-    parts = [
-        seeds.select("instance_id", "run", F.lit("seed").alias("part"), F.col("node_id").alias("a"), nothing.cast("string").alias("b"), nothing.cast("string").alias("kind"), F.col("prior").alias("x"), F.col("rank").cast("int").alias("n")),
-    ]
-    runs = seeds.select("instance_id", "run").distinct()
-    parts.append(region.join(scores, ["instance_id", "node_id"], "left").join(runs, "instance_id").select("instance_id", "run", F.lit("score"), "node_id", nothing, nothing, F.coalesce("sem", F.lit(0.0)), nothing))
-    own = region.join(edges.select(F.col("src").alias("node_id"), "dst", "edge_type"), "node_id").join(runs, "instance_id")
-    parts.append(own.select("instance_id", "run", F.lit("edge"), "node_id", "dst", "edge_type", nothing, nothing))
+    columns = lambda part, a, b=None, kind=None, x=None, n=None, run=None: [
+        "instance_id", F.lit(part).alias("part"), (F.col(run) if run else F.lit(None)).cast("int").alias("run"), F.col(a).alias("a"), (F.col(b) if b else F.lit(None)).cast("string").alias("b"),
+        (F.col(kind) if kind else F.lit(None)).cast("string").alias("kind"), (F.col(x) if x else F.lit(None)).cast("double").alias("x"), (F.col(n) if n else F.lit(None)).cast("int").alias("n"),
+    ]
+    rows = seeds.select(*columns("seed", "node_id", x="prior", n="rank", run="run"))
+    scored = region.join(scores, ["instance_id", "node_id"], "left").withColumn("sem", F.coalesce("sem", F.lit(0.0)))
+    rows = rows.union(scored.select(*columns("score", "node_id", x="sem")))
+    rows = rows.union(region.join(edges.select(F.col("src").alias("node_id"), "dst", "edge_type"), "node_id").select(*columns("edge", "node_id", "dst", "edge_type")))
     if statements is not None:
-        parts.append(region.join(statements, "node_id").join(runs, "instance_id").select("instance_id", "run", F.lit("line"), "node_id", nothing, nothing, "sem", "line"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part)
+        rows = rows.union(region.join(statements, "node_id").select(*columns("line", "node_id", x="sem", n="line")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        pdf = pdf.sort_values(["part", "n", "a", "kind", "b"], na_position="first")
-        by = {name: part for name, part in pdf.groupby("part")}
-        graph = Graph(dict(zip(by["score"]["a"], by["score"]["x"], strict=True)) if "score" in by else {})
-        for a, b, kind in by["edge"][["a", "b", "kind"]].itertuples(index=False) if "edge" in by else ():
-            graph.edges.setdefault(kind, {}).setdefault(a, []).append(b)
-        for a, x, n in by["line"][["a", "x", "n"]].itertuples(index=False) if "line" in by else ():
-            graph.statements.setdefault(a, []).append((int(n), x))
-        begin = list(by["seed"][["a", "x"]].itertuples(index=False, name=None)) if "seed" in by else []
-        best, ended, steps = search(begin, graph, limits, reasoner)
-        return pd.DataFrame([(head.instance_id, int(head.run), i + 1, *x, ended, steps) for i, x in enumerate(best)], columns=["instance_id", "run", "rank", "node_id", "score", "distance", "chain_score", "lines", "ended", "iterations"])
-
-    return rows.groupBy("instance_id", "run").applyInPandas(run, RESULT)
+        graph, begin = Graph({}), {}
+        ordered = sorted(zip(*(pdf[c].tolist() for c in ("part", "a", "kind", "b", "x", "n", "run")), strict=True), key=lambda r: (r[0], r[5] if r[5] == r[5] and r[5] is not None else 0, r[1], r[2] or "", r[3] or ""))
+        for part, a, kind, b, x, n, number in ordered:
+            if part == "seed":
+                begin.setdefault(int(number), []).append((a, x))
+            elif part == "score":
+                graph.scores[a] = x
+            elif part == "edge":
+                graph.edges.setdefault(kind, {}).setdefault(a, []).append(b)
+            else:
+                graph.statements.setdefault(a, []).append((int(n), x))
+        known: dict[tuple, tuple] = {}
+        out = []
+        for number, own in sorted(begin.items()):
+            if tuple(own) not in known:
+                known[tuple(own)] = search(own, graph, limits, reasoner)
+            best, ended, steps = known[tuple(own)]
+            out.extend((pdf["instance_id"].iloc[0], number, i + 1, *x, ended, steps) for i, x in enumerate(best))
+        return pd.DataFrame(out, columns=["instance_id", "run", "rank", "node_id", "score", "distance", "chain_score", "lines", "ended", "iterations"])
+
+    return rows.groupBy("instance_id").applyInPandas(run, RESULT)

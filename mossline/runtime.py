@@ -23,10 +23,31 @@ def session(app: str = "mossline", master: str = "local[*]", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores; for Python stages over scans of few small files.
+
+    Inputs of more partitions, as any large one has, are not shuffled. Plans with a shuffle are left alone too: their
+    partitions are known only once it has run.
+    """
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def importable_by_workers(spark: SparkSession) -> None:
+    """On one machine, lets Python workers import this package from where the driver did; clusters have it installed."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if context.master.startswith("local[") and root not in context.environment.get("PYTHONPATH", "").split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, context.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder, with times read as UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    importable_by_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
