@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mossline.runtime import spread
+
 LINE = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
 MARK = re.compile(r"\s*(?:[-*+•‣⁃▪▫○●◦∙·‐-―→➤✓✔✗☐-☒]\s+|(?:[-*+]\s+)?\[[ xX✓]?\]\s+|\(?(?:\d{1,4}|[A-Za-z]|[ivxIVX]{1,6})[.):]\s+|#\d+[.:)]?\s+|\d{1,3}(?:\.\d{1,3})+\.?\s+|\(?[a-z]\)\s+)\S")
 SENTENCE_END = re.compile(r"[.!?…。！？؟।][\"'”’»)\]`]*\s*$")
@@ -227,7 +229,7 @@ def quality(documents: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     Whole texts are read. Shares of lines count lines that aren't blank; ratios are of visible characters.
     """
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mossline.runtime import spread
+
 #: A text longer than this is encoded in parts of about this many characters, cut only where the pattern always cuts.
 PART_CHARS = 65_536
 
@@ -79,7 +81,7 @@ def token_ids(documents: DataFrame, *, key: str = "doc_id", text: str = "text",
     Rows with a null key and repeated rows are kept as they are. Other columns are ignored.
     """
     path = ranks or default_ranks()
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +95,7 @@ def token_counts(documents: DataFrame, *, keep: list[str], text: str = "text", r
     """The columns `keep` and n_tokens BIGINT; the ids themselves never leave the worker."""
     path = ranks or default_ranks()
     names = [f"k{i}" for i in range(len(keep))]
-    rows = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("text"))
+    rows = spread(documents.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("text")))
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
