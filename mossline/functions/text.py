@@ -50,6 +50,13 @@ def ancestor_dirs(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def source_slice(content: Column, start: Column, end: Column) -> Column:
+    """Lines start to end (from 1, inclusive) of a text, joined by LF; lines may end in LF, CR or CRLF."""
+    lines = F.split(content, "\r\n|\r|\n")
+    first = F.greatest(start, F.lit(1))
+    return F.array_join(F.slice(lines, first, F.greatest(F.lit(0), F.least(end, F.size(lines)) - first + 1)), "\n")
+
+
 def import_path(statement: Column) -> Column:
     """The file that an import statement names: `from a.b import x` and `import a.b, c` give a/b.py; null for `from . import x`."""
     name = F.coalesce(

@@ -81,6 +81,23 @@ def structural_edges(skeletons: DataFrame) -> DataFrame:
     return plain.withColumn("line", F.lit(None).cast("int")).union(invoke)
 
 
+def commit_nodes(commits: DataFrame, message_chars: int = 500) -> DataFrame:
+    """node_id, name, message, authored_at: a node for every commit, whether its files are kept or not."""
+    return commits.select(T.node_id("commit", F.col("sha")).alias("node_id"), F.substring("sha", 1, 12).alias("name"), F.substring(F.coalesce("message", F.lit("")), 1, message_chars).alias("message"), "authored_at")
+
+
+def concept_graph(concepts: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: node_id, name, centroid, n_members), (edges: src, dst): concepts of equal label are one node, the last centroid counts.
+
+    concepts: label, member_function_ids, centroid, built_at; functions: node_id. Members that aren't functions of the
+    graph give no edge.
+    """
+    named = concepts.filter("label is not null and label <> ''")
+    nodes = named.groupBy("label").agg(F.max_by(F.struct("centroid", "member_function_ids"), "built_at").alias("c")).select(T.node_id("concept", F.col("label")).alias("node_id"), F.col("label").alias("name"), "c.centroid", F.size(F.coalesce("c.member_function_ids", F.array())).alias("n_members"))
+    edges = named.select("label", F.explode("member_function_ids").alias("m")).filter(F.col("m").contains("::")).select(T.node_id("func", F.col("m")).alias("src"), T.node_id("concept", F.col("label")).alias("dst")).distinct()
+    return nodes, edges.join(functions.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").partitionBy("node_type").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")

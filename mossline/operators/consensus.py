@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mossline.functions import text as T
+from mossline.functions.vectors import dot
 
 
 def vote(runs: DataFrame, n_runs, *, key: str, top: int = 20) -> DataFrame:
@@ -34,6 +35,24 @@ def merged_head(ranking: DataFrame, listwise: DataFrame, *, key: str, head: int
     return joined.withColumn("new_rank", F.row_number().over(order) - 1).select("instance_id", key, F.when(matched, F.col("confidence")).otherwise(F.col("score")).alias("score"), F.col("new_rank").alias("rank"))
 
 
+def reranked(candidates: DataFrame, *, key: str, cut_to: int = 20) -> DataFrame:
+    """instance_id, key, score, rank (from 0): candidates by the dot product of their vector with their instance's query.
+
+    candidates: instance_id, key, vector, query (arrays of one length), rank (from 0). Without a vector or query a
+    candidate scores 0; ties keep the order of `rank`.
+    """
+    score = F.round(F.coalesce(dot(F.col("vector"), F.col("query")), F.lit(0.0)), 6)
+    order = Window.partitionBy("instance_id").orderBy(F.desc("score"), "old", key)
+    scored = candidates.select("instance_id", key, score.alias("score"), F.col("rank").alias("old"))
+    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < cut_to).select("instance_id", key, "score", "rank")
+
+
+def augmented_query(report: Column, chains: Column, limit: int = 2_000) -> Column:
+    """A report with the chains found so far below it, which are cut to `limit` characters."""
+    text = F.substring(F.array_join(F.filter(chains, lambda c: c != ""), " "), 1, limit)
+    return F.when(text != "", F.concat(report, F.lit("\n"), text)).otherwise(report)
+
+
 def extended_pool(candidates: DataFrame, files: DataFrame, functions: DataFrame, *, top_files: int = 3, per_file: int = 3) -> DataFrame:
     """instance_id, node_id: candidates, and of each instance's first files the best functions that aren't among them.
 

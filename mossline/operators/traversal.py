@@ -36,11 +36,15 @@ class Limits:
     reason_batch: int = 9
     output: int = 15
     drilled: int = 5
+    children: int = 3
 
 
 @dataclass
 class Graph:
-    """What a search sees: functions with scores, edges by type, statements of functions with their scores."""
+    """What a search sees: functions with scores, edges by type, statements of functions with their scores.
+
+    Nodes without a score are classes and files: reading one of them reads its best contained functions.
+    """
 
     scores: dict[str, float]
     edges: dict[str, dict[str, list[str]]] = field(default_factory=dict)
@@ -94,6 +98,11 @@ def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Li
     def best(n: int) -> list[str]:
         return sorted((x for x in found if x in graph.scores), key=lambda x: -value(x))[:n]
 
+    def enqueue(node: str, depth: int, prior: float) -> None:
+        near = depth + 1 if node not in distances else min(depth + 1, distances[node] + 1)
+        distances[node] = min(distances.get(node, near), near)
+        push("read", node, near, prior * 0.85)
+
     def reason() -> None:
         nonlocal calls
         batch, waiting[:] = waiting[: limits.reason_batch], waiting[limits.reason_batch :]
@@ -126,13 +135,15 @@ def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Li
                 for i, name in enumerate(expansions):
                     push(name, node, depth, prior * (0.9 if i == 0 else 0.7))
                 waiting.append(node)
+            else:
+                inside = [n for n in graph.edges.get("contain", {}).get(node, ()) if n in graph.scores]
+                for child in sorted(inside, key=lambda n: -graph.scores[n])[: limits.children]:
+                    enqueue(child, depth, prior)
         elif kind == "drill":
             found.setdefault(node, Found()).lines = [n for n, _ in sorted(graph.statements.get(node, []), key=lambda s: (-s[1], s[0]))[: limits.drilled]]
         else:
             for neighbour in graph.edges.get(kind, {}).get(node, ()):
-                near = depth + 1 if neighbour not in distances else min(depth + 1, distances[neighbour] + 1)
-                distances[neighbour] = min(distances.get(neighbour, near), near)
-                push("read", neighbour, near, prior * 0.85)
+                enqueue(neighbour, depth, prior)
         if step % limits.reason_every == 0 and waiting and calls < limits.reasoning_calls:
             reason()
         now = tuple(best(3))

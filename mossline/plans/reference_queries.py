@@ -109,6 +109,19 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e, 10, query_id="query_id", record_id="vec_id", query_vector="embedding", record_vector="embedding", dimensions=64)
 
 
+@query(with_parts("queried") + """, top AS (SELECT query_id, vec_id, rank - 1 AS old FROM (SELECT q.vec_id AS query_id, e.vec_id,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, e.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM queried q, embeddings e) WHERE rank <= 10),
+s AS (SELECT t.query_id, t.vec_id, t.old, round(list_dot_product(e.embedding::DOUBLE[], n.embedding::DOUBLE[]), 6) AS score FROM top t JOIN embeddings e ON e.vec_id = t.vec_id JOIN top f ON f.query_id = t.query_id AND f.old = 1 JOIN embeddings n ON n.vec_id = f.vec_id)
+SELECT query_id AS instance_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, vec_id) - 1 AS rank FROM s) WHERE rank < 5""")
+def dense_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each query ordered anew by another query, here the second nearest of them, and cut to five."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    top = cut(dense_topk(spark, sf_dir).withColumn("rank", F.col("rank") - 1))
+    other = top.filter("rank = 1").select("query_id", F.col("vec_id").alias("_n")).join(e.select(F.col("vec_id").alias("_n"), F.col("embedding").alias("query")), "_n")
+    candidates = top.join(e, "vec_id").join(other, "query_id").select(F.col("query_id").alias("instance_id"), "vec_id", F.col("embedding").alias("vector"), "query", "rank")
+    return consensus.reranked(candidates, key="vec_id", cut_to=5)
+
+
 @query("""WITH queried AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
 usable AS (SELECT concept_id, centroid::DOUBLE[] AS c, row_number() OVER (PARTITION BY concept_id ORDER BY built_at DESC) AS k FROM concepts
            WHERE len(centroid) = 64 AND len(list_filter(centroid, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
@@ -467,6 +480,26 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph.structural_edges(cut(skeleton_rows(spark, sf_dir)))
 
 
+@query(with_parts("funcs") + """, m AS (SELECT DISTINCT label, unnest(member_function_ids) AS m FROM concepts WHERE label IS NOT NULL AND label <> '')
+SELECT DISTINCT 'func::' || m AS src, 'concept::' || label AS dst FROM m WHERE contains(m, '::') AND 'func::' || m IN (SELECT node_id FROM funcs)""")
+def concept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From functions to the concepts that have them as members."""
+    return code_graph.concept_graph(table(spark, sf_dir, "concepts"), _functions(spark, sf_dir))[1]
+
+
+@query("""SELECT 'commit::' || sha AS node_id, left(sha, 12) AS name, left(coalesce(message, ''), 500) AS message, authored_at FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY ingested_at DESC) AS k FROM commits WHERE sha IS NOT NULL) WHERE k = 1""")
+def commit_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node for every commit."""
+    return code_graph.commit_nodes(_commits(spark, sf_dir))
+
+
+@query(with_parts("files", "funcs") + r"""SELECT node_id, array_to_string(list_slice(regexp_split_to_array(content, '\r\n|\r|\n'), start_line, end_line), chr(10)) AS code FROM funcs JOIN files USING (repo, file_path) WHERE start_line >= 1""")
+def function_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source lines of each function, from its file."""
+    joined = _functions(spark, sf_dir).filter("start_line >= 1").join(_files(spark, sf_dir), ["repo", "file_path"])
+    return joined.select("node_id", T.source_slice(F.col("content"), F.col("start_line"), F.col("end_line")).alias("code"))
+
+
 @query()
 def statement_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Def-use links inside each function."""

@@ -50,6 +50,14 @@ def test_head_follows_the_list(spark):
     assert [r.k for r in C.merged_head(ranking, model.limit(0), key="k").orderBy("rank").collect()] == list("abcd")
 
 
+def test_rerank_by_another_query(spark):
+    rows = [("i", "a", [1.0, 0.0], [0.0, 1.0], 0), ("i", "b", [0.6, 0.8], [0.0, 1.0], 1), ("i", "c", None, [0.0, 1.0], 2)]
+    got = C.reranked(spark.createDataFrame(rows, "instance_id string, k string, vector array<double>, query array<double>, rank int"), key="k", cut_to=2)
+    assert [(r.k, r.score) for r in got.orderBy("rank").collect()] == [("b", 0.8), ("a", 0.0)]
+    texts = spark.createDataFrame([("q", ["", "x y"]), ("q", [])], "r string, c array<string>").select(C.augmented_query(F.col("r"), F.col("c")).alias("t")).collect()
+    assert [r.t for r in texts] == ["q\nx y", "q"]
+
+
 def test_extended_pool_excludes_before_counting(spark):
     known = spark.createDataFrame([("i", "n1")], "instance_id string, node_id string")
     files = spark.createDataFrame([("i", "r", "f", 0), ("i", "r", "g", 5)], "instance_id string, repo string, file_path string, rank int")

@@ -109,6 +109,14 @@ def test_search_on_a_tiny_graph():
     assert search([("missing", 1.0)], graph)[0] == []
 
 
+def test_search_reads_the_best_functions_of_a_class_and_drills():
+    graph = Graph({f"f{i}": i / 10 for i in range(6)}, {"contain": {"class": [f"f{i}" for i in range(6)]}}, {"f5": [(3, 0.1), (9, 0.9), (4, 0.5)]})
+    strong = lambda batch, scores: ([(n, 9.0) for n in batch], ["f0"])
+    best, _, _ = search([("class", 1.0)], graph, reasoner=strong)
+    assert [b[0] for b in best[:3]] == ["f5", "f4", "f3"] and "f0" in [b[0] for b in best] and "f1" not in [b[0] for b in best]
+    assert dict((b[0], b[4]) for b in best)["f5"] == [9, 4, 3]
+
+
 def test_search_for_many_instances_does_not_depend_on_order(spark):
     seeds = spark.createDataFrame([(f"i{k}", 0, "A", 1.0, 1) for k in range(3)], "instance_id string, run int, node_id string, prior double, rank int")
     edges = spark.createDataFrame([("A", "B", "invoke"), ("B", "C", "invoke"), ("C", "A", "invoke")], "src string, dst string, edge_type string")
