@@ -7,6 +7,7 @@ without a shuffle. A worker builds the encoder once per vocabulary file and keep
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 
 from mossline.runtime import spread
 
+#: A run of this many blanks or more is taken out of the text and encoded as the one piece that it is: the library's
+#: pattern looks ahead after blanks and overflows its stack on a very long run.
+RUN_CHARS = 1_000
+# The characters that Unicode counts as white space, which the pattern's \\s stands for.
+BLANKS = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 #: A text longer than this is encoded in parts of about this many characters, cut only where the pattern always cuts.
 PART_CHARS = 65_536
 
@@ -59,14 +65,32 @@ def safe_parts(text: str, part_chars: int = PART_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(text: str | None, path: str, part_chars: int = PART_CHARS) -> list[int]:
-    """Ids of a text; [] for an empty or null one. Lone surrogates can't come from Spark and are not expected."""
+@lru_cache(maxsize=4)
+def blank_runs(run_chars: int) -> re.Pattern[str]:
+    return re.compile(f"{BLANKS}{{{run_chars},}}")
+
+
+def encode(text: str | None, path: str, part_chars: int = PART_CHARS, run_chars: int = RUN_CHARS) -> list[int]:
+    """Ids of a text; [] for an empty or null one. Lone surrogates can't come from Spark and are not expected.
+
+    Of a long run of blanks all but the last, or all at the end of the text, are one piece; the last goes with what follows.
+    """
     if not text:
         return []
     enc = encoder(path)
-    if len(text) <= part_chars:
+    if len(text) <= min(part_chars, run_chars):
         return enc.encode_ordinary(text)
-    return [i for part in safe_parts(text, part_chars) for i in enc.encode_ordinary(part)]
+    ids: list[int] = []
+    at = 0
+    for run in blank_runs(max(2, run_chars)).finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            ids += (i for part in safe_parts(text[at : run.start()], part_chars) for i in enc.encode_ordinary(part))
+        ids += enc._encode_single_piece(text[run.start() : stop])
+        at = stop
+    if at < len(text):
+        ids += (i for part in safe_parts(text[at:], part_chars) for i in enc.encode_ordinary(part))
+    return ids
 
 
 def decode_bytes(ids: list[int], path: str) -> bytes:

@@ -11,13 +11,21 @@ PATH = K.default_ranks()
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab é\n\t '’s1２.!-日😀\u00a0\u3000\u200d"), max_size=400), st.integers(1, 40))
-def test_parts_encode_as_the_whole(text, size):
-    assert K.encode(text, PATH, size) == (K.encoder(PATH).encode_ordinary(text) if text else [])
+@given(st.text(st.sampled_from("ab é\n\t '’s1２.!-日😀\u00a0\u3000\u200d"), max_size=400), st.integers(1, 40), st.integers(2, 9))
+def test_parts_encode_as_the_whole(text, size, run):
+    assert K.encode(text, PATH, size, run) == (K.encoder(PATH).encode_ordinary(text) if text else [])
     assert "".join(K.safe_parts(text, size)) == text
     assert K.decode_bytes(K.encode(text, PATH), PATH).decode() == text
 
 
+def test_vast_runs_of_blanks():
+    for blank in (" ", "\n", "\u3000", "\r\n\t "):
+        text = "x" + blank * 400_000 + "y" + blank * 300_000
+        assert K.decode_bytes(K.encode(text, PATH), PATH).decode() == text
+        short = "x" + blank * 1500 + " y" + blank * 1200
+        assert K.encode(short, PATH) == K.encoder(PATH).encode_ordinary(short)
+
+
 def test_ids_of_a_table(spark):
     import tokenizers
 
