@@ -25,9 +25,9 @@ SQL = {
     "touched": "touched AS (SELECT repo, sha, authored_at, unnest(files) AS file_path FROM commits1)",
     "kept": "kept AS (SELECT repo, file_path, n_commits FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_commits DESC, file_path) AS k FROM (SELECT repo, file_path, count(*) AS n_commits FROM touched WHERE file_path IS NOT NULL GROUP BY repo, file_path)) WHERE k <= 200)",
     "funcs": "funcs AS (SELECT node_id, repo, file_path, name, qualname, start_line, end_line, docstring FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS k FROM nodes WHERE node_type = 'function' AND node_id IS NOT NULL) WHERE k = 1)",
-    "positions": "positions AS (SELECT instance_id, retriever, file_path, score, row_number() OVER (PARTITION BY instance_id, retriever ORDER BY rank ASC NULLS LAST, score DESC NULLS LAST, file_path) - 1 AS position FROM (SELECT DISTINCT instance_id, retriever, file_path, rank, CASE WHEN isnan(score) THEN NULL ELSE score END AS score FROM rankings WHERE instance_id IS NOT NULL AND file_path IS NOT NULL))",
+    "positions": "positions AS (SELECT instance_id, retriever, file_path, score, (row_number() OVER (PARTITION BY instance_id, retriever ORDER BY rank ASC NULLS LAST, score DESC NULLS LAST, file_path) - 1)::INT AS position FROM (SELECT DISTINCT instance_id, retriever, file_path, rank, CASE WHEN isnan(score) THEN NULL ELSE score END AS score FROM rankings WHERE instance_id IS NOT NULL AND file_path IS NOT NULL))",
     "rrf": "rrf AS (SELECT instance_id, file_path, round(sum(w / (60 + position)), 9) AS score, min(struct_pack(i := i, p := position)) AS f FROM positions JOIN (VALUES ('llm', 1.0::DOUBLE, 0), ('bm25', 0.7::DOUBLE, 1), ('dense', 0.7::DOUBLE, 2)) AS weights(retriever, w, i) USING (retriever) GROUP BY instance_id, file_path)",
-    "fused": r"fused AS (SELECT instance_id, file_path, score, rank FROM (SELECT instance_id, file_path, s AS score, row_number() OVER (PARTITION BY instance_id ORDER BY s DESC, f, file_path) - 1 AS rank FROM (SELECT *, round(CASE WHEN regexp_matches(file_path, '(^|/)tests?/|(^|/)tests?\.py$|(^|/)test_[^/]*\.py$|_test\.py$') THEN score * 0.5 ELSE score END, 9) AS s FROM rrf)) WHERE rank < 20)",
+    "fused": r"fused AS (SELECT instance_id, file_path, score, rank FROM (SELECT instance_id, file_path, s AS score, (row_number() OVER (PARTITION BY instance_id ORDER BY s DESC, f, file_path) - 1)::INT AS rank FROM (SELECT *, round(CASE WHEN regexp_matches(file_path, '(^|/)tests?/|(^|/)tests?\.py$|(^|/)test_[^/]*\.py$|_test\.py$') THEN score * 0.5 ELSE score END, 9) AS s FROM rrf)) WHERE rank < 20)",
     "hunks": r"hunks AS (SELECT DISTINCT instance_id, regexp_extract(patch, '(?m)^\+\+\+ (?:[ab]/)?(\S+)', 1) AS file_path, regexp_extract(h, '@@ -(\d+)', 1)::INT AS start_line, regexp_extract(h, '@@ -(\d+)', 1)::INT + greatest(1, coalesce(nullif(regexp_extract(h, '@@ -\d+,(\d+)', 1), ''), '1')::INT) - 1 AS end_line FROM (SELECT instance_id, patch, unnest(regexp_extract_all(patch, '(?m)^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@')) AS h FROM issues WHERE patch IS NOT NULL AND instance_id IS NOT NULL) WHERE regexp_extract(patch, '(?m)^\+\+\+ (?:[ab]/)?(\S+)', 1) LIKE '%.py')",
     "queried": "queried AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0)",
 }
@@ -112,7 +112,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_parts("queried") + """, top AS (SELECT query_id, vec_id, rank - 1 AS old FROM (SELECT q.vec_id AS query_id, e.vec_id,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, e.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM queried q, embeddings e) WHERE rank <= 10),
 s AS (SELECT t.query_id, t.vec_id, t.old, round(list_dot_product(e.embedding::DOUBLE[], n.embedding::DOUBLE[]), 6) AS score FROM top t JOIN embeddings e ON e.vec_id = t.vec_id JOIN top f ON f.query_id = t.query_id AND f.old = 1 JOIN embeddings n ON n.vec_id = f.vec_id)
-SELECT query_id AS instance_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, vec_id) - 1 AS rank FROM s) WHERE rank < 5""")
+SELECT query_id AS instance_id, vec_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, vec_id) - 1)::INT AS rank FROM s) WHERE rank < 5""")
 def dense_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of each query ordered anew by another query, here the second nearest of them, and cut to five."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -152,14 +152,14 @@ pool AS (SELECT DISTINCT instance_id FROM rankings JOIN large USING (repo) WHERE
 m AS (SELECT instance_id, file_path, round(CASE WHEN regexp_matches(file_path, '(^|/)tests?/|(^|/)tests?\\.py$|(^|/)test_[^/]*\\.py$|_test\\.py$') THEN s * 0.5 ELSE s END, 9) AS score
       FROM (SELECT instance_id, file_path, round(1.0 / (60 + position), 9) AS s FROM positions WHERE retriever = 'llm' AND instance_id IN (SELECT * FROM pool)))
 SELECT instance_id, file_path, score, rank FROM fused WHERE instance_id NOT IN (SELECT * FROM pool)
-UNION ALL SELECT * FROM (SELECT instance_id, file_path, score, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, file_path) - 1 AS rank FROM m) WHERE rank < 20""")
+UNION ALL SELECT * FROM (SELECT instance_id, file_path, score, (row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, file_path) - 1)::INT AS rank FROM m) WHERE rank < 20""")
 def prefilter_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion, or the model's list for repositories with a long outline (here over 60,000 characters)."""
     sizes = retrieval.outline_sizes(_files(spark, sf_dir), scope="repo", text="content")
     return retrieval.prefiltered(table(spark, sf_dir, "rankings"), sizes, limit=60_000)
 
 
-@query(with_parts("files") + "SELECT repo, file_path, running FROM (SELECT repo, file_path, sum(length(content) + 2) OVER (PARTITION BY repo ORDER BY file_path) AS running FROM files) WHERE running <= 60000")
+@query(with_parts("files") + "SELECT repo, file_path, running FROM (SELECT repo, file_path, (sum(length(content) + 2) OVER (PARTITION BY repo ORDER BY file_path))::BIGINT AS running FROM files) WHERE running <= 60000")
 def outline_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a repository, in order of their paths, that fit a budget of characters."""
     return retrieval.within_budget(_files(spark, sf_dir), scope="repo", key="file_path", text="content", budget=60_000)
@@ -365,7 +365,7 @@ def consistency_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_parts("positions", "rrf", "fused") + """, l AS (SELECT instance_id, file_path, min(position) AS position, 1.0 / (1 + min(position)) AS confidence FROM positions WHERE retriever = 'llm' GROUP BY instance_id, file_path),
 j AS (SELECT f.*, l.position, l.confidence, (f.rank < 10 AND l.position IS NOT NULL) AS matched FROM fused f LEFT JOIN l USING (instance_id, file_path))
-SELECT instance_id, file_path, round(CASE WHEN matched THEN confidence ELSE score END, 6) AS score, row_number() OVER (PARTITION BY instance_id ORDER BY CASE WHEN matched THEN 0 WHEN rank < 10 THEN 1 ELSE 2 END, CASE WHEN matched THEN position ELSE rank END, file_path) - 1 AS rank FROM j""")
+SELECT instance_id, file_path, round(CASE WHEN matched THEN confidence ELSE score END, 6) AS score, (row_number() OVER (PARTITION BY instance_id ORDER BY CASE WHEN matched THEN 0 WHEN rank < 10 THEN 1 ELSE 2 END, CASE WHEN matched THEN position ELSE rank END, file_path) - 1)::INT AS rank FROM j""")
 def listwise_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten files in the model's order, the rest as they were."""
     model = retrieval.list_positions(table(spark, sf_dir, "rankings")).filter("retriever = 'llm'").withColumn("confidence", 1.0 / (1 + F.col("position")))
