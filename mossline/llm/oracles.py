@@ -55,4 +55,23 @@ fused AS (SELECT g AS instance_id, i AS file_path, round(avg({QUANTILE}), 9) AS
 
 P6_FOUND = P6_FUSED + "SELECT instance_id, arg_min(file_path, struct_pack(a := -fused, b := -n_lists, c := file_path)) AS file_path FROM fused GROUP BY instance_id"
 
-ORACLES = {"p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_decoded": P7_DECODED}
+# Groups of these tables are cliques of similar rows, so the smallest id among a row's neighbours names its group.
+P1_FOUND = """
+WITH c AS (
+  SELECT concept_id, coalesce(repo, '') AS repo, list_distinct(list_filter(coalesce(member_function_ids, []), lambda m: m IS NOT NULL AND m <> '')) AS m, centroid
+  FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY built_at DESC) AS k FROM concepts WHERE concept_id IS NOT NULL) WHERE k = 1
+), t AS (SELECT concept_id, repo, len(m) AS n, unnest(m) AS m FROM c),
+o AS (SELECT a.concept_id AS a, b.concept_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.repo = b.repo AND a.m = b.m AND a.concept_id <> b.concept_id GROUP BY ALL),
+near AS (SELECT a, b FROM o WHERE (k >= 2 AND k >= 0.28 * (na + nb - k)) OR (k = na AND k = nb)),
+g AS (SELECT concept_id, repo, least(concept_id, coalesce(min(b), concept_id)) AS grp FROM c LEFT JOIN near ON a = concept_id WHERE len(m) > 0 GROUP BY concept_id, repo),
+v AS (
+  SELECT concept_id, repo, len(m) AS n, list_transform(centroid::DOUBLE[], lambda x: x / sqrt(list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[]))) AS v
+  FROM c WHERE len(centroid) = 64 AND len(list_filter(centroid, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[]) > 0
+), s AS (SELECT q.concept_id AS q, r.concept_id AS r, r.n, list_dot_product(q.v, r.v) AS cos FROM v q JOIN v r ON q.repo = r.repo AND q.n = 0 AND q.concept_id <> r.concept_id WHERE list_dot_product(q.v, r.v) >= 0.85),
+placed AS (SELECT q AS concept_id, arg_max(g.grp, cos) AS grp FROM s JOIN g ON g.concept_id = r GROUP BY q),
+rest AS (SELECT v.concept_id, least(v.concept_id, coalesce(min(s.r), v.concept_id)) AS grp FROM v LEFT JOIN s ON s.q = v.concept_id AND s.n = 0 WHERE v.n = 0 AND v.concept_id NOT IN (SELECT concept_id FROM placed) GROUP BY v.concept_id),
+every AS (SELECT concept_id, grp FROM g UNION ALL SELECT * FROM placed UNION ALL SELECT * FROM rest)
+SELECT a.concept_id AS concept_a, b.concept_id AS concept_b FROM every a JOIN every b ON a.grp = b.grp AND a.concept_id < b.concept_id
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_decoded": P7_DECODED}
