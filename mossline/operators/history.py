@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mossline.runtime import micros
+
+#: Blocks of 2**41 microseconds (25 days).
+BLOCK_BITS = 41
+
 
 def latest_commits(commits: DataFrame) -> DataFrame:
     """sha, repo, message, authored_at, files: one row per commit, that delivered last; files distinct, never null."""
@@ -59,11 +64,23 @@ def commits_before_base(issues: DataFrame, commits: DataFrame) -> DataFrame:
     """instance_id, n_before, last_before: how many commits of the issue's repository precede its base, and the last one's time.
 
     Commits and bases of a repository stand in one order of time, bases before commits of the same time, so that equal
-    times stay out; a running count replaces the join of every issue with every commit.
+    times stay out; running counts replace the join of every issue with every commit. They run within blocks of time, on
+    top of what the repository's earlier blocks add up to, so a repository of any size spreads over tasks.
     """
     base = commits.filter("authored_at is not null").select(F.col("sha").alias("base_commit"), F.col("repo").alias("base_repo"), F.col("authored_at").alias("base_at"))
     asked = issues.select("instance_id", "base_commit").distinct().join(base, "base_commit").select(F.col("base_repo").alias("repo"), "instance_id", F.col("base_at").alias("at"), F.lit(0).alias("kind"))
     made = commits.filter("authored_at is not null").select("repo", F.lit(None).cast("string").alias("instance_id"), F.col("authored_at").alias("at"), F.lit(1).alias("kind"))
-    order = Window.partitionBy("repo").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    counted = asked.union(made).withColumn("n_before", F.coalesce(F.sum("kind").over(order), F.lit(0))).withColumn("last_before", F.max(F.when(F.col("kind") == 1, F.col("at"))).over(order))
-    return counted.filter("kind = 0").select("instance_id", "n_before", "last_before")
+    marks = asked.union(made).withColumn("block", F.shiftright(micros("at"), BLOCK_BITS))
+    earlier = Window.partitionBy("repo").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        made.groupBy("repo", F.shiftright(micros("at"), BLOCK_BITS).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
+        .unionByName(asked.select("repo", F.shiftright(micros("at"), BLOCK_BITS).alias("block")).distinct().select("repo", "block", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(commits.schema["authored_at"].dataType).alias("last")))
+        .groupBy("repo", "block").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        .select("repo", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_earlier"), F.max("last").over(earlier).alias("last_earlier"))
+    )
+    order = Window.partitionBy("repo", "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (
+        marks.withColumn("n", F.coalesce(F.sum("kind").over(order), F.lit(0))).withColumn("last", F.max(F.when(F.col("kind") == 1, F.col("at"))).over(order)).filter("kind = 0")
+        .join(blocks, ["repo", "block"])
+    )
+    return counted.select("instance_id", (F.col("n") + F.col("n_earlier")).alias("n_before"), F.coalesce("last", "last_earlier").alias("last_before"))
