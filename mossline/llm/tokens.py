@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from mossline.runtime import spread
 
 #: A run of this many blanks or more is taken out of the text and encoded as the one piece that it is: the library's
-#: pattern looks ahead after blanks and overflows its stack on a very long run.
-RUN_CHARS = 1_000
+#: pattern looks ahead after blanks and overflows its stack on a run of about a million. Shorter texts than a part have none.
+RUN_CHARS = 10_000
 # The characters that Unicode counts as white space, which the pattern's \\s stands for.
 BLANKS = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 #: A text longer than this is encoded in parts of about this many characters, cut only where the pattern always cuts.
@@ -78,7 +78,7 @@ def encode(text: str | None, path: str, part_chars: int = PART_CHARS, run_chars:
     if not text:
         return []
     enc = encoder(path)
-    if len(text) <= min(part_chars, run_chars):
+    if len(text) <= part_chars:
         return enc.encode_ordinary(text)
     ids: list[int] = []
     at = 0
