@@ -19,6 +19,7 @@ SENTENCE_END = re.compile(r"[.!?…。！？؟।][\"'”’»)\]`]*\s*$")
 SENTENCE_IN = re.compile(r"(?<=[^\W\d_][\w`)'\"\]])[.!?؟।][\"'”’)`]*(?:\s+[^\Wa-z\d_]|$)|[。！？]")
 AFTER_NUMBER = re.compile(r"\d\.(?:\s+[^\Wa-z\d_]|\s*$)")
 SENTENCE_BREAK = re.compile(r"(?<=[.!?。！？؟।])\s+|(?<=[。！？])")
+DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CODE_LINE = re.compile(
     r"\s*(?:(?:async\s+)?(?:def|class|for|while|with|if|elif|function|fn|func|struct|public|private|switch|case|match)\b.*[:{(]\s*(?:#.*)?$|(?:else|try|finally|except\b.*):\s*$|@\w[\w.]*(?:\(.*\))?\s*$|"
@@ -38,17 +39,17 @@ GAP = re.compile(r"\S {2,}(?=\S)")
 RULE_LINE = re.compile(r"[\s|+:=\-─-╿]+$")
 MARKUP_ROW = re.compile(r"\s*(?:</?t(?:r|d|h|able|head|body)\b.*|.*\s&\s.*\\\\\s*|\|\|.*\|\|\s*|\{\||\|[-}]|\|\}|\|-.*)", re.I)
 UNSPACED = re.compile(r"[฀-໿က-႟ក-៿⺀-鿿가-힯豈-﫿＀-￯]")
-# Frequent function words of the languages that the texts are mostly in.
+# The most frequent function words of the languages that the texts are mostly in.
 COMMON = frozenset(
-    "the of and to in a is that it for was on are as with they be at this from have or by not but what all were when we there can an your which if do how then so these would has more no way could than been who its now did get may part only just also into over after will about out up them one before had used "  # English
-    "der die das und ist nicht ein eine einen dem den des mit auf für von zu im wir ich sich auch als an nach wie bei aus wird werden oder aber wenn nur noch um so dass es sie er hat haben war ob mehr über vor zum zur einem einer kann "  # German
-    "le la les de des du un une et est en que qui dans pour pas ne sur avec par au aux ce cette il elle nous vous je se son sa ses plus mais ou si sont ont été être fait deux l d n s c qu j "  # French
-    "el los las una y es en que por para con no se lo su sus al del un como más pero o si ya son está hay ha han muy sin sobre entre cuando desde todo esta este "  # Spanish
-    "il di che è per non una sono con da lo gli le nel della dei al alla come anche ma più questo "  # Italian
-    "o os as um uma em não com do da dos das no na por mais ao que foi ser "  # Portuguese
-    "het een van en dat op te zijn met voor niet aan er ook als bij maar om uit ze wordt naar deze "  # Dutch
-    "i w z na do nie się że jest to jak po co tak ale czy od za przez "  # Polish
-    "и в не на что с по как это к из у за от для же но так о бы".split()  # Russian
+    "the of and to in a is that it for was on are as with be this from have or by not but an if when which no at they what there only has been "  # English
+    "der die das und ist nicht ein eine den dem des mit auf für von zu wir sich auch als wie wird oder wenn nur so dass im "  # German
+    "le la les de et un une est en que qui dans pour pas ne sur avec au ce il elle se si sont du des ou plus "  # French
+    "el los las y es con por se lo su como pero o ya una al del cuando hay más "  # Spanish
+    "il di che è per non una sono da lo della anche ma "  # Italian
+    "os em uma não do da mais ao foi "  # Portuguese
+    "het een van dat op te zijn voor niet ook "  # Dutch
+    "w z na nie się jest to jak "  # Polish
+    "и в не на что с по как это для".split()  # Russian
 )
 
 
@@ -111,14 +112,16 @@ def is_sentence(line: str) -> bool:
 
 
 def table_share(lines: list[str]) -> float:
-    """The largest share of the lines that are rows with the same number of cells in one notation, apart from rules."""
+    """The largest share of the lines that are rows with the same number of cells in one notation, apart from rules; shares below a half may count as 0."""
     rows = [x for x in lines if not RULE_LINE.match(x)]
     if len(rows) < 2 or max(map(len, rows)) > 2_000:
         return 0.0
-    best = 0.0
-    bare = [re.sub(r'"[^"]*"', '""', x) for x in rows]
-    for mark, least, source in (("|", 2, rows), ("│", 2, rows), ("┃", 2, rows), ("║", 2, rows), ("\t", 1, [x.strip(" ") for x in rows]), (",", 1, bare), (";", 1, bare), ("¦", 1, rows), ("~", 2, rows)):
-        counts = Counter(x.lstrip("\t").count(mark) if mark == "\t" else x.count(mark) for x in source)
+    best, whole = 0.0, "\n".join(rows)
+    for mark, least in (("|", 2), ("│", 2), ("┃", 2), ("║", 2), ("\t", 1), (",", 1), (";", 1), ("¦", 1), ("~", 2)):
+        if 2 * whole.count(mark) < least * len(rows):  # no half of the rows can be that
+            continue
+        bare = [re.sub(r'"[^"]*"', '""', x) for x in rows] if mark in ",;" else rows
+        counts = Counter(x.strip(" ").lstrip("\t").count(mark) if mark == "\t" else x.count(mark) for x in bare)
         n, times = max(((k, v) for k, v in counts.items() if k >= least), key=lambda kv: kv[1], default=(0, 0))
         if n and (mark not in ",;" or n >= 2 or not any(re.search(r"[,;]\s", x) for x in bare)):
             spaced = mark in ",;" and sum(f"{mark} " in x for x in bare) > 0.5 * len(bare)
@@ -147,10 +150,11 @@ def statistics(text: str) -> Stats:
     k = max(1, len(lines))
     tokens = text.split()
     words = WORD.findall(text)
-    visible = max(1, n - sum(map(str.isspace, text)))
+    lengths = list(map(len, tokens))
+    visible = max(1, sum(lengths))
     letters = sum(map(len, words))
-    digits = sum(map(str.isdigit, text))
-    lengths = [len(t) for t in tokens]
+    digits = sum(map(len, DIGITS.findall(text)))
+    longest = max(lengths, default=0)
     counted = Counter(x.strip() for x in lines)
     paragraphs = [p.strip() for p in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)", text) if p.strip()]
     sentences = [x.strip() for x in SENTENCE_BREAK.split(text) if x.strip()]
@@ -174,10 +178,10 @@ def statistics(text: str) -> Stats:
         duplicate_paragraph_share=1 - len(set(paragraphs)) / max(1, len(paragraphs)),
         duplicate_sentence_share=1 - len(set(sentences)) / max(1, len(sentences)),
         top_ngram_share=top_ngram_share(tokens, max(1, n)),
-        run_share=sum(m.end() - m.start() for t in set(tokens) if len(t) >= 40 for m in RUN.finditer(t)) / visible,
-        longest_word=max(lengths, default=0),
-        long_word_share=sum(x for x in lengths if x > 60) / visible,
-        single_letter_share=sum(len(t) == 1 and t.isalpha() for t in tokens) / max(1, len(tokens)),
+        run_share=sum(m.end() - m.start() for t in tokens if len(t) >= 40 for m in RUN.finditer(t)) / visible if longest >= 40 else 0.0,
+        longest_word=longest,
+        long_word_share=sum(x for x in lengths if x > 60) / visible if longest > 60 else 0.0,
+        single_letter_share=sum(t.isalpha() for t in tokens if len(t) == 1) / len(tokens) if 1 in lengths else 0.0,
         unspaced_share=len(UNSPACED.findall(text)) / visible,
         mojibake_share=len(MOJIBAKE.findall(text)) / visible,
         noise_share=len(IN_WORD_NOISE.findall(text)) / max(1, len(tokens)),
