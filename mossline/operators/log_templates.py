@@ -51,6 +51,8 @@ HEAD_TOKENS, TIME_WITHIN, TIME_CHARS = 16, 5, 48
 GAP, SLOTS = "…", ("<name>", "<number>", "<level>", "<group>", "<string>")
 ENDS_FIELD = ("|", ":", "-", "]", "<group>", "<level>", ">", ")")
 VALUES_KEPT = 24
+#: Partitions' templates are first merged in so many groups for each cluster.
+MERGE_BUCKETS = 512
 
 
 def clean(line: str) -> str:
@@ -355,7 +357,7 @@ def merged(parts: list[tuple[str, str, int, str]]) -> dict[tuple, Template]:
 
 
 def mined_templates(lines: DataFrame, message: str) -> dict[tuple, Template]:
-    """The templates of all lines. What reaches the driver is one row per cluster and distinct template, not per line."""
+    """The templates of all lines. Partitions are merged in two steps, so no task sees a row of each; the driver gets one row per cluster."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = mine(line for batch in batches for line in batch["line"] if line)
@@ -363,12 +365,13 @@ def mined_templates(lines: DataFrame, message: str) -> dict[tuple, Template]:
         yield pd.DataFrame(rows, columns=["key", "symbols", "n", "vals"])
 
     def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        rows = merged(list(group.itertuples(index=False, name=None)))
+        rows = merged(list(group[["key", "symbols", "n", "vals"]].itertuples(index=False, name=None)))
         return pd.DataFrame([(json.dumps(k), json.dumps(t.symbols), t.count, json.dumps({s: dict(v) for s, v in t.values.items()})) for k, t in rows.items()], columns=["key", "symbols", "n", "vals"])
 
     schema = "key string, symbols string, n long, vals string"
     per_partition = lines.select(F.col(message).alias("line")).mapInPandas(run, schema)
-    few = per_partition.groupBy("key").applyInPandas(reduce, schema)
+    some = per_partition.groupBy("key", F.pmod(F.spark_partition_id(), F.lit(MERGE_BUCKETS)).alias("bucket")).applyInPandas(reduce, schema)
+    few = some.groupBy("key").applyInPandas(reduce, schema)
     return merged([tuple(r) for r in few.collect()])
 
 

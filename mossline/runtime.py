@@ -16,6 +16,7 @@ def session(app: str = "mossline", master: str = "local[*]", **conf: str) -> Spa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # small inputs keep all cores busy; large ones don't notice
         "spark.ui.enabled": "false",
     }
     for key, value in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
