@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from mossline.plans import core_queries, reference_queries
 
-FLAGSHIP = "bm25_topk"
+FLAGSHIP = "rrf_penalized"
 QUERIES = core_queries.QUERIES | reference_queries.QUERIES
 ORACLES = core_queries.ORACLES | reference_queries.ORACLES
