@@ -20,8 +20,8 @@ from mossline.runtime import cut
 
 #: Least similarity (Jaccard) of member sets and least cosine of centroids of neighbours, and the length of a centroid.
 SAME_MEMBERS, SAME_DIRECTION, DIMENSIONS = 0.28, 0.85, 64
-#: A block of more records than this is divided by a second shared member; one that is still larger by pivots.
-BLOCK_ROWS, PIVOTS, CROWDED_BLOCKS = 2_000, 32, 4
+#: A block of more records than this is divided by a second shared member; one that is still larger is joined in tiles of so many rows.
+BLOCK_ROWS = 2_000
 #: Tables and bits of the direction hashes; a query also looks where up to two of its bits differ.
 TABLES, BITS = 5, 12
 
@@ -59,43 +59,48 @@ def followed(pointers: DataFrame) -> DataFrame:
             return now.withColumnRenamed("to", "peak")
 
 
-def member_edges(sets: DataFrame, least: float, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+def member_edges(sets: DataFrame, least: float, block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """a, b, distance, weight_a, weight_b: pairs of sets (id, tokens sorted, weight) with two common tokens and a Jaccard of `least` or more.
 
-    A pair with that similarity shares a token among the first n - ceil(least * n) + 1 of either set. In a block too large
-    for all its pairs, the records are divided by each further token they have, which loses no pair of two common tokens;
-    in a block of the same two tokens that is too large even so, each record meets `pivots` of the block only, in the
-    first few such blocks that it is in: what shares only such blocks is one vast group, which its pivots hold together.
+    A pair with that similarity shares a token among the first n - ceil(least * n) + 1 of either set, and its second common
+    token is one place further at most. In a block too large for all its pairs, the records are divided by each later token
+    up to there; a block of the same two tokens that is too large even so is joined tile by tile, a tile being one chunk of
+    the block against another. All pairs are judged, each in the block of its first, or first two, common tokens, so block
+    sizes don't change the result; `pivots` is accepted for callers of the former cut and changes nothing.
     """
-    first = F.expr(f"slice(tokens, 1, greatest(1, size(tokens) - cast(ceil({least} * size(tokens)) as int) + 1))")
-    rows = sets.select(F.explode(first).alias("token"), "id", "tokens", "weight")
-    hot = cut(sets.select(F.explode(first).alias("token")).groupBy("token").count().filter(F.col("count") > block_rows).select("token"))
+    needed = f"size(tokens) - greatest(2, cast(ceil({least} * size(tokens)) as int))"
+    rows = sets.filter("size(tokens) >= 2").select(F.explode(F.expr(f"slice(tokens, 1, {needed} + 1)")).alias("token"), "id", "tokens", "weight")
+    hot = cut(rows.groupBy("token").count().filter(F.col("count") > block_rows).select("token"))
     mirror = [F.col("id").alias("b"), F.col("tokens").alias("tokens_b"), F.col("weight").alias("weight_b")]
     enough = f"size(_common) >= 2 and size(_common) >= {least} * (size(tokens) + size(tokens_b) - size(_common))"
     jaccard = F.size("_common") / (F.size("tokens") + F.size("tokens_b") - F.size("_common"))
     judged = [F.col("id").alias("a"), "b", (1 - jaccard).cast("float").alias("distance"), F.col("weight").alias("weight_a"), "weight_b"]
+    common = F.array_intersect("tokens", "tokens_b")
 
     def meet(rows: DataFrame, keys: list[str]) -> DataFrame:
         placed = rows.select(*keys, "id", "tokens", "weight").repartition(*keys)
-        return placed.join(placed.select(*keys, *mirror), keys).filter("id < b").withColumn("_common", F.array_intersect("tokens", "tokens_b"))
+        return placed.join(placed.select(*keys, *mirror), keys).filter("id < b").withColumn("_common", common)
 
     if hot.isEmpty():
         return meet(rows, ["token"]).filter(f"_common[0] = token and {enough}").select(*judged)
     pairs = meet(rows.join(hot, "token", "left_anti"), ["token"]).filter(f"_common[0] = token and {enough}").select(*judged)
-    divided = rows.join(hot, "token").withColumn("second", F.explode("tokens")).filter("second <> token")
+    divided = rows.join(hot, "token").withColumn("second", F.explode(F.expr(f"slice(tokens, 1, {needed} + 2)"))).filter("second > token")
     two = ["token", "second"]
-    crowded = cut(divided.groupBy(*two).count().filter(F.col("count") > block_rows).select(*two))
-    small, large = divided.join(crowded, two, "left_anti"), divided.join(crowded, two)
-    lottery = Window.partitionBy(*two).orderBy(F.xxhash64("id"), "id")
-    pivot_rows = large.withColumn("_n", F.row_number().over(lottery)).filter(F.col("_n") <= pivots)
-    near = meet(small, two).filter(enough).select(*judged)
-    few = large.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("token", "second"))).filter(F.col("_n") <= CROWDED_BLOCKS)
-    star = few.join(pivot_rows.select(*two, *mirror), two).filter("id <> b").withColumn("_common", F.array_intersect("tokens", "tokens_b")).filter(enough)
-    star = star.select(
+    own_block = f"_common[0] = token and _common[1] = second and {enough}"
+    crowded = cut(divided.groupBy(*two).count().filter(F.col("count") > block_rows).select(*two, F.ceil(F.col("count") / block_rows).cast("int").alias("_chunks")))
+    pairs = pairs.union(meet(divided.join(crowded, two, "left_anti"), two).filter(own_block).select(*judged))
+    if crowded.isEmpty():
+        return pairs
+    large = divided.join(crowded, two).withColumn("_chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
+    tile = [*two, "_low", "_high"]
+    left = large.select(*two, F.col("_chunk").alias("_low"), F.explode(F.sequence("_chunk", F.col("_chunks") - 1)).alias("_high"), "id", "tokens", "weight")
+    right = large.select(*two, F.explode(F.sequence(F.lit(0), F.col("_chunk"))).alias("_low"), F.col("_chunk").alias("_high"), *mirror)
+    met = left.join(right, tile).filter("_low < _high or id < b").withColumn("_common", common).filter(own_block)
+    swapped = F.col("id") > F.col("b")
+    return pairs.union(met.select(
         F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), (1 - jaccard).cast("float").alias("distance"),
-        F.when(F.col("id") < F.col("b"), F.col("weight")).otherwise(F.col("weight_b")).alias("weight_a"), F.when(F.col("id") < F.col("b"), F.col("weight_b")).otherwise(F.col("weight")).alias("weight_b"),
-    )
-    return pairs.union(near).union(star).dropDuplicates(["a", "b"])
+        F.when(swapped, F.col("weight_b")).otherwise(F.col("weight")).alias("weight_a"), F.when(swapped, F.col("weight")).otherwise(F.col("weight_b")).alias("weight_b"),
+    ))
 
 
 def planes(dimensions: int, seed: int = 11) -> np.ndarray:

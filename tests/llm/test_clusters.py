@@ -53,6 +53,21 @@ def test_every_pair_above_the_threshold_is_an_edge(spark):
         assert set(got) == exact and len(got) == len(exact)
 
 
+def test_no_pair_of_a_group_larger_than_a_block_is_lost(spark):
+    rng, size = random.Random(6), C.BLOCK_ROWS + 100
+    sets = [(i, [-2, -1, *sorted(rng.sample(range(14), 3))], 1 + i % 3) for i in range(size)]
+    rows = spark.createDataFrame(sets, "id bigint, tokens array<int>, weight bigint")
+    x = np.zeros((size, 16), np.int64)
+    for i, tokens, _ in sets:
+        x[i, np.array(tokens) + 2] = 1
+    common = x @ x.T
+    near = np.triu(common >= 0.28 * (10 - common), 1)
+    weight = np.array([w for *_, w in sets])
+    found = C.member_edges(rows, 0.28).toPandas()
+    assert len(found) == near.sum() and near[found.a, found.b].all() and not found.duplicated(["a", "b"]).any()
+    assert (found.weight_a == weight[found.a]).all() and (found.weight_b == weight[found.b]).all()
+
+
 def test_pointers_lead_to_the_densest(spark):
     nodes = spark.createDataFrame([(i, 1, 0) for i in range(6)], "id bigint, weight bigint, grade int")
     edges = spark.createDataFrame([(0, 1, 0.1, 1, 1), (1, 2, 0.2, 1, 1), (2, 3, 0.3, 1, 1)], "a bigint, b bigint, distance double, weight_a bigint, weight_b bigint")
