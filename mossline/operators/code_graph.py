@@ -144,5 +144,7 @@ def reached(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     for hop in range(1, hops + 1):
         ahead = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
         frontier = cut(ahead.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(hop)))
+        if frontier.isEmpty():
+            break
         seen = seen.union(frontier)
     return seen

@@ -160,13 +160,15 @@ def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Li
 RESULT = "instance_id string, run int, rank int, node_id string, score double, distance int, chain_score double, lines array<int>, ended string, iterations int"
 
 
-def traversed(seeds: DataFrame, edges: DataFrame, scores: DataFrame, *, statements: DataFrame | None = None, limits: Limits = Limits(), reasoner: Reasoner = bounded_reasoner, hops: int = 3) -> DataFrame:
+def traversed(seeds: DataFrame, edges: DataFrame, scores: DataFrame, *, statements: DataFrame | None = None, limits: Limits = Limits(), reasoner: Reasoner = bounded_reasoner, hops: int | None = None) -> DataFrame:
     """instance_id, run, rank (from 1), node_id, score, distance, chain_score, lines, ended, iterations: the best functions of each search.
 
     seeds: instance_id, run, node_id, prior, rank; edges: src, dst, edge_type; scores: instance_id, node_id, sem;
     statements: node_id, line, sem. Of edges and scores, only what lies within `hops` of an instance's seeds is shipped, once
-    for all runs of the instance; runs that start alike are searched once.
+    for all runs of the instance; runs that start alike are searched once. A hop takes two iterations, an expansion and a
+    read, so by default nothing is left out that the iterations could reach.
     """
+    hops = limits.iterations // 2 if hops is None else hops
     starts = seeds.select(F.col("node_id").alias("start")).distinct()
     near = reached(edges.select("src", "dst").distinct(), starts, hops).select(F.col("start").alias("node_id"), F.col("node").alias("near"))
     region = seeds.select("instance_id", "node_id").distinct().join(near, "node_id").select("instance_id", F.col("near").alias("node_id")).distinct()

@@ -124,3 +124,14 @@ def test_search_for_many_instances_does_not_depend_on_order(spark):
     first = sorted(map(str, traversed(seeds, edges, scores).collect()))
     assert first == sorted(map(str, traversed(seeds.repartition(3), edges.repartition(2), scores).collect()))
     assert sum("node_id='A'" in r for r in first) == 3 and sum("node_id='B'" in r for r in first) == 3
+
+
+def test_search_reaches_as_deep_as_its_iterations(spark):
+    names = [f"n{i}" for i in range(20)]
+    seeds = spark.createDataFrame([("i", 0, "n0", 1.0, 1)], "instance_id string, run int, node_id string, prior double, rank int")
+    edges = spark.createDataFrame([(a, b, "invoke") for a, b in zip(names, names[1:], strict=False)], "src string, dst string, edge_type string")
+    sem = {n: 5.0 * i for i, n in enumerate(names)}
+    scores = spark.createDataFrame([("i", n, x) for n, x in sem.items()], "instance_id string, node_id string, sem double")
+    whole, ended, steps = search([("n0", 1.0)], Graph(sem, {"invoke": {a: [b] for a, b in zip(names, names[1:], strict=False)}}))
+    got = traversed(seeds, edges, scores).orderBy("rank").collect()
+    assert [(r.node_id, r.distance, r.ended, r.iterations) for r in got] == [(n, d, ended, steps) for n, _, d, _, _ in whole] and max(r.distance for r in got) > 3
