@@ -163,12 +163,13 @@ RESULT = "instance_id string, run int, rank int, node_id string, score double, d
 def traversed(seeds: DataFrame, edges: DataFrame, scores: DataFrame, *, statements: DataFrame | None = None, limits: Limits = Limits(), reasoner: Reasoner = bounded_reasoner, hops: int | None = None) -> DataFrame:
     """instance_id, run, rank (from 1), node_id, score, distance, chain_score, lines, ended, iterations: the best functions of each search.
 
-    seeds: instance_id, run, node_id, prior, rank; edges: src, dst, edge_type; scores: instance_id, node_id, sem;
-    statements: node_id, line, sem. Of edges and scores, only what lies within `hops` of an instance's seeds is shipped, once
-    for all runs of the instance; runs that start alike are searched once. A hop takes two iterations, an expansion and a
-    read, so by default nothing is left out that the iterations could reach.
+    seeds: instance_id, run, node_id, prior, rank; edges: src, dst, edge_type; scores: instance_id, node_id, sem and, if runs
+    differ, run; statements: node_id, line, sem. Of edges and scores, only what lies within `hops` of an instance's seeds is
+    shipped, once for all runs of the instance; runs of equal seeds and scores are searched once. A hop takes two
+    iterations, an expansion and a read, so by default nothing is left out that the iterations could reach.
     """
     hops = limits.iterations // 2 if hops is None else hops
+    own_scores = "run" in scores.columns
     starts = seeds.select(F.col("node_id").alias("start")).distinct()
     near = reached(edges.select("src", "dst").distinct(), starts, hops).select(F.col("start").alias("node_id"), F.col("node").alias("near"))
     region = seeds.select("instance_id", "node_id").distinct().join(near, "node_id").select("instance_id", F.col("near").alias("node_id")).distinct()
@@ -177,20 +178,26 @@ def traversed(seeds: DataFrame, edges: DataFrame, scores: DataFrame, *, statemen
         (F.col(kind) if kind else F.lit(None)).cast("string").alias("kind"), (F.col(x) if x else F.lit(None)).cast("double").alias("x"), (F.col(n) if n else F.lit(None)).cast("int").alias("n"),
     ]
     rows = seeds.select(*columns("seed", "node_id", x="prior", n="rank", run="run"))
-    scored = region.join(scores, ["instance_id", "node_id"], "left").withColumn("sem", F.coalesce("sem", F.lit(0.0)))
-    rows = rows.union(scored.select(*columns("score", "node_id", x="sem")))
+    if own_scores:
+        rows = rows.union(region.withColumn("sem", F.lit(0.0)).select(*columns("score", "node_id", x="sem")))
+        rows = rows.union(region.join(scores, ["instance_id", "node_id"]).select(*columns("own", "node_id", x="sem", run="run")))
+    else:
+        scored = region.join(scores, ["instance_id", "node_id"], "left").withColumn("sem", F.coalesce("sem", F.lit(0.0)))
+        rows = rows.union(scored.select(*columns("score", "node_id", x="sem")))
     rows = rows.union(region.join(edges.select(F.col("src").alias("node_id"), "dst", "edge_type"), "node_id").select(*columns("edge", "node_id", "dst", "edge_type")))
     if statements is not None:
         rows = rows.union(region.join(statements, "node_id").select(*columns("line", "node_id", x="sem", n="line")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph, begin = Graph({}), {}
+        graph, begin, own_of = Graph({}), {}, {}
         ordered = sorted(zip(*(pdf[c].tolist() for c in ("part", "a", "kind", "b", "x", "n", "run")), strict=True), key=lambda r: (r[0], r[5] if r[5] == r[5] and r[5] is not None else 0, r[1], r[2] or "", r[3] or ""))
         for part, a, kind, b, x, n, number in ordered:
             if part == "seed":
                 begin.setdefault(int(number), []).append((a, x))
             elif part == "score":
                 graph.scores[a] = x
+            elif part == "own":
+                own_of.setdefault(int(number), {})[a] = x
             elif part == "edge":
                 graph.edges.setdefault(kind, {}).setdefault(a, []).append(b)
             else:
@@ -198,9 +205,11 @@ def traversed(seeds: DataFrame, edges: DataFrame, scores: DataFrame, *, statemen
         known: dict[tuple, tuple] = {}
         out = []
         for number, own in sorted(begin.items()):
-            if tuple(own) not in known:
-                known[tuple(own)] = search(own, graph, limits, reasoner)
-            best, ended, steps = known[tuple(own)]
+            scored = own_of.get(number, {})
+            alike = (tuple(own), tuple(scored.items()))
+            if alike not in known:
+                known[alike] = search(own, Graph(graph.scores | scored, graph.edges, graph.statements), limits, reasoner)
+            best, ended, steps = known[alike]
             out.extend((pdf["instance_id"].iloc[0], number, i + 1, *x, ended, steps) for i, x in enumerate(best))
         return pd.DataFrame(out, columns=["instance_id", "run", "rank", "node_id", "score", "distance", "chain_score", "lines", "ended", "iterations"])
 

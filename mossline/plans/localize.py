@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mossline.functions import text as T
-from mossline.operators import code_graph, consensus, retrieval, seeding, traversal
+from mossline.functions.vectors import dot
+from mossline.operators import consensus, retrieval, seeding, traversal
+from mossline.plans import providers
 from mossline.runtime import cut
 
 
@@ -36,25 +38,50 @@ def reports(issues: DataFrame) -> DataFrame:
 
 
 def lexical_scores(reports: DataFrame, functions: DataFrame) -> DataFrame:
-    """instance_id, node_id, sem: the share of a function's name parts that the report has; the scorer used without a model.
+    """instance_id, run if reports have it, node_id, sem: the share of a function's name parts that the report has; the scorer used without a model.
 
     Only pairs that share a token are scored, by an equi-join on repository and token.
     """
+    case = [c for c in ("instance_id", "run") if c in reports.columns]
     parts = functions.select("repo", "node_id", F.explode(F.array_distinct(T.code_tokens(F.concat_ws(" ", "qualname", "docstring")))).alias("token"))
     sizes = parts.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
-    asked = reports.select("instance_id", "repo", F.explode(F.array_distinct(T.code_tokens(F.col("text")))).alias("token"))
-    shared = asked.join(parts, ["repo", "token"]).groupBy("instance_id", "node_id").agg(F.count(F.lit(1)).alias("m"))
-    return shared.join(sizes, "node_id").select("instance_id", "node_id", F.round(F.col("m") / F.col("n"), 6).alias("sem"))
+    asked = reports.select(*case, "repo", F.explode(F.array_distinct(T.code_tokens(F.col("text")))).alias("token"))
+    shared = asked.join(parts, ["repo", "token"]).groupBy(*case, "node_id").agg(F.count(F.lit(1)).alias("m"))
+    return shared.join(sizes, "node_id").select(*case, "node_id", F.round(F.col("m") / F.col("n"), 6).alias("sem"))
+
+
+def pooled_and_reranked(found: DataFrame, variants: DataFrame, files: DataFrame, known: DataFrame, top_files: int = 3) -> DataFrame:
+    """instance_id, run, node_id, score, rank (from 0): each run's functions and the nearest of its first files, by their vectors and the run's report.
+
+    found: instance_id, run, node_id, rank; variants: instance_id, run, text; files: instance_id, repo, file_path, rank (from
+    0). Instance and run together stand for the instance of the operators of `consensus`.
+    """
+    case = F.struct("instance_id", "run").alias("instance_id")
+    asked = cut(providers.encoded(variants.select(case, "text"), key="instance_id", text="text").select("instance_id", F.col("vector").alias("query")))
+    vectors = cut(providers.encoded(known.select("node_id", F.concat_ws("\n", "qualname", "docstring").alias("text")), key="node_id", text="text"))
+    first = files.filter(F.col("rank") < top_files).join(variants.select("instance_id", "run"), "instance_id").select(case, "repo", "file_path", "rank")
+    inside = first.join(known.select("repo", "file_path", "node_id"), ["repo", "file_path"]).join(vectors, "node_id").join(asked, "instance_id")
+    near = inside.select(F.col("instance_id").alias("repo"), "file_path", "node_id", (-F.round(dot(F.col("vector"), F.col("query")), 6)).alias("order_key"))
+    searched = found.select(case, "node_id", "rank")
+    pool = consensus.extended_pool(searched, first.withColumn("repo", F.col("instance_id")), near, top_files=top_files)
+    placed = pool.join(searched, ["instance_id", "node_id"], "left").withColumn("rank", F.coalesce("rank", F.lit(1_000_000)))
+    candidates = placed.join(vectors, "node_id", "left").join(asked, "instance_id", "left")
+    return consensus.reranked(candidates, key="node_id").select("instance_id.*", "node_id", "score", "rank")
 
 
 def localize(issues: DataFrame, rankings: DataFrame, index: Index, *, runs: int = 3, limits: traversal.Limits = traversal.Limits()) -> DataFrame:
-    """instance_id, function_key, score, appearances, label, rank: functions that each report points to, after a vote of `runs` searches."""
+    """instance_id, function_key, score, appearances, label, rank: functions that each report points to, after a vote of `runs` searches.
+
+    Each run has its own variant of the report, which decides its scores, its pool and the order of its result. Without a
+    model there are no paraphrases, so runs from the third on see the report as it is, and no listwise order of the head.
+    """
     asked = cut(reports(issues))
     known = cut(functions(index.nodes))
-    files = retrieval.penalised(retrieval.reciprocal_ranks(retrieval.list_positions(rankings)), 20).join(asked.select("instance_id", "repo"), "instance_id")
+    numbers = F.broadcast(asked.sparkSession.range(runs).select(F.col("id").cast("int").alias("run")))
+    variants = cut(asked.crossJoin(numbers).select("instance_id", "repo", "run", T.run_variant(F.col("text"), F.col("run")).alias("text")))
+    files = cut(retrieval.penalised(retrieval.reciprocal_ranks(retrieval.list_positions(rankings)), 20).join(asked.select("instance_id", "repo"), "instance_id"))
     seeds = seeding.seeds(stack=seeding.stack_matches(asked, known), literal=seeding.literal_matches(asked, known), files=seeding.file_matches(files, known))
-    each = seeds.crossJoin(F.broadcast(seeds.sparkSession.range(runs).select(F.col("id").cast("int").alias("run"))))
-    found = traversal.traversed(cut(each), index.edges, lexical_scores(asked, known), limits=limits)
+    found = cut(traversal.traversed(cut(seeds.crossJoin(numbers)), index.edges, lexical_scores(variants, known), limits=limits))
     keys = known.select("node_id", F.concat_ws("::", "file_path", "qualname").alias("function_key"))
-    ranked = found.join(keys, "node_id").select("instance_id", "run", (F.col("rank") - 1).alias("rank"), "function_key", "score")
+    ranked = pooled_and_reranked(found, variants, files, known).join(keys, "node_id").select("instance_id", "run", "rank", "function_key", "score")
     return consensus.vote(ranked, runs, key="function_key")

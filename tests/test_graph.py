@@ -135,3 +135,10 @@ def test_search_reaches_as_deep_as_its_iterations(spark):
     whole, ended, steps = search([("n0", 1.0)], Graph(sem, {"invoke": {a: [b] for a, b in zip(names, names[1:], strict=False)}}))
     got = traversed(seeds, edges, scores).orderBy("rank").collect()
     assert [(r.node_id, r.distance, r.ended, r.iterations) for r in got] == [(n, d, ended, steps) for n, _, d, _, _ in whole] and max(r.distance for r in got) > 3
+
+
+def test_runs_are_searched_with_their_own_scores(spark):
+    seeds = spark.createDataFrame([("i", r, n, 1.0, k) for r in range(2) for k, n in enumerate("AB")], "instance_id string, run int, node_id string, prior double, rank int")
+    edges = spark.createDataFrame([], "src string, dst string, edge_type string")
+    scores = spark.createDataFrame([("i", 0, "A", 1.0), ("i", 1, "B", 1.0)], "instance_id string, run int, node_id string, sem double")
+    assert {r.run: r.node_id for r in traversed(seeds, edges, scores).filter("rank = 1").collect()} == {0: "A", 1: "B"}
