@@ -427,7 +427,7 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spherical k-means of all vectors; which groups come out depends on the start, so only the rule can be checked."""
-    assigned, _ = grouping.kmeans(table(spark, sf_dir, "embeddings"), key="vec_id", vector="embedding", dimensions=64, iterations=5)
+    assigned, _ = grouping.kmeans(table(spark, sf_dir, "embeddings"), key="vec_id", vector="embedding", dimensions=64)
     return assigned
 
 

@@ -84,3 +84,13 @@ def test_cache_and_settings(spark, tmp_path):
     loaded = settings.load(str(tmp_path / "own.yaml"))
     assert loaded["a"] == {"x": 1, "y": 3} and settings.limits(loaded).iterations == 5
     assert "–" in E.markdown({"mrr": float("nan"), "n": 3}, "own")
+
+
+def test_concepts_are_grouped_until_nothing_moves(spark, tmp_path, monkeypatch):
+    from mossline.plans import reference_queries
+
+    asked = []
+    monkeypatch.setattr(K, "kmeans", lambda records, **options: (asked.append(options), (records, records))[1])
+    spark.createDataFrame([(1, [1.0] * 64)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    reference_queries.kmeans_concepts(spark, str(tmp_path))
+    assert asked == [{"key": "vec_id", "vector": "embedding", "dimensions": 64}]
