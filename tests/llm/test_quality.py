@@ -42,3 +42,14 @@ def test_table_of_documents(spark):
     assert sorted((r.doc_id or 0, r.kind) for r in got) == [(0, "junk"), (1, ""), (2, ""), (3, ""), (4, "list"), (4, "list"), (5, "junk"), (6, "junk")]
     assert all(r.n_chars == 0 and r.n_words == 0 for r in got if r.doc_id in (2, 3))
     assert Q.quality(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_table_shares_are_exact_and_rows_of_any_length():
+    assert Q.table_share(["a|b|c"] * 4 + ["plain"] * 6) == 0.4
+    rows = ["a|b|c"] * 9 + ["a|" + "long " * 1_000 + "|c"]
+    assert Q.table_share(rows) == 1.0
+    assert Q.table_share([r"1 & 2 \\\\", "<td>" + "x & " * 5_000, "x & " * 20_000]) == 2 / 3
+
+
+def test_common_words_are_those_of_the_whole_list():
+    assert Q.statistics("we were would ich sie hat war je nous vous para com").common_share == 1.0
