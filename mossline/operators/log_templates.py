@@ -50,7 +50,6 @@ TIME = re.compile("|".join(f"(?P<{k}>{v})" for k, v in TIMES.items()))
 HEAD_TOKENS, TIME_WITHIN, TIME_CHARS = 16, 5, 48
 GAP, SLOTS = "…", ("<name>", "<number>", "<level>", "<group>", "<string>")
 ENDS_FIELD = ("|", ":", "-", "]", "<group>", "<level>", ">", ")")
-VALUES_KEPT = 24
 #: Partitions' templates are first merged in so many groups for each cluster.
 MERGE_BUCKETS = 512
 
@@ -153,7 +152,7 @@ def fits(template: tuple[str, ...], shape: tuple[str, ...]) -> bool:
 
 @dataclass
 class Template:
-    """A cluster: what all its lines share, how many they are, and the values that its slots and keys took."""
+    """A cluster: what all its lines share, how many they are, and of its slots and keys how many values had which property."""
 
     symbols: tuple[str, ...]
     count: int = 0
@@ -164,16 +163,16 @@ class Template:
         if not fits(self.symbols, symbols):
             self.symbols = common(self.symbols, symbols)
 
-    def see(self, slot: str, value: str, count: int = 1) -> None:
-        """Counts a value; a slot with many is marked so by None and keeps no more. Texts add to a count of blanks."""
+    def see(self, slot: str, value: str) -> None:
+        """Counts a value and which of the properties that tell slots apart it has: levels, whole numbers, texts with blanks."""
         seen = self.values[slot]
+        seen["all"] += 1
         if " " in value:
-            seen["\0text"] += count
-        short = value[:VALUES_KEPT]
-        if short in seen or len(seen) < 2 * VALUES_KEPT:
-            seen[short] += count
-        else:
-            seen["\0more"] += count
+            seen["text"] += 1
+        if value.isdecimal():
+            seen["number"] += 1
+        if is_level(value):
+            seen["level"] += 1
 
 
 def cluster_key(symbols: list[str]) -> tuple[str, ...] | None:
@@ -259,9 +258,9 @@ class Layout:
     length: int = 0
 
 
-def share(values: Counter, test) -> float:
-    total = sum(n for v, n in values.items() if v not in ("\0text",))
-    return sum(n for v, n in values.items() if not v.startswith("\0") and test(v)) / total if total else 0.0
+def share(values: Counter, name: str) -> float:
+    """The share of all values of a slot that have a property."""
+    return values[name] / values["all"] if values["all"] else 0.0
 
 
 def is_level(value: str) -> bool:
@@ -277,12 +276,12 @@ def keyed_layout(mark: str, timed: str, template: Template) -> Layout:
     """Slots of key-value lines: the level by its values, message and component by their texts and then their names."""
     values = template.values
     others = [k[:-1] for k in values if not k.startswith("\0") and k[:-1] != timed]
-    levels = [k for k in others if share(values[f"{k}="], is_level) > 0.9]
+    levels = [k for k in others if share(values[f"{k}="], "level") > 0.9]
     level = "\0".join(sorted(levels, key=lambda k: (k.lower() not in ("level", "lvl", "severity"), k))) or None
     rest = [k for k in others if k not in levels]
-    spoken = {k: values[f"{k}="]["\0text"] / max(1, template.count) for k in rest}
+    spoken = {k: values[f"{k}="]["text"] / max(1, template.count) for k in rest}
     message = max(rest, key=lambda k: (k.lower() in MESSAGE_KEYS, spoken[k], k), default=None)
-    names = [k for k in rest if k != message and spoken[k] < 0.5 and share(values[f"{k}="], lambda v: re.fullmatch(r"\d+", v) is None) > 0.5]
+    names = [k for k in rest if k != message and spoken[k] < 0.5 and share(values[f"{k}="], "number") < 0.5]
     component = min(names, key=lambda k: (COMPONENT_KEYS.index(k.lower()) if k.lower() in COMPONENT_KEYS else len(COMPONENT_KEYS), k), default=None)
     return Layout(True, mark, timed, level, component, message)
 
@@ -315,7 +314,7 @@ def positional_layouts(key: tuple[str, ...], template: Template) -> list[Layout]
     level = component = None
     for i, s in enumerate(own):
         values = template.values.get(str(i), Counter())
-        if i > timed and level is None and (s in ("<level>", "[<level>]") or (s == "<name>" and share(values, is_level) > 0.9)):
+        if i > timed and level is None and (s in ("<level>", "[<level>]") or (s == "<name>" and share(values, "level") > 0.9)):
             level = i
     names = [i for i, s in enumerate(own) if i > timed and i != level and s == "<name>"]
     groups = [i for i, s in enumerate(own) if i > timed and i != level and s == "<group>"]
@@ -347,12 +346,7 @@ def merged(parts: list[tuple[str, str, int, str]]) -> dict[tuple, Template]:
         template = out.setdefault(key, Template(symbols))
         template.add(symbols, count)
         for slot, values in json.loads(values_text).items():
-            for value, n in values.items():
-                if value.startswith("\0"):
-                    template.values[slot][value] += n
-                else:
-                    seen = template.values[slot]
-                    seen[value if value in seen or len(seen) < 4 * VALUES_KEPT else "\0more"] += n
+            template.values[slot].update(values)
     return out
 
 

@@ -71,3 +71,8 @@ def test_common_subsequence_marks_gaps():
     assert L.common(("a", "b", "c"), ("a", "c")) == ("a", L.GAP, "c")
     assert L.common(("a", "b"), ("a", "b")) == ("a", "b")
     assert L.fits(("a", L.GAP, "c"), ("a", "x", "y", "c")) and not L.fits(("a", "c"), ("a", "x", "c"))
+
+
+def test_a_component_may_have_any_number_of_names(spark):
+    lines = [(1, i, f'{{"time": "2022-03-01T10:{i // 60 % 60:02}:{i % 60:02}Z", "level": "info", "logger": "module{i % 400}.worker", "msg": "did it again"}}') for i in range(1_200)]
+    assert {(r[4], r[5]) for r in entries(spark, lines)} == {("INFO", f"module{k}.worker") for k in range(400)}
