@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from mossline.functions import text as T
 from mossline.functions.vectors import dot
 from mossline.operators import consensus, retrieval, seeding, traversal
-from mossline.plans import providers
 from mossline.runtime import cut
 
 
@@ -50,6 +49,16 @@ def lexical_scores(reports: DataFrame, functions: DataFrame) -> DataFrame:
     return shared.join(sizes, "node_id").select(*case, "node_id", F.round(F.col("m") / F.col("n"), 6).alias("sem"))
 
 
+def encoded(texts: DataFrame, *, key: str, dimensions: int = 64) -> DataFrame:
+    """key, vector: the vectors of `functions.vectors.hashed_vector`, by aggregates over the tokens of key, text."""
+    tokens = texts.select(F.col(key).alias("_k"), F.explode(T.code_tokens(F.col("text"))).alias("t"))
+    signed = tokens.select("_k", F.pmod(F.xxhash64("t"), F.lit(dimensions)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64("t", F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))
+    sums = signed.groupBy("_k", "i").agg(F.sum("s").alias("x"))
+    unit = sums.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_l"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.when(F.col("_l") > 0, F.col("_l")).otherwise(1.0))
+    return unit.select(F.col("_k").alias(key), at.alias("vector"))
+
+
 def pooled_and_reranked(found: DataFrame, variants: DataFrame, files: DataFrame, known: DataFrame, top_files: int = 3) -> DataFrame:
     """instance_id, run, node_id, score, rank (from 0): each run's functions and the nearest of its first files, by their vectors and the run's report.
 
@@ -57,11 +66,11 @@ def pooled_and_reranked(found: DataFrame, variants: DataFrame, files: DataFrame,
     0). Instance and run together stand for the instance of the operators of `consensus`.
     """
     case = F.struct("instance_id", "run").alias("instance_id")
-    asked = cut(providers.encoded(variants.select(case, "text"), key="instance_id", text="text").select("instance_id", F.col("vector").alias("query")))
-    vectors = cut(providers.encoded(known.select("node_id", F.concat_ws("\n", "qualname", "docstring").alias("text")), key="node_id", text="text"))
+    asked = cut(encoded(variants.select(case, "text"), key="instance_id").select("instance_id", F.col("vector").alias("query")))
+    vectors = cut(encoded(known.select("node_id", F.concat_ws("\n", "qualname", "docstring").alias("text")), key="node_id"))
     first = files.filter(F.col("rank") < top_files).join(variants.select("instance_id", "run"), "instance_id").select(case, "repo", "file_path", "rank")
-    inside = first.join(known.select("repo", "file_path", "node_id"), ["repo", "file_path"]).join(vectors, "node_id").join(asked, "instance_id")
-    near = inside.select(F.col("instance_id").alias("repo"), "file_path", "node_id", (-F.round(dot(F.col("vector"), F.col("query")), 6)).alias("order_key"))
+    inside = first.join(known.select("repo", "file_path", "node_id"), ["repo", "file_path"]).join(vectors, "node_id", "left").join(asked, "instance_id", "left")
+    near = inside.select(F.col("instance_id").alias("repo"), "file_path", "node_id", (-F.round(F.coalesce(dot(F.col("vector"), F.col("query")), F.lit(0.0)), 6)).alias("order_key"))
     searched = found.select(case, "node_id", "rank")
     pool = consensus.extended_pool(searched, first.withColumn("repo", F.col("instance_id")), near, top_files=top_files)
     placed = pool.join(searched, ["instance_id", "node_id"], "left").withColumn("rank", F.coalesce("rank", F.lit(1_000_000)))

@@ -509,7 +509,7 @@ def statement_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def localized_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions that each report points to, by search and vote."""
+    """Functions that each report points to, by searches, their pools reranked, and a vote."""
     edges = cut(code_graph.structural_edges(cut(skeleton_rows(spark, sf_dir))).select("src", "dst", "edge_type").filter("edge_type in ('invoke', 'inherit')"))
     return plan.localize(table(spark, sf_dir, "issues"), table(spark, sf_dir, "rankings"), plan.Index(table(spark, sf_dir, "nodes"), edges))
 

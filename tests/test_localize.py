@@ -1,6 +1,7 @@
 from datetime import datetime
 
-from mossline.plans.localize import Index, localize
+from mossline.plans import providers
+from mossline.plans.localize import Index, encoded, localize
 
 
 def test_runs_see_their_own_report_and_pool(spark):
@@ -15,3 +16,9 @@ def test_runs_see_their_own_report_and_pool(spark):
     found = {r.function_key: (r.appearances, r.label) for r in localize(issues, rankings, Index(nodes, edges)).collect()}
     assert found["a.py::broken_parser"] == found["a.py::lost_header"] == (3, "high")
     assert found["a.py::seed"] == (1, "low")
+
+
+def test_vectors_are_those_of_the_hashed_encoder(spark):
+    texts = spark.createDataFrame([(1, "read_file of a path"), (2, "seed seed other")], "k int, text string")
+    of = lambda frame: {r.k: [round(x, 9) for x in r.vector] for r in frame.collect()}
+    assert of(encoded(texts, key="k")) == of(providers.encoded(texts, key="k", text="text"))
