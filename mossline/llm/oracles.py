@@ -56,7 +56,7 @@ fused AS (SELECT g AS instance_id, i AS file_path, round(avg({QUANTILE}), 9) AS
 P6_FOUND = P6_FUSED + "SELECT instance_id, arg_min(file_path, struct_pack(a := -fused, b := -n_lists, c := file_path)) AS file_path FROM fused GROUP BY instance_id"
 
 # Groups of these tables are cliques of similar rows, so the smallest id among a row's neighbours names its group.
-P1_FOUND = """
+P1_GROUPS = """
 WITH c AS (
   SELECT concept_id, coalesce(repo, '') AS repo, list_distinct(list_filter(coalesce(member_function_ids, []), lambda m: m IS NOT NULL AND m <> '')) AS m, centroid
   FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY built_at DESC) AS k FROM concepts WHERE concept_id IS NOT NULL) WHERE k = 1
@@ -71,7 +71,29 @@ v AS (
 placed AS (SELECT q AS concept_id, arg_max(g.grp, cos) AS grp FROM s JOIN g ON g.concept_id = r GROUP BY q),
 rest AS (SELECT v.concept_id, least(v.concept_id, coalesce(min(s.r), v.concept_id)) AS grp FROM v LEFT JOIN s ON s.q = v.concept_id AND s.n = 0 WHERE v.n = 0 AND v.concept_id NOT IN (SELECT concept_id FROM placed) GROUP BY v.concept_id),
 every AS (SELECT concept_id, grp FROM g UNION ALL SELECT * FROM placed UNION ALL SELECT * FROM rest)
-SELECT a.concept_id AS concept_a, b.concept_id AS concept_b FROM every a JOIN every b ON a.grp = b.grp AND a.concept_id < b.concept_id
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_decoded": P7_DECODED}
+P1_FOUND = P1_GROUPS + "SELECT a.concept_id AS concept_a, b.concept_id AS concept_b FROM every a JOIN every b ON a.grp = b.grp AND a.concept_id < b.concept_id"
+
+# The density of a concept is the number of rows near its latest row, by members or, without any, by centroid.
+P1_CLUSTERS = P1_GROUPS + """, lone AS (SELECT concept_id, grp FROM every UNION ALL SELECT concept_id, concept_id FROM c WHERE concept_id NOT IN (SELECT concept_id FROM every)),
+named AS (SELECT concept_id, min(concept_id) OVER (PARTITION BY grp) AS cluster FROM lone),
+every_row AS (
+  SELECT concept_id, coalesce(repo, '') AS repo, label, list_sort(list_distinct(list_filter(coalesce(member_function_ids, []), lambda m: m IS NOT NULL AND m <> ''))) AS m, member_function_ids AS plain, centroid,
+         coalesce(len(centroid) = 64 AND len(list_filter(centroid, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[]) > 0, false) AS usable
+  FROM concepts WHERE concept_id IS NOT NULL
+), sets AS (SELECT repo, m, count(*) AS w, row_number() OVER (ORDER BY repo, m) AS s FROM every_row WHERE len(m) > 0 GROUP BY repo, m),
+st AS (SELECT s, repo, w, len(m) AS n, unnest(m) AS m FROM sets),
+so AS (SELECT a.s AS a, b.s AS b, b.w, a.n AS na, b.n AS nb, count(*) AS k FROM st a JOIN st b ON a.repo = b.repo AND a.m = b.m AND a.s <> b.s GROUP BY ALL),
+sd AS (SELECT repo, m, w + coalesce((SELECT sum(so.w) FROM so WHERE so.a = sets.s AND k >= 2 AND k >= 0.28 * (na + nb - k)), 0) AS density FROM sets),
+faces AS (SELECT repo, centroid, count(*) AS w, list_transform(centroid::DOUBLE[], lambda x: x / sqrt(list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[]))) AS u FROM every_row WHERE len(m) = 0 AND usable GROUP BY repo, centroid),
+fd AS (SELECT a.repo, a.centroid, sum(b.w) AS density FROM faces a JOIN faces b ON a.repo = b.repo AND (a.centroid = b.centroid OR list_dot_product(a.u, b.u) >= 0.85) GROUP BY a.repo, a.centroid),
+cd AS (SELECT c.concept_id, coalesce(sd.density, fd.density, 1) AS density FROM c LEFT JOIN sd ON sd.repo = c.repo AND sd.m = list_sort(c.m) LEFT JOIN fd ON fd.repo = c.repo AND len(c.m) = 0 AND fd.centroid = c.centroid),
+content AS (SELECT concept_id, max(struct_pack(l := lower(trim(label)), m := plain)) AS x FROM every_row GROUP BY concept_id),
+lab AS (SELECT cluster, label FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS k FROM (SELECT cluster, x.l AS label, count(*) AS n FROM named JOIN content USING (concept_id) WHERE x.l <> '' GROUP BY ALL)) WHERE k = 1),
+mem AS (SELECT cluster, list(m ORDER BY k) AS typical_members FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, m) AS k FROM (SELECT cluster, m, count(*) AS n FROM (SELECT cluster, concept_id, unnest(list_distinct(x.m)) AS m FROM named JOIN content USING (concept_id)) WHERE m <> '' GROUP BY ALL)) WHERE k <= 5 GROUP BY cluster),
+top AS (SELECT cluster, count(*) AS size, list(concept_id ORDER BY k) FILTER (WHERE k <= 5) AS typical_concepts FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY density DESC, concept_id) AS k FROM named JOIN cd USING (concept_id)) GROUP BY cluster)
+SELECT cluster, size, label, typical_concepts, typical_members FROM top LEFT JOIN lab USING (cluster) LEFT JOIN mem USING (cluster)
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p1_clusters": P1_CLUSTERS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_decoded": P7_DECODED}

@@ -20,7 +20,7 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.pairs_of(clusters.concept_clusters(table(spark, sf_dir, "concepts")))
+    return clusters.pairs_of(cut(clusters.concept_clusters(table(spark, sf_dir, "concepts"))))
 
 
 def _long_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

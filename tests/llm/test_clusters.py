@@ -49,7 +49,7 @@ def test_every_pair_above_the_threshold_is_an_edge(spark):
     frame = spark.createDataFrame(sets, "id bigint, tokens array<int>, weight bigint")
     exact = {(a, b) for a, x, _ in sets for b, y, _ in sets if a < b and len(set(x) & set(y)) >= 2 and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.28}
     for block in (10_000, 20):
-        got = [(r.a, r.b) for r in C.member_edges(frame, 0.28, block_rows=block, pivots=1000).collect()]
+        got = [(r.a, r.b) for r in C.member_edges(frame, 0.28, block_rows=block).collect()]
         assert set(got) == exact and len(got) == len(exact)
 
 
@@ -108,3 +108,41 @@ def test_directions_reach_almost_all_near_vectors(spark):
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     exact = {(min(a, b), max(a, b)) for a in range(300, 600) for b in np.flatnonzero(unit[a] @ unit.T >= 0.85) if a != b}
     assert found <= exact and len(found) >= 0.95 * len(exact)
+
+
+def test_block_sizes_do_not_change_the_clusters_of_a_crowded_group(spark):
+    rng = random.Random(9)
+    rows = [(i, "r", None, [f"shared{j}" for j in sorted(rng.sample(range(8), 5))] + [f"own{i}::{j}" for j in range(3)], None) for i in range(600)]
+    at_once = groups(spark, rows, block_rows=10**9)
+    assert groups(spark, rows) == groups(spark, rows, block_rows=150) == groups(spark, rows, block_rows=3) == at_once
+
+
+def test_peaks_are_chosen_by_distance_and_density(spark):
+    nodes = spark.createDataFrame([(i, 1 + i % 2, 0) for i in range(5)], "id bigint, weight bigint, grade int")
+    edges = spark.createDataFrame([(0, 1, 0.1, 1, 2), (1, 2, 0.5, 2, 1), (2, 3, 0.2, 1, 2), (3, 4, 0.6, 2, 1)], "a bigint, b bigint, distance double, weight_a bigint, weight_b bigint")
+    peaks = lambda *how: {r.id for r in C.denser_pointers(nodes, edges, *how).collect() if r.to == r.id}
+    assert peaks() == {2}
+    assert peaks(0.4) == {1, 2, 4}
+    assert peaks(0.4, 4) == {1, 2}
+
+
+def test_large_clusters_are_paired_in_tiles(spark):
+    clusters = spark.createDataFrame([(i, i % 3) for i in range(60)] + [(99, 7)], "concept_id bigint, cluster bigint")
+    exact = sorted((a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3)
+    for block in (4, 2_000):
+        assert sorted(map(tuple, C.pairs_of(clusters, block_rows=block).collect())) == exact
+
+
+def test_hashes_grow_with_the_records_and_still_find_near_vectors(spark):
+    assert [C.bits_for(n) for n in (0, 1 << 18, (1 << 18) + 1, 1 << 20, 1 << 40)] == [12, 12, 13, 14, 18]
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((400, 64))
+    other = rng.standard_normal((400, 64))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(base)
+    other = unit(other - (other * base).sum(1, keepdims=True) * base)
+    near = 0.85 * base + np.sqrt(1 - 0.85**2) * other
+    rows = spark.createDataFrame([(i, 5, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, near]))], "id bigint, scope bigint, vector array<float>")
+    for bits in (12, 15, 18):
+        keys = C.direction_keys(rows.filter("id < 400"), 64, True, bits).selectExpr("key", "id + 400 as id").join(C.direction_keys(rows.filter("id >= 400"), 64, False, bits), ["key", "id"])
+        assert keys.select("id").distinct().count() >= 0.94 * 400
