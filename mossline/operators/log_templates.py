@@ -1,11 +1,11 @@
 """Log entries from lines of differing layouts, by template mining.
 
 Lines are tokenised into typed tokens: times, levels, names, numbers, bracketed groups, keys, and punctuation as it
-stands. Each partition clusters its lines by the tokens up to the time and what is bracketed behind it, and reduces a
-cluster to the longest common subsequence of its members: what all share is constant, what lies between is a variable
-slot, and the first gap is where free text begins. Templates of all partitions are merged the same way. A slot is then
-classified by the types and values that it took: timestamp, level, component, thread or number, message. The few
-templates that result go with the second pass, which reads entries by them.
+stands. Each partition clusters its lines by the tokens up to the time, wherever it stands, and what is bracketed behind
+it, and reduces a cluster to the longest common subsequence of its members: what all share is constant, what lies between
+is a variable slot, and the first gap is where free text begins. No line is cut before that gap is known. Templates of all
+partitions are merged the same way. A slot is then classified by the types and values that it took: timestamp, level,
+component, thread or number, message. The few templates that result go with the second pass, which reads entries by them.
 """
 
 from __future__ import annotations
@@ -43,15 +43,23 @@ TIMES = {
 NAME = r"[A-Za-z_][\w./-]*"
 TOKEN = re.compile(
     "|".join(f"(?P<{k}>(?<![\\w.]){v}(?![\\w:]))" for k, v in TIMES.items())
-    + rf"|(?P<group>\[[^\[\]\r\n]{{1,48}}\])|(?P<key>{NAME}=)|(?P<string>\"(?:[^\"\\]|\\.)*\")|(?P<level>\b(?:{LEVEL_WORD})\b)|(?P<name>{NAME})|(?P<number>\d+(?:\.\d+)?)|(?P<blank>\s+)|(?P<other>.)",
+    + rf"|(?P<group>\[[^\[\]\r\n]+\])|(?P<key>{NAME}=)|(?P<string>\"(?:[^\"\\]|\\.)*\")|(?P<level>\b(?:{LEVEL_WORD})\b)|(?P<name>{NAME})|(?P<number>\d+(?:\.\d+)?)|(?P<blank>\s+)|(?P<other>.)",
     re.I | re.S,
 )
 TIME = re.compile("|".join(f"(?P<{k}>{v})" for k, v in TIMES.items()))
-HEAD_TOKENS, TIME_WITHIN, TIME_CHARS = 16, 5, 48
+#: A line without this has no time; the same condition keeps lines from Python.
+MAY_HAVE_TIME = r"\d\d:\d\d:\d\d|\d{10}"
+HAS_TIME = re.compile(MAY_HAVE_TIME)
+#: Tokens behind the constant part of a template that take part in a common subsequence.
+BEHIND = 8
+#: Signs in front of a line that mark it as quoted.
+MARKS = (">", "|", "+", "-", "*", "#", "$")
 GAP, SLOTS = "…", ("<name>", "<number>", "<level>", "<group>", "<string>")
 ENDS_FIELD = ("|", ":", "-", "]", "<group>", "<level>", ">", ")")
 #: Partitions' templates are first merged in so many groups for each cluster.
 MERGE_BUCKETS = 512
+#: More layouts than this are no layouts; they would go to every task.
+MOST_LAYOUTS = 10_000
 
 
 def clean(line: str) -> str:
@@ -86,23 +94,19 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\(u[0-9a-fA-F]{4}|.)", lambda m: chr(int(m.group(1)[1:], 16)) if len(m.group(1)) > 1 else ESCAPES.get(m.group(1), m.group(0)), text)
 
 
-def tokens(line: str) -> list[tuple[str, str]]:
-    """(symbol, text) of a line's first tokens. Times, slots and blanks have symbols of their own, the rest is itself."""
-    found = []
+def token_stream(line: str) -> Iterator[tuple[str, str]]:
+    """(symbol, text) of a line's tokens. Times, slots and blanks have symbols of their own, the rest is itself."""
     for m in TOKEN.finditer(line):
         kind, text = m.lastgroup, m.group()
         if kind in TIMES:
-            found.append((f"<{kind}>", text))
+            yield f"<{kind}>", text
         elif kind == "group":
             inner = TIME.fullmatch(text[1:-1])
-            found.append((f"[<{inner.lastgroup}>]" if inner else "[<level>]" if text[1:-1].strip().lower() in LEVELS and not text[1:-1].isdigit() else "[<number>]" if text[1:-1].isdigit() else "<group>", text))
+            yield f"[<{inner.lastgroup}>]" if inner else "[<level>]" if text[1:-1].strip().lower() in LEVELS and not text[1:-1].isdigit() else "[<number>]" if text[1:-1].isdigit() else "<group>", text
         elif kind in ("level", "name", "number", "string"):
-            found.append((f"<{kind}>", text))
+            yield f"<{kind}>", text
         else:
-            found.append((" " if kind == "blank" else text, text))
-        if len(found) == HEAD_TOKENS:
-            break
-    return found
+            yield " " if kind == "blank" else text, text
 
 
 def is_time(symbol: str) -> bool:
@@ -110,13 +114,19 @@ def is_time(symbol: str) -> bool:
 
 
 def common(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
-    """The longest common subsequence of two templates, with a gap wherever either has more."""
+    """The common subsequence of two templates, with a gap wherever either has more.
+
+    What both begin with is kept at any length; of what follows, the longest common subsequence of the next tokens.
+    """
+    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or x == GAP), min(len(a), len(b)))
+    head, more = a[:same], len(a) > same + BEHIND or len(b) > same + BEHIND
+    a, b = a[same : same + BEHIND], b[same : same + BEHIND]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] and a[i] != GAP else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    out, i, j = list(head), 0, 0
 
     def gap() -> None:
         if not out or out[-1] != GAP:
@@ -129,7 +139,7 @@ def common(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
         else:
             gap()
             i, j = (i + 1, j) if best[i + 1][j] >= best[i][j + 1] else (i, j + 1)
-    if i < n or j < m:
+    if i < n or j < m or more:
         gap()
     return tuple(out)
 
@@ -164,30 +174,75 @@ class Template:
             self.symbols = common(self.symbols, symbols)
 
     def see(self, slot: str, value: str) -> None:
-        """Counts a value and which of the properties that tell slots apart it has: levels, whole numbers, texts with blanks."""
+        """Counts a value and which of the properties that tell slots apart it has: levels, whole numbers, ends in a digit, texts with blanks."""
         seen = self.values[slot]
         seen["all"] += 1
         if " " in value:
             seen["text"] += 1
+        if value[-1:].isdecimal():
+            seen["numbered"] += 1
         if value.isdecimal():
             seen["number"] += 1
         if is_level(value):
             seen["level"] += 1
 
 
-def cluster_key(symbols: list[str]) -> tuple[str, ...] | None:
-    """Symbols up to the time, and bracketed groups and levels right behind; None for a line without a time near its start."""
-    at = next((i for i, s in enumerate(symbols[:TIME_WITHIN]) if is_time(s)), None)
-    if at is None or symbols[0] == " " or any(s in ("<name>", "<string>", "<number>", ">") for s in symbols[:at]):
-        return None
-    end = at + 1
+def bracketed_end(symbols: list[str], end: int) -> int:
+    """Where levels and bracketed groups that begin at `end` end, each with a blank before it at most."""
     while end < len(symbols):
         step = end + (symbols[end] == " ")
-        if step < len(symbols) and (symbols[step] in ("<group>", "[<level>]", "[<number>]") or symbols[step] == "<level>"):
+        if step < len(symbols) and symbols[step] in ("<group>", "<level>", "[<level>]", "[<number>]"):
             end = step + 1
         else:
             break
-    return tuple(symbols[:end])
+    return end
+
+
+def free_before(symbols: tuple[str, ...]) -> bool:
+    """Whether names or numbers stand before the time, other than the priority of a system log."""
+    at = next(i for i, s in enumerate(symbols) if is_time(s))
+    return any(s in ("<name>", "<number>") for s in symbols[3 if symbols[:3] == ("<", "<number>", ">") else 0 : at])
+
+
+def head_of(line: str, known: dict[tuple, Template]) -> tuple[tuple[str, ...], list[tuple[str, str]]] | None:
+    """(cluster, tokens) of a line: its symbols up to the time with levels and bracketed groups right behind, and as many
+    tokens as its template needs. None for a line without a time, or that is marked or quotes before the time."""
+    stream, found = token_stream(line), []
+    symbols: list[str] = []
+
+    def take(n: int | None) -> bool:
+        """Reads on to n tokens, or to the end; whether there may be more."""
+        for token in stream:
+            found.append(token)
+            symbols.append(token[0])
+            if n is not None and len(found) >= n:
+                return True
+        return False
+
+    more, at = True, None
+    while more and at is None:
+        more = take(len(found) + 1)
+        if symbols and is_time(symbols[-1]):
+            at = len(symbols) - 1
+        elif symbols and symbols[-1] == "<string>":
+            return None
+    if at is None or symbols[0] == " " or (symbols[0] in MARKS and symbols[1] == " "):
+        return None
+    start = 3 if symbols[:3] == ["<", "<number>", ">"] else 0
+    if ">" in symbols[start:at] or (symbols[at].strip("[]<>") == "epoch" and any(s in ("<name>", "<number>") for s in symbols[start:at])):
+        return None
+    end = at + 1
+    while True:
+        more = take(end + 3) if more and len(found) < end + 3 else more
+        further = bracketed_end(symbols, end)
+        if further == end:
+            break
+        end = further
+    key = tuple(symbols[:end])
+    template = known.get(key)
+    if more:
+        take(None if template is None else max(len(found) + 1, len(prefix(template.symbols)) + BEHIND))
+    return key, found
 
 
 def time_key(fields: list[tuple[str, str]]) -> str | None:
@@ -201,7 +256,6 @@ def time_key(fields: list[tuple[str, str]]) -> str | None:
 
 def mine(lines: Iterator[str]) -> dict[tuple, Template]:
     """The templates of lines, by cluster."""
-    shapes: Counter = Counter()
     found: dict[tuple, Template] = {}
     for raw in lines:
         line = clean(raw)
@@ -218,27 +272,34 @@ def mine(lines: Iterator[str]) -> dict[tuple, Template]:
                 for k, v in fields:
                     template.see(f"{k}=", v)
             continue
-        head = tokens(line)
-        key = cluster_key([s for s, _ in head])
-        if key is None:
+        got = head_of(line, found) if HAS_TIME.search(line) else None
+        if got is None:
             continue
+        key, head = got
         shape = tuple(s for s, _ in head)
-        shapes[key, shape] += 1
         template = found.setdefault(key, Template(shape))
-        if not fits(template.symbols, shape):
-            template.symbols = common(template.symbols, shape)
-        template.count += 1
-        for i, (s, text) in enumerate(head):
+        template.add(shape, 1)
+        constant = len(prefix(template.symbols))
+        for i, (s, text) in enumerate(head[:constant]):
             if s in SLOTS or s in ("[<level>]", "[<number>]"):
                 template.see(str(i), text)
-    for (key, shape), n in shapes.items():
-        base = found[key]
-        start = len(prefix(base.symbols))
-        if shape[start : start + 2] == ("<level>", ":"):
-            base.values["\0tail"][" ".join(shape[start : start + 3])] += n
+        tail = next((i for i in range(len(key), min(len(shape) - 1, constant + BEHIND)) if shape[i] == "<level>" and shape[i + 1] == ":"), None)
+        if tail is not None:
+            template.values["\0tail"][str(tail)] += 1
     return found
 
 
+def eligible(key: tuple, template: Template) -> bool:
+    """Whether a cluster is a layout: keys with a time, a time with nothing but punctuation, levels and brackets before it, or one
+    behind names or numbers if several lines have it and all of them a level next to it, which no prose has."""
+    if not any(is_time(s) for s in key) or not free_before(key):
+        return True
+    behind = str(len(key) + 1)
+    named = len(template.symbols) > len(key) + 1 and template.symbols[len(key) + 1] == "<name>" and share(template.values.get(behind, Counter()), "level") > 0.9
+    first = any(s == "<name>" and share(template.values.get(str(i), Counter()), "level") > 0.9 for i, s in enumerate(key))
+    return template.count > 1 and (named or first or any(s in ("<level>", "[<level>]") for s in key))
+
+
 def prefix(symbols: tuple[str, ...]) -> tuple[str, ...]:
     """The constant part before the first gap."""
     return symbols[: symbols.index(GAP)] if GAP in symbols else symbols
@@ -287,12 +348,17 @@ def keyed_layout(mark: str, timed: str, template: Template) -> Layout:
 
 
 def header(symbols: tuple[str, ...], key_length: int) -> int:
-    """How many symbols of a template's constant part belong to the header: up to its last delimiter before free text."""
+    """How many symbols of a template's constant part belong to the header: up to its last delimiter before free text.
+
+    Where all lines have one shape there is no gap; free text then begins with two words that nothing but a blank parts.
+    """
     own = prefix(symbols)
     end = key_length
     for i in range(key_length, len(own)):
         if own[i] in ENDS_FIELD and (i + 1 >= len(own) or own[i + 1] in (" ", "|") or own[i] == "|"):
             end = i + 1
+        if own[i] == " " and own[i - 1] == "<name>" and own[i + 1 : i + 2] == ("<name>",) and GAP not in symbols and not any(s in ENDS_FIELD for s in own[i + 2 : i + 4]):
+            break
         if own[i] == " " and i >= 2 and own[i - 1] in ("<name>", "<number>") and own[i - 2] == " " and own[i + 1 : i + 2] == ("<name>",) and key_length < i and "<level>" not in own[i:]:
             later = own[i:]
             if not any(s in ("|", ":", "-", "]") for s in later):
@@ -302,7 +368,7 @@ def header(symbols: tuple[str, ...], key_length: int) -> int:
 
 SYMBOL_PATTERNS = {f"<{k}>": f"(?:{v})" for k, v in TIMES.items()} | {f"[<{k}>]": rf"\[(?:{v})\]" for k, v in TIMES.items()} | {
     "<name>": NAME, "<number>": r"\d+(?:\.\d+)?", "<level>": rf"(?i:{LEVEL_WORD})", "<string>": r"\"(?:[^\"\\]|\\.)*\"",
-    "<group>": r"\[[^\[\]\r\n]{1,48}\]", "[<level>]": rf"\[\s*(?i:{LEVEL_WORD})\s*\]", "[<number>]": r"\[\d+\]", " ": r"\s+",
+    "<group>": r"\[[^\[\]\r\n]+\]", "[<level>]": rf"\[\s*(?i:{LEVEL_WORD})\s*\]", "[<number>]": r"\[\d+\]", " ": r"\s+",
 }
 
 
@@ -314,17 +380,18 @@ def positional_layouts(key: tuple[str, ...], template: Template) -> list[Layout]
     level = component = None
     for i, s in enumerate(own):
         values = template.values.get(str(i), Counter())
-        if i > timed and level is None and (s in ("<level>", "[<level>]") or (s == "<name>" and share(values, "level") > 0.9)):
+        if level is None and i != timed and (s in ("<level>", "[<level>]") or (s == "<name>" and share(values, "level") > 0.9)):
             level = i
     names = [i for i, s in enumerate(own) if i > timed and i != level and s == "<name>"]
     groups = [i for i, s in enumerate(own) if i > timed and i != level and s == "<group>"]
-    component = names[-1] if names else groups[-1] if groups else None
+    before = [i for i, s in enumerate(own) if i < timed and i != level and s == "<name>" and share(template.values.get(str(i), Counter()), "numbered") < 0.5]
+    component = (names or groups or before or [None])[-1]
     parts = [f"(?P<p{i}>{SYMBOL_PATTERNS.get(s, re.escape(s))})" if i in (timed, level, component) else SYMBOL_PATTERNS.get(s, re.escape(s)) for i, s in enumerate(own)]
     named = {k: f"p{v}" if v is not None else None for k, v in (("time", timed), ("level", level), ("component", component))}
     if level is None and own[timed] == "<letter>":
         named["level"] = "letter"
     layouts = [Layout(False, "", message="rest", pattern="".join(parts), length=n, **named)]
-    if named["level"] is None and template.values.get("\0tail"):
+    if named["level"] is None and template.values.get("\0tail", Counter())[str(len(prefix(template.symbols)))]:
         tail = rf"\s*(?P<tail>(?i:{LEVEL_WORD})):(?=\s|$)"
         layouts.append(Layout(False, "", message="rest", pattern="".join(parts) + tail, length=n + 2, **(named | {"level": "tail"})))
     return layouts
@@ -350,23 +417,37 @@ def merged(parts: list[tuple[str, str, int, str]]) -> dict[tuple, Template]:
     return out
 
 
+def packed(templates: dict[tuple, Template]) -> pd.DataFrame:
+    """Templates as rows, with the values of slots before the first gap only."""
+    rows = []
+    for key, t in templates.items():
+        constant = len(prefix(t.symbols))
+        kept = {s: dict(v) for s, v in t.values.items() if not s.isdecimal() or int(s) < constant}
+        rows.append((json.dumps(key), json.dumps(t.symbols), t.count, json.dumps(kept)))
+    return pd.DataFrame(rows, columns=["key", "symbols", "n", "vals"])
+
+
 def mined_templates(lines: DataFrame, message: str) -> dict[tuple, Template]:
-    """The templates of all lines. Partitions are merged in two steps, so no task sees a row of each; the driver gets one row per cluster."""
+    """The templates of all lines. Partitions are merged in two steps, so no task sees a row of each; the driver gets one row per layout, of a checked number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = mine(line for batch in batches for line in batch["line"] if line)
-        rows = [(json.dumps(k), json.dumps(t.symbols), t.count, json.dumps({s: dict(v) for s, v in t.values.items()})) for k, t in found.items()]
-        yield pd.DataFrame(rows, columns=["key", "symbols", "n", "vals"])
+        yield packed(mine(line for batch in batches for line in batch["line"] if line))
 
     def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        rows = merged(list(group[["key", "symbols", "n", "vals"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(json.dumps(k), json.dumps(t.symbols), t.count, json.dumps({s: dict(v) for s, v in t.values.items()})) for k, t in rows.items()], columns=["key", "symbols", "n", "vals"])
+        return packed(merged(list(group[["key", "symbols", "n", "vals"]].itertuples(index=False, name=None))))
 
     schema = "key string, symbols string, n long, vals string"
-    per_partition = lines.select(F.col(message).alias("line")).mapInPandas(run, schema)
+    per_partition = lines.select(F.col(message).alias("line")).filter(F.col("line").rlike(MAY_HAVE_TIME)).mapInPandas(run, schema)
     some = per_partition.groupBy("key", F.pmod(F.spark_partition_id(), F.lit(MERGE_BUCKETS)).alias("bucket")).applyInPandas(reduce, schema)
-    few = some.groupBy("key").applyInPandas(reduce, schema)
-    return merged([tuple(r) for r in few.collect()])
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        rows = merged(list(group[["key", "symbols", "n", "vals"]].itertuples(index=False, name=None)))
+        return packed({k: t for k, t in rows.items() if eligible(k, t)})
+
+    few = some.groupBy("key").applyInPandas(settle, schema).limit(MOST_LAYOUTS + 1).collect()
+    if len(few) > MOST_LAYOUTS:
+        raise ValueError(f"more than {MOST_LAYOUTS} layouts: the lines have a time but no layout")
+    return merged([tuple(r) for r in few])
 
 
 def seconds(kind: str, text: str) -> tuple[int | None, int, int | None]:
@@ -416,7 +497,7 @@ class Reader:
         line = clean(raw)
         if not line or line[0].isspace():
             return None
-        fields = pairs_of_keys(line) if self.keyed and (line[0] == "{" or "=" in line[:24]) else None
+        fields = pairs_of_keys(line) if self.keyed else None
         if fields is not None:
             layout = self.keyed.get(("{" if line[0] == "{" else "=", time_key(fields)))
             if layout is None:
@@ -469,7 +550,7 @@ def log_entries(lines: DataFrame, runs: DataFrame, *, run: str = "run_id", numbe
             yield pd.DataFrame(out, columns=["run_id", "line_no", "day", "tod", "md", "level", "component", "head"]).astype({"day": "Int32", "tod": "Int32", "md": "Int32"})
 
     schema = ENTRY.format(run=rows.schema["run_id"].dataType.simpleString())
-    entries = cut(rows.mapInPandas(run_batches, schema).dropDuplicates(["run_id", "line_no"]))
+    entries = cut(rows.filter(F.col("message").rlike(MAY_HAVE_TIME)).mapInPandas(run_batches, schema).dropDuplicates(["run_id", "line_no"]))
     begun = F.unix_timestamp(F.col(started).cast("timestamp"))
     starts = runs.select(F.col(run).alias("run_id"), begun.alias("began")).filter("run_id is not null").groupBy("run_id").agg(F.min("began").alias("began"))
     ends = rows.groupBy("run_id").agg(F.max("line_no").alias("end_line"))

@@ -76,3 +76,46 @@ def test_common_subsequence_marks_gaps():
 def test_a_component_may_have_any_number_of_names(spark):
     lines = [(1, i, f'{{"time": "2022-03-01T10:{i // 60 % 60:02}:{i % 60:02}Z", "level": "info", "logger": "module{i % 400}.worker", "msg": "did it again"}}') for i in range(1_200)]
     assert {(r[4], r[5]) for r in entries(spark, lines)} == {("INFO", f"module{k}.worker") for k in range(400)}
+
+
+OTHER_LAYOUTS = {
+    "level first": (lambda i, v, t, m: f"{v} 2022-03-01 {t},123 queue.{'ab'[i % 2]} - {m}", lambda i: f"queue.{'ab'[i % 2]}"),
+    "host first": (lambda i, v, t, m: f"node{i % 7} 2022-03-01 {t},123 {v} core.walk - {m}", lambda i: "core.walk"),
+    "component first": (lambda i, v, t, m: f"seed.{'abc'[i % 3]} 2022-03-01T{t}Z [{v}] {m}", lambda i: f"seed.{'abc'[i % 3]}"),
+    "many fields": (lambda i, v, t, m: f"{t} | {i} | a{i % 5} | b{i % 3} | {v} | core.{i % 4} | {m}", lambda i: f"core.{i % 4}"),
+    "still more fields": (lambda i, v, t, m: f"{t} | " + " | ".join(f"f{k}x" for k in range(12)) + f" | {v} | core.{i % 4} | {m}", lambda i: f"core.{i % 4}"),
+    "long key": (lambda i, v, t, m: f'component_identifier_long_x=queue ts=2022-03-01T{t}Z level={v.lower()} msg="{m}"', lambda i: "queue"),
+    "long bracket": (lambda i, v, t, m: f"[{t}] [{v}] [a stage with a name of more than forty-eight characters, number {i % 3}] {m}", lambda i: f"a stage with a name of more than forty-eight characters, number {i % 3}"),
+    "priority": (lambda i, v, t, m: f"<{30 + i % 5}>Mar  1 {t} node{i} git-walk[{i}]: {v.lower()}: {m}", lambda i: "git-walk"),
+}
+
+
+@pytest.mark.parametrize("name", OTHER_LAYOUTS)
+def test_headers_of_any_order_and_length(spark, name):
+    made, component = OTHER_LAYOUTS[name]
+    lines = [(1, i + 1, made(i, LEVEL[i % 5], f"10:{i:02}:30", WORDS[i % len(WORDS)])) for i in range(30)]
+    got = entries(spark, lines)
+    assert [(g[1], g[2], g[3], g[4], g[5], g[6]) for g in got] == [(i + 1, i + 1, f"2022-03-01 10:{i:02}:30", LEVEL[i % 5], component(i), WORDS[i % len(WORDS)]) for i in range(30)]
+
+
+def test_prose_and_marked_lines_with_a_time_are_no_entries(spark):
+    text = ["[10:00:00] [INFO] [vote] first", "resumed 2022-03-01 10:00:01 as planned", "resumed 2022-03-01 10:00:02 as planned", "> [10:00:03] [INFO] [vote] inner", "| 10:00:04 [INFO] inner", "job 1646128805 error again", "job 1646128806 error again", '"2022-03-01 10:00:07" INFO said', "[10:00:08] [WARN] [vote] second"]
+    got = entries(spark, [(1, i + 1, t) for i, t in enumerate(text)])
+    assert [(g[1], g[2], g[4], g[6]) for g in got] == [(1, 8, "INFO", "first"), (9, 9, "WARN", "second")]
+
+
+def test_a_layout_of_one_line_keeps_its_text(spark):
+    got = entries(spark, [(1, 1, "2022-03-01 10:00:00,001 - a.b - INFO - tried again and again - no answer")])
+    assert [(g[4], g[5], g[6]) for g in got] == [("INFO", "a.b", "tried again and again - no answer")]
+
+
+def test_common_keeps_long_heads():
+    head = tuple(f"t{i}" for i in range(300))
+    assert L.common((*head, "a", "b"), (*head, "c", "b")) == (*head, L.GAP, "b")
+    assert L.common((*head, *"abcdefghijkl"), head) == (*head, L.GAP)
+
+
+def test_too_many_layouts_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LAYOUTS", 1)
+    with pytest.raises(ValueError, match="layouts"):
+        entries(spark, [(1, 1, "[10:00:00] [INFO] a"), (1, 2, "10:00:01|I|b|c")])
