@@ -1,10 +1,15 @@
 """SQL of the llm queries that plain SQL can express."""
 
-P4_FOUND = r"""
+P4_LATEST = """
 WITH latest AS (
   SELECT node_id, code, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC NULLS LAST) AS k
   FROM nodes WHERE node_id IS NOT NULL
 )
+"""
+
+P4_REBUILT = P4_LATEST + "SELECT node_id, code FROM latest WHERE k = 1 AND length(code) > 2000"
+
+P4_FOUND = P4_LATEST + r"""
 SELECT node_id,
        CASE WHEN list_max(list_transform(regexp_split_to_array(code, '\r\n|\r|\n'), lambda x: length(x))) > 2000 THEN 1 ELSE 0 END::INT AS forced
 FROM latest WHERE k = 1 AND length(code) > 2000
@@ -96,4 +101,4 @@ top AS (SELECT cluster, count(*) AS size, list(concept_id ORDER BY k) FILTER (WH
 SELECT cluster, size, label, typical_concepts, typical_members FROM top LEFT JOIN lab USING (cluster) LEFT JOIN mem USING (cluster)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_clusters": P1_CLUSTERS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_decoded": P7_DECODED}
+ORACLES = {"p1_found": P1_FOUND, "p1_clusters": P1_CLUSTERS, "p4_found": P4_FOUND, "p4_rebuilt": P4_REBUILT, "p6_found": P6_FOUND, "p7_decoded": P7_DECODED}

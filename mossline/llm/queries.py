@@ -31,8 +31,13 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(_long_codes(spark, sf_dir), key="node_id", text="code")
 
 
+def p4_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node_id, code of every long code, put together from its pieces."""
+    return splitting.rebuilt(p4_pieces(spark, sf_dir), key="node_id", text="code")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = splitting.split_texts(_long_codes(spark, sf_dir), key="node_id", text="code")
+    pieces = splitting.split_offsets(_long_codes(spark, sf_dir), key="node_id", text="code")
     return pieces.groupBy("node_id").agg((F.max("longest_line") > splitting.LIMIT).cast("int").alias("forced"))
 
 
@@ -90,5 +95,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_clusters, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p6_ranking, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_stats)
+    for f in (p1_found, p1_clusters, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_pairs, p6_found, p6_ranking, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_stats)
 }
