@@ -90,19 +90,22 @@ WHOLE = {"n_chars", "n_words", "n_lines", "longest_word"}
 COLUMNS = [(name, "bigint" if name in WHOLE else "double") for name in Stats._fields]
 
 
+def has_notice(line: str) -> bool:
+    lower = line.lower()
+    return any(x in lower for x in NOTICES)
+
+
 def is_furniture(line: str) -> bool:
-    """Whether a line is a page number, a progress bar, or links and notices around a text."""
+    """Whether a line is a page number, a progress bar, or links and notices around a text; a long line, if most stretches of it are."""
     n = len(line)
     if n > 160:
-        return False
+        parts = [line[i : i + 90] for i in range(0, n, 90)]
+        return 2 * sum(map(is_furniture, parts)) > len(parts)
     if "%" in line and PROGRESS.search(line):
         return True
-    if n <= 40 and PAGE.match(line):
+    if PAGE.match(line):
         return True
-    if n > 90:
-        return False
-    lower = line.lower()
-    return any(x in lower for x in NOTICES)
+    return has_notice(line) if n <= 90 else has_notice(line[: n // 2]) and has_notice(line[n // 2 :])
 
 
 def is_sentence(line: str) -> bool:
@@ -209,7 +212,7 @@ def kind_of(s: Stats, text: str) -> str:
         return "junk"
     if s.n_lines >= 3 and s.furniture_share > 0.7:
         return "junk"
-    if s.n_lines >= 4 and s.duplicate_line_share > 0.6:
+    if s.n_lines >= 4 and max(s.duplicate_line_share, s.duplicate_paragraph_share) > 0.6:
         return "junk"
     if s.n_lines >= 3 and s.table_share >= 0.75 and s.code_share < 0.6 and s.end_punct_share < 0.5:
         return "table"

@@ -53,3 +53,14 @@ def test_table_shares_are_exact_and_rows_of_any_length():
 
 def test_common_words_are_those_of_the_whole_list():
     assert Q.statistics("we were would ich sie hat war je nous vous para com").common_share == 1.0
+
+
+def test_furniture_of_any_length_and_repeated_paragraphs():
+    links = "Log in | Sign up | Terms of use | Privacy policy | Back to top | All rights reserved | Share this | " * 12
+    bars = "downloading 14 % [#####>....] " * 40
+    prose = "The parser reads every file once and keeps what it needs to answer the next request without reading again. " * 12
+    assert Q.is_furniture(links) and Q.is_furniture(bars) and not Q.is_furniture(prose) and not Q.is_furniture(prose + "All rights reserved")
+    assert Q.is_furniture("=" * 60 + " page 3 of 10 " + "=" * 60)
+    block = "The first line says this.\nAnother one says that.\n\n"
+    text = block * 7 + "An end."
+    assert Q.kind_of(Q.statistics(text), text) == "junk"
