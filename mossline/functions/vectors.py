@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the records holds in a worker; more queries take more passes.
-QUERY_BLOCK = 4_096
+from mossline.functions import blocks
+
+#: Groups whose sums a task holds before it hands them on.
+GROUPS_HELD = 4_096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,58 +24,68 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def unit_mean(vectors: DataFrame, *, group: str, vector: str) -> DataFrame:
-    """group, centroid ARRAY<DOUBLE>: mean of a group's vectors divided by its length plus 1e-9."""
-    cells = vectors.select(F.col(group).alias("g"), F.posexplode(vector).alias("pos", "x")).filter("x is not null and not isnan(x)")
-    means = cells.groupBy("g", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    whole = means.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda c: c["m"]).alias("c"))
-    return whole.select(F.col("g").alias(group), F.transform("c", lambda x: x / (norm(F.col("c")) + 1e-9)).alias("centroid"))
-
+def vector_sums(vectors: DataFrame, *, group: str, vector: str, dimensions: int) -> DataFrame:
+    """g, s ARRAY<DOUBLE>, n ARRAY<BIGINT>: per group and value, the sum and the number of the numbers that are no NaN.
 
-def top_k(queries: DataFrame, records: DataFrame, k: int, *, query_id: str, record_id: str, query_vector: str, record_vector: str, dimensions: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+    Each partition adds up its own rows first, so a group of any size gives a few rows a partition. Vectors of another
+    length take no part.
+    """
+    rows = vectors.select(F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).filter((F.size("v") == dimensions) & F.col("g").isNotNull())
+    kind = rows.schema["g"].dataType.simpleString()
+
+    def packed(sums: dict, kind: pa.DataType) -> pa.RecordBatch:
+        flat = [np.concatenate([x[i] for x in sums.values()]) for i in (0, 1)]
+        offsets = pa.array(np.arange(0, dimensions * len(sums) + 1, dimensions), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat]], ["g", "s", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+            known = ~np.isnan(x)
+            order = np.argsort(codes.indices.to_numpy(), kind="stable")
+            starts = np.flatnonzero(np.diff(codes.indices.to_numpy()[order], prepend=-1))
+            total, count = np.add.reduceat(np.where(known, x, 0.0)[order], starts, axis=0), np.add.reduceat(known[order].astype(np.int64), starts, axis=0)
+            for i, name in enumerate(codes.dictionary.to_pylist()):
+                if name in sums:
+                    sums[name] = (sums[name][0] + total[i], sums[name][1] + count[i])
+                else:
+                    sums[name] = (total[i], count[i])
+            if len(sums) > GROUPS_HELD:
+                yield packed(sums, batch.column(0).type)
+                sums = {}
+        if sums:
+            yield packed(sums, batch.column(0).type)
+
+    parts = rows.mapInArrow(run, f"g {kind}, s array<double>, n array<bigint>").groupBy("g").agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
+    added = lambda c, zero: F.aggregate(F.slice(c, 2, F.size(c)), F.element_at(c, 1), lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, zero) + F.coalesce(y, zero)))
+    return parts.select("g", added("s", F.lit(0.0)).alias("s"), added("n", F.lit(0)).alias("n"))
+
+
+def unit_mean(vectors: DataFrame, *, group: str, vector: str, dimensions: int = 64) -> DataFrame:
+    """group, centroid ARRAY<DOUBLE>: mean of a group's vectors divided by its length plus 1e-9; values that all lack count as zero."""
+    sums = vector_sums(vectors, group=group, vector=vector, dimensions=dimensions)
+    means = sums.select("g", F.zip_with("s", "n", lambda s, n: F.coalesce(F.try_divide(s, n), F.lit(0.0))).alias("c"))
+    return means.withColumn("_l", norm(F.col("c")) + 1e-9).select(F.col("g").alias(group), F.transform("c", lambda x: x / F.col("_l")).alias("centroid"))
+
+
+def top_k(queries: DataFrame, records: DataFrame, k: int, *, query_id: str, record_id: str, query_vector: str, record_vector: str, dimensions: int, scope: str | None = None, query_block: int = blocks.QUERY_ROWS, record_block: int = blocks.RECORD_ROWS) -> DataFrame:
     """query_id, record_id, score, rank (from 1): for each query the k records with the largest dot product, ties by id.
 
-    Each partition of the records gives its own best k for a block of queries, so only k rows a query and partition are
-    shuffled. Records and queries without a finite vector of the right length take no part. Queries go to the workers in
-    blocks of `query_block`, each of a proven size.
+    With `scope`, only records of the query's own scope. Records and queries without a finite vector of the right length,
+    or without an id, take no part. Ids are expected to be unique.
     """
-    q = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter((F.size("v") == dimensions) & F.col("q").isNotNull())
-    r = records.select(F.col(record_id).alias("r"), F.col(record_vector).cast("array<double>").alias("v")).filter((F.size("v") == dimensions) & F.col("r").isNotNull())
-    kinds = f"q {q.schema['q'].dataType.simpleString()}, r {r.schema['r'].dataType.simpleString()}, score double"
-    parts = []
-    rows = q.toLocalIterator()
-    while block := [row for _, row in zip(range(query_block), rows)]:
-        ids, matrix = [row.q for row in block], np.array([row.v for row in block], dtype=np.float64)
-        keep = np.isfinite(matrix).all(axis=1)
-        shared = queries.sparkSession.sparkContext.broadcast(([i for i, ok in zip(ids, keep, strict=True) if ok], matrix[keep]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            best_scores = np.empty((len(ids), 0))
-            best_rows = np.empty((len(ids), 0), dtype=object)
-            for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
-                ok = np.isfinite(x).all(axis=1)
-                own = np.array(batch.column(0).to_pylist(), dtype=object)[ok]
-                scores = np.concatenate([best_scores, np.round(matrix @ x[ok].T, 12)], axis=1)
-                names = np.concatenate([best_rows, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
-                order = np.array([sorted(range(scores.shape[1]), key=lambda j: (-s[j], n[j]))[:k] for s, n in zip(scores, names, strict=True)], dtype=int).reshape(len(ids), -1)
-                best_scores, best_rows = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
-            for i, qid in enumerate(ids):
-                if best_scores.shape[1]:
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame({"q": [qid] * best_scores.shape[1], "r": list(best_rows[i]), "score": best_scores[i]}), preserve_index=False)
-
-        parts.append(r.mapInArrow(run, kinds))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], f"{kinds}, rank int").toDF(query_id, record_id, "score", "rank")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "r")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_id), F.col("r").alias(record_id), F.round("score", 6).alias("score"), "rank")
+
+    def side(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+        finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        own = rows.select((F.col(scope) if scope else F.lit(0)).alias("scope"), F.col(key).alias(name), F.col(vector).cast("array<double>").alias("v"))
+        return own.filter((F.size("v") == dimensions) & F.col(name).isNotNull() & finite)
+
+    found = blocks.best(side(queries, query_id, query_vector, "q"), side(records, record_id, record_vector, "r"), k, blocks.dense_kernel(dimensions), query_rows=query_block, record_rows=record_block)
+    return found.select(F.col("q").alias(query_id), F.col("r").alias(record_id), F.round("score", 6).alias("score"), "rank")
 
 
 def hashed_vector(tokens: Column, dimensions: int = 64) -> Column:
@@ -83,3 +94,28 @@ def hashed_vector(tokens: Column, dimensions: int = 64) -> Column:
     sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(slot, lambda x: x["i"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
     length = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
     return F.when(length > 0, F.transform(sums, lambda x: x / length)).otherwise(sums)
+
+
+def hashed_slots(tokens: Column, dimensions: int) -> Column:
+    """Of each token, twice the place that it counts for, plus one where it counts negatively."""
+    return F.transform(tokens, lambda t: (2 * F.pmod(F.xxhash64(t), F.lit(dimensions)) + F.pmod(F.xxhash64(t, F.lit("sign")), F.lit(2))).cast("int"))
+
+
+def hashed_vectors(rows: DataFrame, *, tokens: str, dimensions: int = 64, name: str = "vector") -> DataFrame:
+    """The other columns, and in place of the tokens the vector of `hashed_vector`, for long texts: one pass in Arrow batches, no shuffle."""
+    own = [c for c in rows.columns if c != tokens]
+    slots = rows.select(*own, hashed_slots(F.coalesce(F.col(tokens), F.array().cast("array<string>")), dimensions).alias("_slots"))
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own] + [f"`{name}` array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, last = batch.num_rows, batch.column(batch.num_columns - 1)
+            counts = np.diff(last.offsets.to_numpy())
+            code = last.flatten().to_numpy()
+            sums = np.bincount(np.repeat(np.arange(n), counts) * dimensions + code // 2, weights=1.0 - 2.0 * (code % 2), minlength=n * dimensions).reshape(n, dimensions)
+            length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            unit = sums / np.where(length > 0, length, 1.0)
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dimensions + 1, dimensions), pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vector], [*own, name])
+
+    return slots.mapInArrow(run, schema)

@@ -43,9 +43,9 @@ def assign(records: DataFrame, centroids: DataFrame, *, key: str, vector: str, d
     return rows.mapInArrow(run, f"key {kind}, cluster bigint, similarity double").select(F.col("key").alias(key), "cluster", F.round("similarity", 6).alias("similarity"))
 
 
-def updated(records: DataFrame, assigned: DataFrame, *, key: str, vector: str) -> DataFrame:
+def updated(records: DataFrame, assigned: DataFrame, *, key: str, vector: str, dimensions: int) -> DataFrame:
     """cluster, centroid: the unit mean of each cluster's records."""
-    return unit_mean(records.select(key, vector).join(assigned.select(key, "cluster"), key), group="cluster", vector=vector)
+    return unit_mean(records.select(key, vector).join(assigned.select(key, "cluster"), key), group="cluster", vector=vector, dimensions=dimensions)
 
 
 def kmeans(records: DataFrame, *, key: str, vector: str, dimensions: int, iterations: int = 20, k: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +66,6 @@ def kmeans(records: DataFrame, *, key: str, vector: str, dimensions: int, iterat
         assigned = now
         if not moved:
             break
-        fresh = updated(records, assigned, key=key, vector=vector)
+        fresh = updated(records, assigned, key=key, vector=vector, dimensions=dimensions)
         centroids = cut(centroids.join(fresh.withColumnRenamed("centroid", "_f"), "cluster", "left").select("cluster", F.coalesce("_f", "centroid").alias("centroid")))
     return assigned, centroids

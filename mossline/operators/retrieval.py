@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mossline.functions import blocks
 from mossline.functions import text as T
+from mossline.runtime import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Fusion constant and the weight of each list.
 RRF_K, LIST_WEIGHTS = 60, {"llm": 1.0, "bm25": 0.7, "dense": 0.7}
-OUTLINE_CHARS, POOL_FACTOR = 600_000, 5
+OUTLINE_CHARS, POOL_FACTOR, POOL_FILES = 600_000, 5, 100
 
 
 def postings(documents: DataFrame, *, scope: str, key: str, text: str, tokenizer=T.identifiers) -> DataFrame:
@@ -18,14 +20,15 @@ def postings(documents: DataFrame, *, scope: str, key: str, text: str, tokenizer
 
     Statistics are those of the documents of a scope. A term in more than half of them has a negative inverse frequency;
     it then takes a quarter of the scope's mean, which counts the negative ones. The floor needs one aggregate before the
-    weights, a row per scope. Null keys are dropped, null texts are empty.
+    weights, a row per scope. Texts are tokenised once. Null keys are dropped, null texts are empty.
     """
     tokens = documents.select(F.col(scope).alias("scope"), F.col(key).alias("doc"), tokenizer(F.col(text)).alias("tokens")).filter("doc is not null")
-    sizes = tokens.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    counts = tokens.select("scope", "doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("scope", "doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = cut(tokens.select("scope", "doc", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term")).groupBy("scope", "doc", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    sizes = counts.select("scope", "doc", "len").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    counts = counts.filter("term is not null")
     frequencies = counts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(sizes, "scope")
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    frequencies = frequencies.select("scope", "term", "avg_len", idf.alias("idf"))
+    frequencies = cut(frequencies.select("scope", "term", "avg_len", idf.alias("idf")))
     floors = frequencies.groupBy("scope").agg((EPSILON * F.avg("idf")).alias("floor"))
     lengths = 1 - B + B * F.col("len") / F.col("avg_len")
     weight = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * lengths)
@@ -38,21 +41,16 @@ def postings(documents: DataFrame, *, scope: str, key: str, text: str, tokenizer
 def bm25(queries: DataFrame, index: DataFrame, k: int, *, scope: str, query: str, text: str, key: str, tokenizer=T.identifiers) -> DataFrame:
     """query, key, score, rank (from 1): the k best documents of the query's scope, of those only with a positive score.
 
-    A term counts as often as the query has it. The cut to k comes before the filter. Ties go to the smaller key.
+    A term counts as often as the query has it. Ties go to the smaller key. Queries and documents are multiplied as sparse
+    vectors in pairs of blocks, so a term that all of a scope's documents have is no key of a join; terms are told apart
+    by hashes of 64 bits.
     """
-    terms = (
-        queries.select(F.col(query).alias("q"), F.col(scope).alias("scope"), F.explode(tokenizer(F.col(text))).alias("term"))
-        .groupBy("q", "scope", "term").agg(F.count(F.lit(1)).alias("times"))
-    )
-    scores = (
-        terms.join(index.select(F.col(scope).alias("scope"), "term", F.col(key).alias("doc"), "weight"), ["scope", "term"])
-        .groupBy("q", "doc").agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
-    )
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
-    return (
-        scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter("score > 0")
-        .select(F.col("q").alias(query), F.col("doc").alias(key), "score", "rank")
-    )
+    counted = F.col("count").cast("double")
+    terms = queries.select(F.col(scope).alias("scope"), F.col(query).alias("q"), F.explode(tokenizer(F.col(text))).alias("term")).groupBy("scope", "q", "term").count()
+    asked = terms.groupBy("scope", "q").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), counted.alias("w"))).alias("x"))
+    known = index.groupBy(F.col(scope).alias("scope"), F.col(key).alias("r")).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").alias("w"))).alias("x"))
+    found = blocks.best(asked.select("scope", "q", "x.t", "x.w"), known.select("scope", "r", "x.t", "x.w"), k, blocks.sparse_kernel(6))
+    return found.select(F.col("q").alias(query), F.col("r").alias(key), "score", "rank")
 
 
 def list_positions(rankings: DataFrame) -> DataFrame:
@@ -85,8 +83,13 @@ def penalised(fused: DataFrame, k: int) -> DataFrame:
     return fused.withColumn("score", score).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("instance_id", "file_path", "score", "rank")
 
 
+def candidate_pool(positions: DataFrame, k: int = POOL_FILES) -> DataFrame:
+    """instance_id, file_path: what a model is given to order in a large repository, the union of the first k files of both other lists."""
+    return positions.filter(F.col("retriever").isin("bm25", "dense") & (F.col("position") < k)).select("instance_id", "file_path").distinct()
+
+
 def pooled(positions: DataFrame, k: int) -> DataFrame:
-    """The candidates of a large repository: the model's list alone, or where it is empty both others one after the other."""
+    """The candidates of a large repository: the model's list of the pool alone, or where it is empty both others one after the other."""
     model = positions.filter("retriever = 'llm'").withColumn("score", F.round(1.0 / (RRF_K + F.col("position")), 9))
     rest = positions.filter("retriever in ('bm25', 'dense')").join(model.select("instance_id").distinct(), "instance_id", "left_anti")
     order = Window.partitionBy("instance_id").orderBy(F.desc("score"), "file_path")
@@ -105,12 +108,12 @@ def outline_sizes(outlines: DataFrame, *, scope: str, text: str) -> DataFrame:
 def prefiltered(rankings: DataFrame, sizes: DataFrame, *, scope: str = "repo", k: int = 20, limit: int = OUTLINE_CHARS * POOL_FACTOR) -> DataFrame:
     """instance_id, file_path, score, rank: fusion, or for scopes with an outline beyond `limit` the pool.
 
-    Both plans are for all instances at once; which one holds is a column, not a second job.
+    Both plans are for all instances at once; which one holds is a column, not a second job. An instance whose scope has
+    no known size is taken for a small one.
     """
     modes = rankings.select("instance_id", scope).distinct().join(sizes, scope, "left").groupBy("instance_id").agg(F.max(F.coalesce("chars", F.lit(0)) > limit).alias("large"))
-    positions = list_positions(rankings)
-    has_model = positions.filter("retriever = 'llm'").select("instance_id").distinct().withColumn("model", F.lit(True))
-    large = modes.join(has_model, "instance_id", "left").filter("large and model").select("instance_id")
+    positions = cut(list_positions(rankings))
+    large = cut(modes.filter("large").select("instance_id"))
     fusion = penalised(reciprocal_ranks(positions.join(large, "instance_id", "left_anti")), k)
     return fusion.union(pooled(positions.join(large, "instance_id", "left_semi"), k))
 

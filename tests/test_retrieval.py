@@ -110,3 +110,44 @@ def test_top_k_in_blocks_equals_one_pass(spark):
     best = {a: max(range(60), key=lambda j: sum(x * y for x, y in zip(rows[a][1], rows[j][1]))) for a in range(0, 60, 5)}
     assert {r[0]: r[1] for r in run(5) if r[3] == 1} == best
     assert vectors.top_k(q.limit(0), e, 3, query_id="q", record_id="id", query_vector="v", record_vector="v", dimensions=4).count() == 0
+
+
+def test_vectors_meet_in_their_scope_and_ties_go_to_the_smaller_id(spark):
+    rows = [(f"{s}{i}", s, [1.0, float(i % 3)]) for s in "ab" for i in range(40)] + [("x", None, [1.0, 1.0])]
+    e = spark.createDataFrame(rows, "id string, s string, v array<double>")
+    q = e.filter("id in ('a1', 'b2', 'x')").select(F.col("id").alias("q"), "s", "v")
+    run = lambda **o: sorted(map(tuple, vectors.top_k(q, e, 4, query_id="q", record_id="id", query_vector="v", record_vector="v", dimensions=2, scope="s", **o).collect()))
+    assert run() == run(query_block=1, record_block=7)
+    best = lambda s, w: sorted((-round(1 + w * (i % 3), 12), f"{s}{i}") for i in range(40))[:4]
+    assert [(r[0], r[1], r[2]) for r in run()] == sorted([("a1", i, -x) for x, i in best("a", 1)] + [("b2", i, -x) for x, i in best("b", 2)])
+
+
+def test_bm25_does_not_depend_on_blocks(spark, monkeypatch):
+    from mossline.functions import blocks
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([("r", f"d{i}", " ".join(rng.choices(words, k=rng.randrange(1, 30)))) for i in range(70)], "repo string, doc string, text string")
+    queries = spark.createDataFrame([(f"q{i}", "r", " ".join(rng.choices(words, k=5))) for i in range(9)], "q string, repo string, text string")
+    index = R.postings(docs, scope="repo", key="doc", text="text").cache()
+    run = lambda: sorted(map(tuple, R.bm25(queries, index, 6, scope="repo", query="q", text="text", key="doc").collect()))
+    whole = run()
+    best = blocks.best
+    monkeypatch.setattr(blocks, "best", lambda *a, **o: best(*a, query_rows=2, record_rows=5))
+    monkeypatch.setattr(blocks, "TERM_ROWS", 3)
+    assert run() == whole and len(whole) > 40
+
+
+def test_sums_of_groups_in_parts(spark, monkeypatch):
+    rows = [(i % 5, [float(i), 1.0, float("nan") if i % 2 else 2.0]) for i in range(200)] + [(0, None), (1, [1.0]), (None, [1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "g bigint, v array<double>").repartition(3)
+    got = {r.g: (r.s, r.n) for r in vectors.vector_sums(frame, group="g", vector="v", dimensions=3).collect()}
+    for g in range(5):
+        own = [v for k, v in rows[:200] if k == g]
+        assert got[g] == ([sum(v[0] for v in own), 40.0, sum(v[2] for v in own if v[2] == v[2])], [40, 40, sum(v[2] == v[2] for v in own)])
+
+
+def test_pool_of_a_large_repository(spark):
+    rows = [("i", "bm25", f"b{k}.py", k) for k in range(120)] + [("i", "dense", "b0.py", 0), ("i", "dense", "d.py", 1), ("i", "llm", "m.py", 0)]
+    pool = R.candidate_pool(spark.createDataFrame(rows, "instance_id string, retriever string, file_path string, position int")).collect()
+    assert {r.file_path for r in pool} == {f"b{k}.py" for k in range(100)} | {"d.py"} and len(pool) == 101
