@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mossline.functions import text as T
 from mossline.operators.retrieval import decayed_budget, decayed_prior
+from mossline.runtime import cut
 
-#: Priors of the sources, in their order of precedence.
+# Priors of the sources, in their order of precedence, and how many seeds a search starts from.
 PRIORS = {"stack": 1.0, "literal": 0.8, "concept": 0.5, "memory": 0.4, "stage1": None}
 SEED_CAP = 30
 
@@ -24,16 +25,37 @@ def stack_matches(symptoms: DataFrame, functions: DataFrame) -> DataFrame:
     return frames.join(named, ["repo", "file_path", "name"]).filter("start_line <= line and line <= end_line").select("instance_id", "node_id").distinct()
 
 
+#: Characters of the pieces by which keywords and texts meet.
+GRAM = 3
+
+
+def grams(text: Column, least: int) -> Column:
+    """The distinct pieces of `least` to three characters of a text."""
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(least, GRAM + 1)])))
+
+
 def literal_matches(symptoms: DataFrame, functions: DataFrame) -> DataFrame:
     """instance_id, node_id: functions whose name and docstring contain a keyword of the instance.
 
-    Keywords are compared once per repository, however many instances share them. The substring condition is evaluated
-    within a repository, after an equi-join on it.
+    Keywords are compared once per repository, however many instances share them. A keyword meets the texts that have its
+    rarest piece of three characters (or itself, if it is shorter), by an equi-join on repository and piece, and is then
+    looked for in them.
     """
-    keywords = symptoms.select("instance_id", "repo", F.explode(F.array_distinct(F.transform(T.symptom_keywords(F.col("symptoms")), F.lower))).alias("keyword"))
+    asked = cut(symptoms.select("instance_id", "repo", F.explode(F.array_distinct(F.transform(T.symptom_keywords(F.col("symptoms")), F.lower))).alias("keyword")))
     hay = functions.select("repo", "node_id", F.lower(F.concat_ws(" ", F.coalesce("qualname", F.lit("")), F.coalesce("docstring", F.lit("")))).alias("hay"))
-    found = keywords.select("repo", "keyword").distinct().join(hay, "repo").filter(F.col("hay").contains(F.col("keyword"))).select("repo", "keyword", "node_id")
-    return keywords.join(found, ["repo", "keyword"]).select("instance_id", "node_id").distinct()
+    least = min(GRAM, asked.agg(F.min(F.length("keyword"))).first()[0] or GRAM)
+    keywords = asked.select("repo", "keyword").distinct()
+    own_grams = F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(grams(F.col("keyword"), GRAM))
+    parts = keywords.select("repo", "keyword", F.size(own_grams).alias("_n"), F.explode(own_grams).alias("gram"))
+    held = cut(hay.select("repo", "node_id", F.explode(grams(F.col("hay"), least)).alias("gram")).join(parts.select("repo", "gram").distinct(), ["repo", "gram"], "left_semi"))
+    met = parts.join(held.groupBy("repo", "gram").count(), ["repo", "gram"]).groupBy("repo", "keyword", "_n").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("count", "gram")).alias("_g"))
+    rarest = met.filter("_m = _n").select("repo", "keyword", F.col("_g.gram").alias("gram"))
+    found = rarest.join(held, ["repo", "gram"]).join(hay, ["repo", "node_id"]).filter(F.col("hay").contains(F.col("keyword"))).select("repo", "keyword", "node_id")
+    return asked.join(found, ["repo", "keyword"]).select("instance_id", "node_id").distinct()
 
 
 def concept_matches(nearest: DataFrame, members: DataFrame) -> DataFrame:
