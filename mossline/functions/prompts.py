@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that a prompt takes of each part.
-REPORT_CHARS, CODE_CHARS, OUTLINE_CHARS, SYMPTOM_CHARS, DRAWING_CHARS = 6_000, 1_500, 600_000, 2_000, 4_000
+# Characters that a prompt takes of each part. The report is longer where files are ranked.
+REPORT_CHARS, RANKED_REPORT_CHARS, CODE_CHARS, OUTLINE_CHARS, SYMPTOM_CHARS, DRAWING_CHARS, CANDIDATE_CHARS = 6_000, 8_000, 1_500, 600_000, 2_000, 4_000, 60_000
+# What makes a model think, and parts of the names of models that always or never do.
+THINKING = {"enable_thinking": True, "thinking": True}
+ALWAYS_THINKS = ("deepseek-r1", "deepseek-ai/deepseek-r1")
+NEVER_THINKS = ("llama", "meta-llama", "mixtral", "gemma", "mistral")
 
 
 def cut_to(text: Column, n: int) -> Column:
@@ -22,8 +28,23 @@ def messages(user: Column, system: Column | None = None) -> Column:
     return F.when(F.coalesce(system, F.lit("")) != "", F.array(message("system", system), message("user", user))).otherwise(F.array(message("user", user)))
 
 
+def extra_body(model: Column, mode: Column) -> Column:
+    """What a mode adds to a request, as JSON: nothing without thinking, nor for models that always or never think."""
+    named = [F.lower(model).contains(x) for x in (*ALWAYS_THINKS, *NEVER_THINKS)]
+    plain = mode == "non-think"
+    for known in named:
+        plain = plain | known
+    return F.when(plain, F.lit("{}")).otherwise(F.lit(json.dumps({"chat_template_kwargs": THINKING}, separators=(",", ":"))))
+
+
+def candidate_block(key: Column, chain: Column, code: Column) -> Column:
+    """One candidate in a prompt: its key, the steps of its chain and the beginning of its code."""
+    steps = F.when(F.size(chain) > 0, F.array_join(chain, " -> ")).otherwise("(none)")
+    return F.concat(F.lit("### "), key, F.lit("\nchain: "), steps, F.lit("\ncode:\n"), cut_to(code, CODE_CHARS))
+
+
 def file_rank_prompt(report: Column, outlines: Column, n: int = 10) -> Column:
-    return F.concat(F.lit(f"Name the {n} files that most likely have to change, most likely first. Answer with JSON: {{\"files\": [{{\"path\": ..., \"reason\": ...}}]}}\n\nReport:\n"), cut_to(report, REPORT_CHARS), F.lit("\n\nFiles:\n"), cut_to(outlines, OUTLINE_CHARS))
+    return F.concat(F.lit(f"Name the {n} files that most likely have to change, most likely first. Answer with JSON: {{\"files\": [{{\"path\": ..., \"reason\": ...}}]}}\n\nReport:\n"), cut_to(report, RANKED_REPORT_CHARS), F.lit("\n\nFiles:\n"), cut_to(outlines, OUTLINE_CHARS))
 
 
 def symptom_prompt(report: Column) -> Column:
@@ -38,7 +59,7 @@ def chain_prompt(report: Column, symptoms: Column, drawing: Column, code: Column
 
 
 def rerank_prompt(report: Column, candidates: Column) -> Column:
-    return F.concat(F.lit("Order the candidates by how likely they have to change. Answer with JSON: {\"ranking\": [{\"id\": ..., \"confidence\": 0 to 1}]}\n\nReport:\n"), cut_to(report, REPORT_CHARS), F.lit("\n\nCandidates:\n"), cut_to(candidates, 60_000))
+    return F.concat(F.lit("Order the candidates by how likely they have to change. Answer with JSON: {\"ranking\": [{\"id\": ..., \"confidence\": 0 to 1}]}\n\nReport:\n"), cut_to(report, REPORT_CHARS), F.lit("\n\nCandidates:\n"), cut_to(candidates, CANDIDATE_CHARS))
 
 
 def drawn(candidates: DataFrame, n: int = 8) -> DataFrame:

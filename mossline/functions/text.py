@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Patterns and names that results depend on.
 #: An identifier of two characters or more, ASCII only; applied before lower-casing, which would change what splits.
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]+"
 CAMEL = "[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)"
@@ -129,13 +130,18 @@ def extracted_symptoms(report: Column) -> Column:
     )
 
 
-def request_text(model: Column, mode: Column, prompt: Column, temperature: Column, seed: Column) -> Column:
-    """A request as one text with its fields in alphabetical order; what doesn't change a reply takes no part."""
-    return F.concat_ws("|", F.concat(F.lit("messages="), prompt), F.concat(F.lit("mode="), mode), F.concat(F.lit("model="), model), F.concat(F.lit("seed="), seed.cast("string")), F.concat(F.lit("temperature="), temperature.cast("string")))
+def request_text(*, model: Column, mode: Column, messages: Column, response_format: Column, temperature: Column, seed: Column) -> Column:
+    """A request as JSON with its fields in alphabetical order, nulls among them; what doesn't change a reply takes no part.
 
+    messages: array of structs with role and content; response_format: a struct with its fields in order, or null.
+    """
+    said = F.transform(messages, lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
+    fields = F.struct(said.alias("messages"), mode.alias("mode"), model.alias("model"), response_format.alias("response_format"), seed.alias("seed"), temperature.cast("double").alias("temperature"))
+    return F.to_json(fields, {"ignoreNullFields": "false"})
 
-def request_key(*parts: Column) -> Column:
-    return F.sha2(request_text(*parts), 256)
+
+def request_key(**parts: Column) -> Column:
+    return F.sha2(request_text(**parts), 256)
 
 
 def confidence_label(runs: Column, appearances: Column) -> Column:

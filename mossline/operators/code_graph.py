@@ -82,28 +82,50 @@ def structural_edges(skeletons: DataFrame) -> DataFrame:
 
 
 def commit_nodes(commits: DataFrame, message_chars: int = 500) -> DataFrame:
-    """node_id, name, message, authored_at: a node for every commit, whether its files are kept or not."""
-    return commits.select(T.node_id("commit", F.col("sha")).alias("node_id"), F.substring("sha", 1, 12).alias("name"), F.substring(F.coalesce("message", F.lit("")), 1, message_chars).alias("message"), "authored_at")
+    """repo, node_id, name, message, authored_at: a node for every commit, whether its files are kept or not."""
+    return commits.select("repo", T.node_id("commit", F.col("sha")).alias("node_id"), F.substring("sha", 1, 12).alias("name"), F.substring(F.coalesce("message", F.lit("")), 1, message_chars).alias("message"), "authored_at")
 
 
 def concept_graph(concepts: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: node_id, name, centroid, n_members), (edges: src, dst): concepts of equal label are one node, the last centroid counts.
+    """(nodes: repo, node_id, name, centroid, n_members), (edges: repo, src, dst): concepts of a repository with equal labels are one node, the last centroid counts.
 
-    concepts: label, member_function_ids, centroid, built_at; functions: node_id. Members that aren't functions of the
-    graph give no edge.
+    concepts: repo, label, member_function_ids, centroid, built_at; functions: repo, node_id. Members that aren't functions
+    of the repository's graph give no edge.
     """
     named = concepts.filter("label is not null and label <> ''")
-    nodes = named.groupBy("label").agg(F.max_by(F.struct("centroid", "member_function_ids"), "built_at").alias("c")).select(T.node_id("concept", F.col("label")).alias("node_id"), F.col("label").alias("name"), "c.centroid", F.size(F.coalesce("c.member_function_ids", F.array())).alias("n_members"))
-    edges = named.select("label", F.explode("member_function_ids").alias("m")).filter(F.col("m").contains("::")).select(T.node_id("func", F.col("m")).alias("src"), T.node_id("concept", F.col("label")).alias("dst")).distinct()
-    return nodes, edges.join(functions.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
+    nodes = named.groupBy("repo", "label").agg(F.max_by(F.struct("centroid", "member_function_ids"), "built_at").alias("c")).select("repo", T.node_id("concept", F.col("label")).alias("node_id"), F.col("label").alias("name"), "c.centroid", F.size(F.coalesce("c.member_function_ids", F.array())).alias("n_members"))
+    edges = named.select("repo", "label", F.explode("member_function_ids").alias("m")).filter(F.col("m").contains("::")).select("repo", T.node_id("func", F.col("m")).alias("src"), T.node_id("concept", F.col("label")).alias("dst")).distinct()
+    return nodes, edges.join(functions.select("repo", F.col("node_id").alias("src")).distinct(), ["repo", "src"], "left_semi")
+
+
+def contain_edges_of(nodes: DataFrame) -> DataFrame:
+    """repo, src, dst: the class or file that each class and function of a node table lies in. nodes: repo, node_id, node_type, file_path, qualname."""
+    known = nodes.select("repo", "node_id").distinct()
+    inner = nodes.filter("node_type in ('class', 'function')").select("repo", F.col("node_id").alias("dst"), "file_path", F.expr("nullif(regexp_extract(qualname, '^(.*)[.][^.]*$', 1), '')").alias("owner")).distinct()
+    classes = known.select("repo", F.col("node_id").alias("_class"))
+    placed = inner.withColumn("_class", T.node_id("class", F.col("file_path"), F.col("owner"))).join(classes.withColumn("_known", F.lit(True)), ["repo", "_class"], "left")
+    return placed.select("repo", F.when(F.col("owner").isNotNull() & F.col("_known"), F.col("_class")).otherwise(T.node_id("file", F.col("file_path"))).alias("src"), "dst").distinct()
+
+
+def file_of(functions: DataFrame, contain: DataFrame) -> DataFrame:
+    """repo, node_id, file: the file around each function, one contain edge up, or two where a class lies between.
+
+    functions: repo, node_id; contain: repo, src, dst. A function with neither gives no row.
+    """
+    first = functions.select("repo", "node_id").distinct().join(contain.select("repo", F.col("dst").alias("node_id"), F.col("src").alias("_up")), ["repo", "node_id"])
+    second = first.join(contain.select("repo", F.col("dst").alias("_up"), F.col("src").alias("_file")), ["repo", "_up"], "left")
+    place = F.when(F.col("_up").startswith("file::"), F.col("_up")).otherwise(F.col("_file"))
+    return second.select("repo", "node_id", place.alias("file")).filter(F.col("file").startswith("file::")).distinct()
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").partitionBy("node_type").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
+    """Nodes and edges as parquet, in folders by repository and type; each folder's rows are gathered first, in several tasks where they are many."""
+    nodes.hint("rebalance", "repo", "node_type").write.mode("overwrite").partitionBy("repo", "node_type").parquet(f"{path}/nodes")
+    edges.hint("rebalance", "repo", "edge_type").write.mode("overwrite").partitionBy("repo", "edge_type").parquet(f"{path}/edges")
 
 
 def load_graph(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges); filters on repository and type read their folders only."""
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 

@@ -59,8 +59,19 @@ def calibration_error(tops: DataFrame, bins: int = BINS) -> DataFrame:
     return per.crossJoin(F.broadcast(whole)).agg(F.round(F.sum(F.col("m") / F.col("n") * F.abs(F.col("conf") - F.col("acc"))), 6).alias("ece"))
 
 
-def report(files: DataFrame, gold_files: DataFrame, functions: DataFrame, gold_functions: DataFrame, lines: DataFrame, gold_lines: DataFrame) -> DataFrame:
-    """One row: the mean of each metric over the instances that have gold for it, and how many those were."""
+def first_confidences(functions: DataFrame, gold_functions: DataFrame) -> DataFrame:
+    """confidence, correct: the score of each instance's first function and whether it is gold; instances without gold are absent."""
+    first = functions.groupBy("instance_id").agg(F.min_by(F.struct("function_key", "score"), F.struct("rank", "function_key")).alias("f")).select("instance_id", "f.*")
+    judged = first.join(gold_functions.select("instance_id").distinct(), "instance_id").join(gold_functions.select("instance_id", "function_key").distinct().withColumn("_hit", F.lit(1)), ["instance_id", "function_key"], "left")
+    return judged.select(F.col("score").alias("confidence"), F.coalesce("_hit", F.lit(0)).alias("correct"))
+
+
+def report(files: DataFrame, gold_files: DataFrame, functions: DataFrame, gold_functions: DataFrame, lines: DataFrame, gold_lines: DataFrame, *, asked: DataFrame) -> DataFrame:
+    """One row: the mean of each metric over the instances that have gold for it, their number, all instances asked, and the calibration error.
+
+    functions: instance_id, function_key, rank, score; asked: instance_id, one row an instance. An instance without any
+    prediction counts as one that found nothing.
+    """
     f, g = hits(files, gold_files, "file_path"), hits(functions, gold_functions, "function_key")
     per_file = f.agg(*[F.round(F.avg(accuracy_at(k)), 6).alias(f"file_acc_{k}") for k in (1, 3, 5)])
     per_function = g.agg(
@@ -68,7 +79,18 @@ def report(files: DataFrame, gold_files: DataFrame, functions: DataFrame, gold_f
         F.round(F.avg(reciprocal_rank()), 6).alias("mrr"), F.count(F.lit(1)).alias("n_with_gold_function"),
     )
     per_line = line_recall(lines, gold_lines).agg(F.round(F.avg("line_recall"), 6).alias("line_recall_5"))
-    return per_file.crossJoin(per_function).crossJoin(per_line)
+    whole = asked.agg(F.count(F.lit(1)).alias("n_predictions"))
+    return per_file.crossJoin(per_function).crossJoin(per_line).crossJoin(calibration_error(first_confidences(functions, gold_functions))).crossJoin(whole)
+
+
+def per_instance(asked: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
+    """instance_id, top1_func, n_files: the first function and the number of files of each instance; null and 0 for one without.
+
+    asked: instance_id; functions: instance_id, function_key, rank; files: instance_id.
+    """
+    first = functions.groupBy("instance_id").agg(F.min_by("function_key", F.struct("rank", "function_key")).alias("top1_func"))
+    counts = files.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_files"))
+    return asked.select("instance_id").join(first, "instance_id", "left").join(counts, "instance_id", "left").select("instance_id", "top1_func", F.coalesce("n_files", F.lit(0).cast("long")).alias("n_files"))
 
 
 def markdown(row: dict, name: str, baselines: dict[str, dict] | None = None) -> str:
@@ -81,5 +103,6 @@ def markdown(row: dict, name: str, baselines: dict[str, dict] | None = None) ->
     return "\n".join(lines) + "\n"
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(rows: DataFrame, path: str, files: int | None = 1) -> None:
+    """CSV with a header line: one file, as a report of one row needs, or as many as the rows' partitions with None."""
+    (rows.coalesce(files) if files else rows).write.mode("overwrite").csv(path, header=True)

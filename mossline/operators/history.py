@@ -42,9 +42,9 @@ def most_edited(counts: DataFrame, k: int = 200) -> DataFrame:
 
 
 def evolved_by(commits: DataFrame, files: DataFrame) -> DataFrame:
-    """src, dst: File to Commit, for files that are kept and known."""
+    """repo, src, dst: File to Commit, for files that are kept and known."""
     kept = files.select("repo", "file_path").distinct()
-    return touched(commits).join(kept, ["repo", "file_path"], "left_semi").select(F.concat_ws("::", F.lit("file"), "file_path").alias("src"), F.concat_ws("::", F.lit("commit"), "sha").alias("dst")).distinct()
+    return touched(commits).join(kept, ["repo", "file_path"], "left_semi").select("repo", F.concat_ws("::", F.lit("file"), "file_path").alias("src"), F.concat_ws("::", F.lit("commit"), "sha").alias("dst")).distinct()
 
 
 def co_edited(commits: DataFrame, files: DataFrame, least: int = 3) -> DataFrame:

@@ -1,7 +1,8 @@
 """Best-first search of the code graph, one instance and run at a time.
 
-Each step depends on the one before, so a search runs in one place; instances and runs are what is spread out. Only the
-neighbourhood that a search can reach is shipped to it, and scores are looked up, not computed.
+Each step depends on the one before, so a search runs in one place; instances and runs are what is spread out. A search
+is shipped the neighbourhood of its seeds only; where it gets to the border of that, it asks for what it needs next and is
+run again with it, so results are those of a search that sees the whole graph.
 """
 
 from __future__ import annotations
@@ -10,16 +11,17 @@ import heapq
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mossline.operators.code_graph import reached
+from mossline.runtime import cut
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Weights of the priority and the budgets of a search."""
+    """Weights of the priority and the budgets of a search (fixed values, the defaults that results depend on)."""
 
     sem: float = 1.0
     chain: float = 0.8
@@ -43,12 +45,22 @@ class Limits:
 class Graph:
     """What a search sees: functions with scores, edges by type, statements of functions with their scores.
 
-    Nodes without a score are classes and files: reading one of them reads its best contained functions.
+    Nodes without a score are classes and files: reading one of them reads its best contained functions. `opened` are the
+    nodes whose edges are known, None if all are.
     """
 
     scores: dict[str, float]
     edges: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     statements: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
+    opened: set[str] | None = None
+
+
+class NeedsMore(Exception):
+    """Raised where a search comes to nodes whose edges it doesn't know; names them."""
+
+    def __init__(self, nodes: list[str]) -> None:
+        super().__init__(nodes)
+        self.nodes = nodes
 
 
 @dataclass
@@ -56,24 +68,31 @@ class Found:
     distance: int = 0
     chain_score: float = 0.0
     chain_step: int = -1
+    chain: list[str] = field(default_factory=list)
+    drilled: bool = False
     lines: list[int] = field(default_factory=list)
 
 
-#: Given a batch of node ids and their scores: (node, chain score 0 to 10) pairs and suggested nodes.
-Reasoner = Callable[[list[str], dict[str, float]], tuple[list[tuple[str, float]], list[str]]]
+#: Given a batch of node ids and their scores: (node, chain score 0 to 10), also with the chain's steps, and suggested nodes.
+Reasoner = Callable[[list[str], dict[str, float]], tuple[list[tuple], list[str]]]
+
 
+def bounded_reasoner(batch: list[str], scores: dict[str, float]) -> tuple[list[tuple], list[str]]:
+    """Stands in for a model: chain scores in proportion to the best similarity of the batch, a chain of the function's name, no suggestions."""
+    most = max((scores.get(n, 0.0) for n in batch), default=0.0)
+    return [(n, round(10 * max(0.0, scores.get(n, 0.0) / most), 6), [n.rsplit("::", 1)[-1]]) for n in batch] if most > 0 else [], []
 
-def bounded_reasoner(batch: list[str], scores: dict[str, float]) -> tuple[list[tuple[str, float]], list[str]]:
-    """Stands in for a model: a chain score in proportion to the similarity, no suggestions."""
-    return [(n, round(10 * max(0.0, min(1.0, scores.get(n, 0.0))), 6)) for n in batch], []
 
+def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Limits(), reasoner: Reasoner = bounded_reasoner, expansions: tuple[str, ...] = ("invoke", "inherit"), details: dict[str, Found] | None = None) -> tuple[list[tuple[str, float, int, float, list[int]]], str, int]:
+    """((node, score, distance, chain score, lines) best first, why it ended, iterations).
 
-def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Limits(), reasoner: Reasoner = bounded_reasoner, expansions: tuple[str, ...] = ("invoke", "inherit")) -> tuple[list[tuple[str, float, int, float, list[int]]], str, int]:
-    """((node, score, distance, chain score, lines) best first, why it ended, iterations)."""
+    `details` is filled with all that was found. An instance of NeedsMore is raised where a node's edges are needed that
+    aren't known; it names that node and all that are queued.
+    """
     heap: list = []
     visited: set[str] = set()
     distances: dict[str, int] = {}
-    found: dict[str, Found] = {}
+    found: dict[str, Found] = {} if details is None else details
     waiting: list[str] = []
     step = pushed = calls = 0
 
@@ -108,11 +127,11 @@ def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Li
         batch, waiting[:] = waiting[: limits.reason_batch], waiting[limits.reason_batch :]
         chains, suggested = reasoner(batch, graph.scores)
         calls += 1
-        for node, score in chains:
+        for node, score, *steps in chains:
             if node not in graph.scores:
                 continue
             own = found.setdefault(node, Found())
-            own.chain_score, own.chain_step = score, step
+            own.chain_score, own.chain_step, own.chain = score, step, list(steps[0]) if steps else []
             if score >= limits.drill_score:
                 push("drill", node, own.distance, 0.5)
         for node in suggested:
@@ -128,6 +147,9 @@ def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Li
         _, _, kind, node, depth, prior = heapq.heappop(heap)
         if kind == "read" and node in visited:
             continue
+        unknown = graph.opened is not None and node not in graph.opened
+        if unknown and (kind in expansions or (kind == "read" and node not in graph.scores)):
+            raise NeedsMore(sorted({node} | {n for *_, n, _, _ in heap if n not in graph.opened}))
         if kind == "read":
             if node in graph.scores:
                 visited.add(node)
@@ -140,7 +162,8 @@ def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Li
                 for child in sorted(inside, key=lambda n: -graph.scores[n])[: limits.children]:
                     enqueue(child, depth, prior)
         elif kind == "drill":
-            found.setdefault(node, Found()).lines = [n for n, _ in sorted(graph.statements.get(node, []), key=lambda s: (-s[1], s[0]))[: limits.drilled]]
+            found.setdefault(node, Found()).drilled = True
+            found[node].lines = [n for n, _ in sorted(graph.statements.get(node, []), key=lambda s: (-s[1], s[0]))[: limits.drilled]]
         else:
             for neighbour in graph.edges.get(kind, {}).get(node, ()):
                 enqueue(neighbour, depth, prior)
@@ -157,60 +180,134 @@ def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Li
     return [(n, value(n), found[n].distance, found[n].chain_score, found[n].lines) for n in best(limits.output)], ended, step
 
 
-RESULT = "instance_id string, run int, rank int, node_id string, score double, distance int, chain_score double, lines array<int>, ended string, iterations int"
+RESULT = "instance_id {instance}, run int, rank int, node_id string, score double, distance int, chain_score double, chain array<string>, drilled boolean, ended string, iterations int"
+#: What a group of rows is made of.
+ROW = {"part": "string", "run": "int", "a": "string", "b": "string", "kind": "string", "x": "double", "n": "int", "v": "array<double>"}
+
+
+def both_ways(edges: DataFrame, kinds: tuple[str, ...] = ("inherit",)) -> DataFrame:
+    """The edges, and those of some kinds also from their end to their start: a search goes up and down them."""
+    scope = [c for c in edges.columns if c == "repo"]
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    ways = F.when(F.col("edge_type").isin(*kinds), F.array(ends("src", "dst"), ends("dst", "src"))).otherwise(F.array(ends("src", "dst")))
+    return edges.select(*scope, "edge_type", F.explode(ways).alias("e")).select(*scope, "e.src", "e.dst", "edge_type").distinct()
 
 
-def traversed(seeds: DataFrame, edges: DataFrame, scores: DataFrame, *, statements: DataFrame | None = None, limits: Limits = Limits(), reasoner: Reasoner = bounded_reasoner, hops: int | None = None) -> DataFrame:
-    """instance_id, run, rank (from 1), node_id, score, distance, chain_score, lines, ended, iterations: the best functions of each search.
+def traversed(
+    seeds: DataFrame, edges: DataFrame, scores: DataFrame | None = None, *, vectors: DataFrame | None = None, queries: DataFrame | None = None,
+    limits: Limits = Limits(), reasoner: Reasoner = bounded_reasoner,
+) -> DataFrame:
+    """instance_id, run, rank (from 1), node_id, score, distance, chain_score, chain, drilled, ended, iterations: the best functions of each search.
 
-    seeds: instance_id, run, node_id, prior, rank; edges: src, dst, edge_type; scores: instance_id, node_id, sem and, if runs
-    differ, run; statements: node_id, line, sem. Of edges and scores, only what lies within `hops` of an instance's seeds is
-    shipped, once for all runs of the instance; runs of equal seeds and scores are searched once. A hop takes two
-    iterations, an expansion and a read, so by default nothing is left out that the iterations could reach.
+    seeds: instance_id, run, node_id, prior, rank; edges: src, dst, edge_type; both with repo where node ids are those of
+    several repositories. Scores of functions are given by `scores` (instance_id, node_id, sem and, if runs differ, run), or are the
+    dot products of `vectors` (repo, node_id, vector) with `queries` (instance_id, run, vector); a function without any
+    scores 0. What lies one edge from a seed, and the edges of that, are shipped at first, once for all runs of the
+    instance; searches that need more get what lies as far around the nodes that they name, in rounds of at most as many
+    as iterations. Runs of equal seeds and scores are searched once.
     """
-    hops = limits.iterations // 2 if hops is None else hops
-    own_scores = "run" in scores.columns
-    starts = seeds.select(F.col("node_id").alias("start")).distinct()
-    near = reached(edges.select("src", "dst").distinct(), starts, hops).select(F.col("start").alias("node_id"), F.col("node").alias("near"))
-    region = seeds.select("instance_id", "node_id").distinct().join(near, "node_id").select("instance_id", F.col("near").alias("node_id")).distinct()
-    columns = lambda part, a, b=None, kind=None, x=None, n=None, run=None: [
-        "instance_id", F.lit(part).alias("part"), (F.col(run) if run else F.lit(None)).cast("int").alias("run"), F.col(a).alias("a"), (F.col(b) if b else F.lit(None)).cast("string").alias("b"),
-        (F.col(kind) if kind else F.lit(None)).cast("string").alias("kind"), (F.col(x) if x else F.lit(None)).cast("double").alias("x"), (F.col(n) if n else F.lit(None)).cast("int").alias("n"),
-    ]
-    rows = seeds.select(*columns("seed", "node_id", x="prior", n="rank", run="run"))
-    if own_scores:
-        rows = rows.union(region.withColumn("sem", F.lit(0.0)).select(*columns("score", "node_id", x="sem")))
-        rows = rows.union(region.join(scores, ["instance_id", "node_id"]).select(*columns("own", "node_id", x="sem", run="run")))
-    else:
-        scored = region.join(scores, ["instance_id", "node_id"], "left").withColumn("sem", F.coalesce("sem", F.lit(0.0)))
-        rows = rows.union(scored.select(*columns("score", "node_id", x="sem")))
-    rows = rows.union(region.join(edges.select(F.col("src").alias("node_id"), "dst", "edge_type"), "node_id").select(*columns("edge", "node_id", "dst", "edge_type")))
-    if statements is not None:
-        rows = rows.union(region.join(statements, "node_id").select(*columns("line", "node_id", x="sem", n="line")))
+    scope = [c for c in ("repo",) if c in edges.columns and c in seeds.columns]
+    links = cut(both_ways(edges))
+    here = ["instance_id", *scope, "node_id"]
+    steps = links.select(*scope, F.col("src").alias("node_id"), "dst", "edge_type")
+    instance = seeds.schema["instance_id"].dataType.simpleString()
+    schema = RESULT.format(instance=instance)
+
+    def rows(part: str, frame: DataFrame, **columns: str) -> DataFrame:
+        return frame.select("instance_id", F.lit(part).alias("part"), *[(F.col(columns[c]) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in ROW.items() if c != "part"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph, begin, own_of = Graph({}), {}, {}
-        ordered = sorted(zip(*(pdf[c].tolist() for c in ("part", "a", "kind", "b", "x", "n", "run")), strict=True), key=lambda r: (r[0], r[5] if r[5] == r[5] and r[5] is not None else 0, r[1], r[2] or "", r[3] or ""))
-        for part, a, kind, b, x, n, number in ordered:
+        graph, begin, own_of, asked = Graph({}, opened=set()), {}, {}, {}
+        names, vector = [], []
+        for part, number, a, b, kind, x, n, v in pdf[list(ROW)].itertuples(index=False, name=None):
             if part == "seed":
-                begin.setdefault(int(number), []).append((a, x))
-            elif part == "score":
-                graph.scores[a] = x
+                begin.setdefault(int(number), []).append((int(n), a, x))
+            elif part == "node":
+                graph.scores[a] = 0.0
+                if v is not None:
+                    names.append(a)
+                    vector.append(v)
             elif part == "own":
-                own_of.setdefault(int(number), {})[a] = x
-            elif part == "edge":
-                graph.edges.setdefault(kind, {}).setdefault(a, []).append(b)
+                own_of.setdefault(-1 if pd.isna(number) else int(number), {})[a] = x
+            elif part == "query":
+                asked[int(number)] = v
+            elif part == "open":
+                graph.opened.add(a)
             else:
-                graph.statements.setdefault(a, []).append((int(n), x))
+                graph.edges.setdefault(kind, {}).setdefault(a, []).append(b)
+        for targets in graph.edges.values():
+            for own in targets.values():
+                own.sort()
+        matrix = np.array(vector, dtype=np.float64) if vector else None
         known: dict[tuple, tuple] = {}
-        out = []
+        out, key = [], pdf["instance_id"].iloc[0]
         for number, own in sorted(begin.items()):
-            scored = own_of.get(number, {})
-            alike = (tuple(own), tuple(scored.items()))
+            start = [(a, x) for _, a, x in sorted(own)]
+            scored = own_of.get(number, own_of.get(-1, {}))
+            if matrix is not None and asked.get(number) is not None:
+                scored = dict(zip(names, np.round(matrix @ np.array(asked[number], dtype=np.float64), 6).tolist(), strict=True))
+            alike = (tuple(start), tuple(sorted(scored.items())))
             if alike not in known:
-                known[alike] = search(own, Graph(graph.scores | scored, graph.edges, graph.statements), limits, reasoner)
-            best, ended, steps = known[alike]
-            out.extend((pdf["instance_id"].iloc[0], number, i + 1, *x, ended, steps) for i, x in enumerate(best))
-        return pd.DataFrame(out, columns=["instance_id", "run", "rank", "node_id", "score", "distance", "chain_score", "lines", "ended", "iterations"])
+                details: dict[str, Found] = {}
+                try:
+                    found = search(start, Graph(graph.scores | {n: x for n, x in scored.items() if n in graph.scores}, graph.edges, {}, graph.opened), limits, reasoner, details=details)
+                    known[alike] = (*found, details)
+                except NeedsMore as more:
+                    known[alike] = ([(n, None, None, None, None) for n in more.nodes], None, None, {})
+            best, ended, iterations, details = known[alike]
+            for i, (node, score, distance, chain_score, _) in enumerate(best):
+                whole = ended is not None
+                out.append((key, number, i + 1 if whole else 0, node, score, distance, chain_score, details[node].chain if whole else None, details[node].drilled if whole else None, ended, iterations))
+        frame = pd.DataFrame(out, columns=["instance_id", "run", "rank", "node_id", "score", "distance", "chain_score", "chain", "drilled", "ended", "iterations"])
+        if (frame["rank"] == 0).any():  # all runs of an instance are searched again
+            frame = frame[frame["rank"] == 0].drop_duplicates("node_id")
+        return frame.astype({"distance": "Int32", "iterations": "Int32", "drilled": "boolean"})
+
+    active, opened = seeds, None
+    wanted = seeds.select(*here).distinct()
+    done = []
+    for _ in range(limits.iterations + 1):
+        near = wanted.join(steps, [*scope, "node_id"]).select("instance_id", *scope, F.col("dst").alias("node_id"))
+        opened = cut((wanted.union(near) if opened is None else opened.union(wanted).union(near)).distinct())
+        own = cut(opened.join(steps, [*scope, "node_id"]))
+        seen = opened.union(own.select("instance_id", *scope, F.col("dst").alias("node_id"))).distinct()
+        parts = rows("seed", active, run="run", a="node_id", x="prior", n="rank").union(rows("open", opened, a="node_id")).union(rows("edge", own, a="node_id", b="dst", kind="edge_type"))
+        if vectors is not None:
+            parts = parts.union(rows("node", seen.join(vectors.select(*scope, "node_id", "vector"), [*scope, "node_id"], "left"), a="node_id", v="vector"))
+            parts = parts.union(rows("query", queries.join(active.select("instance_id").distinct(), "instance_id", "left_semi"), run="run", v="vector"))
+        else:
+            parts = parts.union(rows("node", seen, a="node_id"))
+            own_scores = seen.join(scores, ["instance_id", "node_id"])
+            parts = parts.union(rows("own", own_scores, a="node_id", x="sem", **({"run": "run"} if "run" in scores.columns else {})))
+        found = cut(parts.groupBy("instance_id").applyInPandas(run, schema))
+        done.append(found.filter("rank > 0"))
+        more = found.filter("rank = 0")
+        if more.isEmpty():
+            break
+        asking = more.select("instance_id").distinct()
+        active, opened = (cut(x.join(asking, "instance_id", "left_semi")) for x in (active, opened))
+        wanted = more.select("instance_id", "node_id").distinct()
+        if scope:
+            wanted = wanted.join(active.select("instance_id", *scope).distinct(), "instance_id").select(*here)
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.union(part)
+    return whole
+
+
+def drilled_lines(found: DataFrame, statements: DataFrame, queries: DataFrame, *, encode: Callable[[DataFrame], DataFrame], top: int = Limits.drilled) -> DataFrame:
+    """instance_id, run, node_id, line: of each function that a search drilled into, the statements nearest to the run's report.
+
+    found: as of `traversed`, with repo; statements: repo, node_id, line, text; queries: instance_id, run, vector; encode gives `vector` for
+    the column text. Ties go to the earlier line.
+    """
+    from pyspark.sql import Window
+
+    from mossline.functions.vectors import dot
 
-    return rows.groupBy("instance_id").applyInPandas(run, RESULT)
+    chosen = found.filter("drilled").select("instance_id", "run", "repo", "node_id")
+    own = statements.join(chosen.select("repo", "node_id").distinct(), ["repo", "node_id"], "left_semi").select("repo", "node_id", "line", "text")
+    scored = chosen.join(encode(own), ["repo", "node_id"]).join(queries.select("instance_id", "run", F.col("vector").alias("_q")), ["instance_id", "run"])
+    order = Window.partitionBy("instance_id", "run", "node_id").orderBy(F.desc("_s"), "line")
+    best = scored.withColumn("_s", F.round(dot(F.col("vector"), F.col("_q")), 6)).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top)
+    return best.select("instance_id", "run", "node_id", "line")

@@ -6,20 +6,22 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mossline.functions import text as T
-from mossline.functions.vectors import hashed_vector
+from mossline.functions.vectors import hashed_vectors
+from mossline.runtime import cut
 from mossline.sources import replies
 
 #: Given a prompt: (text, reasoning) of the reply.
 Model = Callable[[str], tuple[str, str | None]]
 
 
-def encoded(texts: DataFrame, *, key: str, text: str, dimensions: int = 64) -> DataFrame:
-    """key, vector: unit vectors of texts by hashed tokens."""
-    return texts.select(key, hashed_vector(T.code_tokens(F.col(text)), dimensions).alias("vector"))
+def encoded(texts: DataFrame, *, key: str | list[str], text: str = "text", dimensions: int = 64) -> DataFrame:
+    """The key columns and vector: unit vectors of texts by hashed tokens."""
+    keys = [key] if isinstance(key, str) else key
+    return hashed_vectors(texts.select(*keys, T.code_tokens(F.col(text)).alias("_tokens")), tokens="_tokens", dimensions=dimensions)
 
 
 def summaries(functions: DataFrame) -> DataFrame:
@@ -38,8 +40,6 @@ def labels(members: DataFrame, n: int = 8) -> DataFrame:
 
 def ranked_by_overlap(reports: DataFrame, outlines: DataFrame, k: int = 10) -> DataFrame:
     """instance_id, file_path, position (from 0): files by how many distinct identifiers they share with the report."""
-    from pyspark.sql import Window
-
     asked = reports.select("instance_id", "repo", F.explode(F.array_distinct(T.identifiers(F.col("text")))).alias("t"))
     known = outlines.select("repo", "file_path", F.explode(F.array_distinct(T.identifiers(F.col("outline")))).alias("t"))
     shared = asked.join(known, ["repo", "t"]).groupBy("instance_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
@@ -47,23 +47,37 @@ def ranked_by_overlap(reports: DataFrame, outlines: DataFrame, k: int = 10) -> D
     return shared.withColumn("position", F.row_number().over(order) - 1).filter(F.col("position") < k).select("instance_id", "file_path", "position")
 
 
-def answered(requests: DataFrame, cache: DataFrame, model: Model, *, per_minute: float = 0, tries: int = 8) -> tuple[DataFrame, DataFrame]:
+def listwise_by_overlap(head: DataFrame) -> DataFrame:
+    """instance_id, node_id, position (from 0), confidence: the head of a ranking by the share of a function's name and summary that the report has.
+
+    head: instance_id, node_id, rank, name (text of the function), text (the report). Ties keep the order of `rank`.
+    """
+    tokens = head.select("instance_id", "node_id", "rank", F.array_distinct(T.code_tokens(F.col("name"))).alias("_f"), F.array_distinct(T.code_tokens(F.col("text"))).alias("_r"))
+    share = F.round(F.coalesce(F.try_divide(F.size(F.array_intersect("_f", "_r")), F.size("_f")), F.lit(0.0)), 6)
+    order = Window.partitionBy("instance_id").orderBy(F.desc("confidence"), "rank", "node_id")
+    return tokens.select("instance_id", "node_id", "rank", share.alias("confidence")).withColumn("position", F.row_number().over(order) - 1).select("instance_id", "node_id", "position", "confidence")
+
+
+def answered(requests: DataFrame, cache: DataFrame, model: Model, *, per_minute: float = 0, tries: int = 8, tasks: int = 8) -> tuple[DataFrame, DataFrame]:
     """(all requests with text and reasoning, the new replies): cached ones are joined, misses are asked once per key.
 
-    requests: key, prompt. Each task keeps at least 60 / per_minute seconds between its calls and asks again after a
-    failure, waiting twice as long each time; a request that fails every time gets a null text and isn't cached.
+    requests: key, prompt. Misses are asked by `tasks` tasks, each of which keeps at least 60 * tasks / per_minute seconds
+    between its calls, so that all together keep to the rate. A failed call is made again, after twice the time each
+    time; a request that fails every time gets a null text and isn't cached. Replies are written out before they are
+    used, so a model is asked once whatever is read.
     """
     hit, miss = replies.looked_up(requests, cache)
+    pause = 60 * tasks / per_minute if per_minute else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = 0.0
+        last = float("-inf")
         for batch in batches:
             out = []
             for key, prompt in zip(batch["key"], batch["prompt"], strict=True):
                 text = reasoning = None
                 for attempt in range(tries):
-                    if per_minute:
-                        time.sleep(max(0.0, last + 60 / per_minute - time.monotonic()))
+                    if pause:
+                        time.sleep(max(0.0, last + pause - time.monotonic()))
                         last = time.monotonic()
                     try:
                         text, reasoning = model(prompt)
@@ -73,7 +87,7 @@ def answered(requests: DataFrame, cache: DataFrame, model: Model, *, per_minute:
                 out.append((key, text, reasoning))
             yield pd.DataFrame(out, columns=["key", "text", "reasoning"])
 
-    fresh = miss.select("key", "prompt").dropDuplicates(["key"]).mapInPandas(run, replies.SCHEMA)
+    fresh = cut(miss.select("key", "prompt").dropDuplicates(["key"]).repartition(tasks, "key").mapInPandas(run, replies.SCHEMA))
     return hit.unionByName(miss.join(fresh, "key")), fresh.filter("text is not null")
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mossline.functions import prompts, vectors
 from mossline.functions import text as T
-from mossline.functions import vectors
 from mossline.operators import code_graph, consensus, evaluation, grouping, history, retrieval, seeding
 from mossline.plans import localize as plan
 from mossline.runtime import cut, table
@@ -24,7 +24,7 @@ SQL = {
     "commits1": "commits1 AS (SELECT sha, repo, authored_at, list_distinct(coalesce(files, [])) AS files FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY ingested_at DESC) AS k FROM commits WHERE sha IS NOT NULL) WHERE k = 1)",
     "touched": "touched AS (SELECT repo, sha, authored_at, unnest(files) AS file_path FROM commits1)",
     "kept": "kept AS (SELECT repo, file_path, n_commits FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_commits DESC, file_path) AS k FROM (SELECT repo, file_path, count(*) AS n_commits FROM touched WHERE file_path IS NOT NULL GROUP BY repo, file_path)) WHERE k <= 200)",
-    "funcs": "funcs AS (SELECT node_id, repo, file_path, name, qualname, start_line, end_line, docstring FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS k FROM nodes WHERE node_type = 'function' AND node_id IS NOT NULL) WHERE k = 1)",
+    "funcs": "funcs AS (SELECT node_id, repo, file_path, name, qualname, start_line, end_line, docstring FROM (SELECT *, row_number() OVER (PARTITION BY repo, node_id ORDER BY ingested_at DESC) AS k FROM nodes WHERE node_type = 'function' AND node_id IS NOT NULL) WHERE k = 1)",
     "positions": "positions AS (SELECT instance_id, retriever, file_path, score, (row_number() OVER (PARTITION BY instance_id, retriever ORDER BY rank ASC NULLS LAST, score DESC NULLS LAST, file_path) - 1)::INT AS position FROM (SELECT DISTINCT instance_id, retriever, file_path, rank, CASE WHEN isnan(score) THEN NULL ELSE score END AS score FROM rankings WHERE instance_id IS NOT NULL AND file_path IS NOT NULL))",
     "rrf": "rrf AS (SELECT instance_id, file_path, round(sum(w / (60 + position)), 9) AS score, min(struct_pack(i := i, p := position)) AS f FROM positions JOIN (VALUES ('llm', 1.0::DOUBLE, 0), ('bm25', 0.7::DOUBLE, 1), ('dense', 0.7::DOUBLE, 2)) AS weights(retriever, w, i) USING (retriever) GROUP BY instance_id, file_path)",
     "fused": r"fused AS (SELECT instance_id, file_path, score, rank FROM (SELECT instance_id, file_path, s AS score, (row_number() OVER (PARTITION BY instance_id ORDER BY s DESC, f, file_path) - 1)::INT AS rank FROM (SELECT *, round(CASE WHEN regexp_matches(file_path, '(^|/)tests?/|(^|/)tests?\.py$|(^|/)test_[^/]*\.py$|_test\.py$') THEN score * 0.5 ELSE score END, 9) AS s FROM rrf)) WHERE rank < 20)",
@@ -111,14 +111,17 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_parts("queried") + """, top AS (SELECT query_id, vec_id, rank - 1 AS old FROM (SELECT q.vec_id AS query_id, e.vec_id,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, e.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM queried q, embeddings e) WHERE rank <= 10),
-s AS (SELECT t.query_id, t.vec_id, t.old, round(list_dot_product(e.embedding::DOUBLE[], n.embedding::DOUBLE[]), 6) AS score FROM top t JOIN embeddings e ON e.vec_id = t.vec_id JOIN top f ON f.query_id = t.query_id AND f.old = 1 JOIN embeddings n ON n.vec_id = f.vec_id)
+cells AS (SELECT label, i, avg((embedding::DOUBLE[])[i]) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), means AS (SELECT label, list(m ORDER BY i) AS c FROM cells GROUP BY label),
+asked AS (SELECT vec_id AS query_id, list_transform(list_zip(embedding::DOUBLE[], c), lambda x: x[1] + x[2] / (sqrt(list_dot_product(c, c)) + 1e-9)) AS v FROM embeddings JOIN means USING (label) WHERE vec_id % 20 = 0),
+s AS (SELECT t.query_id, t.vec_id, t.old, round(list_dot_product(e.embedding::DOUBLE[], a.v), 6) AS score FROM top t JOIN embeddings e ON e.vec_id = t.vec_id JOIN asked a ON a.query_id = t.query_id)
 SELECT query_id AS instance_id, vec_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, vec_id) - 1)::INT AS rank FROM s) WHERE rank < 5""")
 def dense_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of each query ordered anew by another query, here the second nearest of them, and cut to five."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    top = cut(dense_topk(spark, sf_dir).withColumn("rank", F.col("rank") - 1))
-    other = top.filter("rank = 1").select("query_id", F.col("vec_id").alias("_n")).join(e.select(F.col("vec_id").alias("_n"), F.col("embedding").alias("query")), "_n")
-    candidates = top.join(e, "vec_id").join(other, "query_id").select(F.col("query_id").alias("instance_id"), "vec_id", F.col("embedding").alias("vector"), "query", "rank")
+    """The ten nearest vectors of each query ordered anew by the query as what is known of it adds to it, here its group's mean, and cut to five."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"))
+    top = dense_topk(spark, sf_dir).withColumn("rank", F.col("rank") - 1)
+    means = vectors.unit_mean(e, group="label", vector="embedding")
+    asked = e.filter("vec_id % 20 = 0").join(means, "label").select(F.col("vec_id").alias("query_id"), F.zip_with("embedding", "centroid", lambda x, y: x.cast("double") + y).alias("query"))
+    candidates = top.join(e, "vec_id").join(asked, "query_id").select(F.col("query_id").alias("instance_id"), "vec_id", F.col("embedding").alias("vector"), "query", "rank")
     return consensus.reranked(candidates, key="vec_id", cut_to=5)
 
 
@@ -148,17 +151,26 @@ def rrf_penalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_parts("positions", "rrf", "fused", "files") + """, large AS (SELECT repo FROM files GROUP BY repo HAVING sum(length(content) + 2) > 60000),
-pool AS (SELECT DISTINCT instance_id FROM rankings JOIN large USING (repo) WHERE instance_id IN (SELECT instance_id FROM positions WHERE retriever = 'llm')),
+pool AS (SELECT DISTINCT instance_id FROM rankings JOIN large USING (repo) WHERE instance_id IS NOT NULL),
+without AS (SELECT instance_id FROM pool WHERE instance_id NOT IN (SELECT instance_id FROM positions WHERE retriever = 'llm')),
+plain AS (SELECT instance_id, file_path, 0.0::DOUBLE AS score, (row_number() OVER (PARTITION BY instance_id ORDER BY retriever, position, file_path) - 1)::INT AS rank FROM positions JOIN without USING (instance_id) WHERE retriever IN ('bm25', 'dense')),
 m AS (SELECT instance_id, file_path, round(CASE WHEN regexp_matches(file_path, '(^|/)tests?/|(^|/)tests?\\.py$|(^|/)test_[^/]*\\.py$|_test\\.py$') THEN s * 0.5 ELSE s END, 9) AS score
       FROM (SELECT instance_id, file_path, round(1.0 / (60 + position), 9) AS s FROM positions WHERE retriever = 'llm' AND instance_id IN (SELECT * FROM pool)))
 SELECT instance_id, file_path, score, rank FROM fused WHERE instance_id NOT IN (SELECT * FROM pool)
-UNION ALL SELECT * FROM (SELECT instance_id, file_path, score, (row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, file_path) - 1)::INT AS rank FROM m) WHERE rank < 20""")
+UNION ALL SELECT * FROM (SELECT instance_id, file_path, score, (row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, file_path) - 1)::INT AS rank FROM m) WHERE rank < 20
+UNION ALL SELECT * FROM plain WHERE rank < 20""")
 def prefilter_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fusion, or the model's list for repositories with a long outline (here over 60,000 characters)."""
+    """Fusion, or the model's list for repositories with a long outline (here over 60,000 characters), or without one both others."""
     sizes = retrieval.outline_sizes(_files(spark, sf_dir), scope="repo", text="content")
     return retrieval.prefiltered(table(spark, sf_dir, "rankings"), sizes, limit=60_000)
 
 
+@query(with_parts("positions") + "SELECT DISTINCT instance_id, file_path FROM positions WHERE retriever IN ('bm25', 'dense') AND position < 100")
+def prefilter_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a model would be given to order: the first hundred of both other lists."""
+    return retrieval.candidate_pool(retrieval.list_positions(table(spark, sf_dir, "rankings")))
+
+
 @query(with_parts("files") + "SELECT repo, file_path, running FROM (SELECT repo, file_path, (sum(length(content) + 2) OVER (PARTITION BY repo ORDER BY file_path))::BIGINT AS running FROM files) WHERE running <= 60000")
 def outline_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a repository, in order of their paths, that fit a budget of characters."""
@@ -177,21 +189,21 @@ def top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir)
 
 
-@query(with_parts("commits1", "touched", "kept") + "SELECT DISTINCT 'file::' || file_path AS src, 'commit::' || sha AS dst FROM touched JOIN kept USING (repo, file_path)")
+@query(with_parts("commits1", "touched", "kept") + "SELECT DISTINCT repo, 'file::' || file_path AS src, 'commit::' || sha AS dst FROM touched JOIN kept USING (repo, file_path)")
 def evolved_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from kept files to their commits."""
     return history.evolved_by(_commits(spark, sf_dir), _kept(spark, sf_dir))
 
 
 CO_EDITED = with_parts("commits1", "touched", "kept") + """, t AS (SELECT repo, sha, file_path FROM touched JOIN kept USING (repo, file_path)),
-co AS (SELECT a.repo, a.file_path AS src, b.file_path AS dst, count(*) AS count FROM t a JOIN t b ON a.repo = b.repo AND a.sha = b.sha AND a.file_path <> b.file_path GROUP BY ALL HAVING count(*) >= 2)
+co AS (SELECT a.repo, a.file_path AS src, b.file_path AS dst, count(*) AS count FROM t a JOIN t b ON a.repo = b.repo AND a.sha = b.sha AND a.file_path <> b.file_path GROUP BY ALL HAVING count(*) >= 3)
 """
 
 
 @query(CO_EDITED + "SELECT * FROM co")
 def co_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with at least two common commits, both ways."""
-    return history.co_edited(_commits(spark, sf_dir), _kept(spark, sf_dir), least=2)
+    """Files with at least three common commits, both ways."""
+    return history.co_edited(_commits(spark, sf_dir), _kept(spark, sf_dir))
 
 
 @query(with_parts("commits1") + """, asked AS (SELECT DISTINCT instance_id, base_commit FROM issues WHERE instance_id IS NOT NULL),
@@ -217,10 +229,16 @@ def keyword_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeding.literal_matches(_reports(spark, sf_dir), _functions(spark, sf_dir))
 
 
-@query(KEYWORDS + "SELECT * FROM stack")
+@query(KEYWORDS + """SELECT * FROM stack UNION ALL
+SELECT DISTINCT f.repo || '/' || f.file_path AS instance_id, g.node_id FROM funcs f JOIN funcs g ON g.repo = f.repo AND g.file_path = f.file_path AND split_part(g.qualname, '.', -1) = split_part(f.qualname, '.', -1)
+  AND f.end_line BETWEEN g.start_line AND g.end_line WHERE regexp_full_match(f.file_path, '[^"\n]+') AND regexp_full_match(split_part(f.qualname, '.', -1), '[A-Za-z0-9_]+')""")
 def stack_frame_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions that a report's stack frames point into."""
-    return seeding.stack_matches(_reports(spark, sf_dir), _functions(spark, sf_dir))
+    """Functions that stack frames point into, of all reports and of a trace through the last lines of each file's functions."""
+    known = cut(_functions(spark, sf_dir))
+    frame = F.concat(F.lit('File "'), "file_path", F.lit('", line '), F.col("end_line").cast("string"), F.lit(", in "), T.last_part(F.col("qualname")))
+    traces = known.groupBy("repo", "file_path").agg(F.array_join(F.sort_array(F.collect_list(frame)), "\n").alias("text")).select(F.concat_ws("/", "repo", "file_path").alias("instance_id"), "repo", "text")
+    reports = _reports(spark, sf_dir).select("instance_id", "repo", "symptoms").union(traces.select("instance_id", "repo", T.extracted_symptoms(F.col("text"))))
+    return seeding.stack_matches(reports, known)
 
 
 BUDGET = """, ff AS (SELECT fused.instance_id, r.repo, fused.file_path, fused.rank, count(*) OVER (PARTITION BY fused.instance_id) AS n FROM fused JOIN reports r USING (instance_id)),
@@ -263,18 +281,29 @@ def symptom_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeding.symptom_nodes(_reports(spark, sf_dir))
 
 
-@query("SELECT event_id, coalesce((props::JSON ->> 'k')::BIGINT, -1) AS k FROM events")
+@query(with_parts("reports") + r""", c AS (SELECT instance_id, len(list_distinct(regexp_extract_all(text, '\b([A-Z]\w*(?:Error|Exception|Warning|Overflow))\b', 1))) AS n_exceptions,
+  len(list_distinct(regexp_extract_all(text, '(?m)^[A-Z]\w*(?:Error|Exception|Warning|Overflow): (.+)$', 1))) AS n_messages, len(regexp_extract_all(text, 'File "[^"\n]+", line \d+, in \w+')) AS n_frames,
+  len(list_distinct(regexp_extract_all(text, '`([A-Za-z_][\w.]*)`', 1))) AS n_calls FROM reports)
+SELECT instance_id, form, (CASE WHEN form = 'cut' THEN 0 ELSE n_exceptions END)::INT AS n_exceptions, (CASE WHEN form = 'cut' THEN 0 ELSE n_messages END)::INT AS n_messages,
+  (CASE WHEN form = 'cut' THEN 0 ELSE n_frames END)::INT AS n_frames, (CASE WHEN form = 'cut' THEN 0 ELSE n_calls END)::INT AS n_calls FROM c, (VALUES ('fenced'), ('bare'), ('cut')) AS f(form)""")
 def symptom_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of JSON texts, with a default for what is missing or malformed."""
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json(T.fenced_json(F.col("props")), "k bigint")["k"], F.lit(-1).cast("bigint")).alias("k"))
+    """Symptoms of replies in JSON about each report, in a fence, bare, and cut short, which gives none."""
+    rows = _reports(spark, sf_dir).select("instance_id", F.to_json("symptoms").alias("said"))
+    form = lambda name, reply: F.struct(F.lit(name).alias("form"), reply.alias("reply"))
+    forms = F.array(form("fenced", F.concat(F.lit("As asked:\n```json\n"), "said", F.lit("\n```\n"))), form("bare", F.col("said")), form("cut", F.expr("left(said, length(said) - 1)")))
+    replies_of = rows.select("instance_id", F.explode(forms).alias("f")).select("instance_id", "f.form", T.symptoms_of_reply(F.col("f.reply")).alias("s"))
+    sizes = {"n_exceptions": "exception_types", "n_messages": "error_messages", "n_frames": "stack_frames", "n_calls": "api_calls_named"}
+    return replies_of.select("instance_id", "form", *[F.size(f"s.{field}").alias(name) for name, field in sizes.items()])
 
 
-REQUESTS = "requests AS (SELECT instance_id, repo, created_at, sha256('messages=' || coalesce(problem_statement, '') || '|mode=plain|model=local|seed=0|temperature=0') AS key FROM issues WHERE instance_id IS NOT NULL AND created_at IS NOT NULL AND repo IS NOT NULL)"
+REQUESTS = """requests AS (SELECT instance_id, repo, created_at, sha256('{"messages":[{"content":' || to_json(coalesce(problem_statement, ''))::VARCHAR || ',"role":"user"}],"mode":"non-think","model":"local","response_format":{"type":"object"},"seed":0,"temperature":0.0}') AS key
+  FROM issues WHERE instance_id IS NOT NULL AND created_at IS NOT NULL AND repo IS NOT NULL)"""
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "issues").filter("instance_id is not null and created_at is not null and repo is not null")
-    return rows.select("instance_id", "repo", "created_at", T.request_key(F.lit("local"), F.lit("plain"), F.coalesce("problem_statement", F.lit("")), F.lit(0), F.lit(0)).alias("key"))
+    key = T.request_key(model=F.lit("local"), mode=F.lit("non-think"), messages=prompts.messages(F.coalesce("problem_statement", F.lit(""))), response_format=F.struct(F.lit("object").alias("type")), temperature=F.lit(0.0), seed=F.lit(0))
+    return rows.select("instance_id", "repo", "created_at", key.alias("key"))
 
 
 @query(f"WITH {REQUESTS} SELECT DISTINCT instance_id, key FROM requests")
@@ -283,6 +312,15 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests(spark, sf_dir).select("instance_id", "key").distinct()
 
 
+@query(r"""SELECT DISTINCT r_name, mode, model, CASE WHEN mode = 'non-think' OR regexp_matches(lower(model), 'deepseek-r1|llama|mixtral|gemma|mistral') THEN '{}' ELSE '{"chat_template_kwargs":{"enable_thinking":true,"thinking":true}}' END AS body
+FROM region, (VALUES ('non-think'), ('think-high'), ('think-max')) AS a(mode), (VALUES ('local'), ('DeepSeek-AI/DeepSeek-R1'), ('Meta-Llama-3'), ('qwen3')) AS b(model)""")
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each mode adds to a request, for models that think when asked, always or never."""
+    every = lambda *values: F.explode(F.array(*[F.lit(v) for v in values]))
+    rows = table(spark, sf_dir, "region").select("r_name", every("non-think", "think-high", "think-max").alias("mode")).select("r_name", "mode", every("local", "DeepSeek-AI/DeepSeek-R1", "Meta-Llama-3", "qwen3").alias("model"))
+    return rows.select("r_name", "mode", "model", prompts.extra_body(F.col("model"), F.col("mode")).alias("body"))
+
+
 @query(f"WITH {REQUESTS}, firsts AS (SELECT key, arg_min(repo, struct_pack(a := created_at, b := repo)) AS repo FROM requests GROUP BY key), n AS (SELECT repo, count(*) AS n FROM requests GROUP BY repo), l AS (SELECT repo, count(*) AS n FROM firsts GROUP BY repo) SELECT n.repo, coalesce(l.n, 0) AS n_live, n.n - coalesce(l.n, 0) AS n_cached FROM n LEFT JOIN l USING (repo)")
 def llm_cache_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests answered live and from the cache."""
@@ -311,7 +349,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     hunks = cut(diffs.patch_hunks(table(spark, sf_dir, "issues")))
     known = _functions(spark, sf_dir)
     lines = hunks.filter("changed_line is not null").select("instance_id", "file_path", F.col("changed_line").alias("line")).distinct().join(_reports(spark, sf_dir).select("instance_id", "repo"), "instance_id")
-    functions = code_graph.enclosing(lines, known, keys=["repo", "file_path"]).join(known.select("node_id", "qualname"), "node_id").select("instance_id", F.concat_ws("::", "file_path", "qualname").alias("function_key")).distinct()
+    functions = code_graph.enclosing(lines, known, keys=["repo", "file_path"]).join(known.select("repo", "node_id", "qualname"), ["repo", "node_id"]).select("instance_id", F.concat_ws("::", "file_path", "qualname").alias("function_key")).distinct()
     return hunks.select("instance_id", "file_path").distinct(), functions, hunks.select("instance_id", "file_path", "start_line", "end_line").distinct()
 
 
@@ -327,11 +365,11 @@ def metrics_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = _seeds(spark, sf_dir)
-    return seeds.join(_functions(spark, sf_dir).select("node_id", "file_path", "start_line", "end_line"), "node_id").select("instance_id", "rank", "file_path", "start_line", "end_line")
+    seeds = _seeds(spark, sf_dir).join(_reports(spark, sf_dir).select("instance_id", "repo"), "instance_id")
+    return seeds.join(_functions(spark, sf_dir).select("repo", "node_id", "file_path", "start_line", "end_line"), ["repo", "node_id"]).select("instance_id", "rank", "file_path", "start_line", "end_line")
 
 
-@query(SEEDS + ", " + SQL["hunks"] + """, p AS (SELECT instance_id, rank, f.file_path, f.start_line AS ps, f.end_line AS pe FROM seeded JOIN funcs f USING (node_id) WHERE rank <= 5),
+@query(SEEDS + ", " + SQL["hunks"] + """, p AS (SELECT instance_id, rank, f.file_path, f.start_line AS ps, f.end_line AS pe FROM seeded JOIN reports USING (instance_id) JOIN funcs f USING (repo, node_id) WHERE rank <= 5),
 m AS (SELECT h.instance_id, h.file_path, h.start_line, h.end_line, max(CASE WHEN p.pe + 10 >= h.start_line AND p.ps - 10 <= h.end_line THEN 1 ELSE 0 END) AS met FROM hunks h LEFT JOIN p USING (instance_id, file_path) GROUP BY ALL)
 SELECT instance_id, round(sum(coalesce(met, 0)) / count(*), 6) AS line_recall FROM m GROUP BY instance_id""")
 def line_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,14 +423,15 @@ def unambiguous_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph.unambiguous(_functions(spark, sf_dir).filter("repo is not null and name is not null"))
 
 
-@query(r"""WITH c AS (SELECT * FROM (SELECT node_id, repo, name, code, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS k FROM nodes WHERE node_type = 'class') WHERE k = 1),
-b AS (SELECT DISTINCT repo, node_id AS src, split_part(trim(b), '.', -1) AS name FROM (SELECT repo, node_id, unnest(string_split(regexp_extract(code, '^\s*class\s+\w+\s*\(([^)]*)\)', 1), ',')) AS b FROM c))
+@query(r"""WITH c AS (SELECT *, lag(name) OVER (PARTITION BY repo, file_path ORDER BY start_line, node_id) AS before FROM (SELECT node_id, repo, file_path, name, start_line, code, row_number() OVER (PARTITION BY repo, node_id ORDER BY ingested_at DESC) AS k FROM nodes WHERE node_type = 'class' AND repo IS NOT NULL AND node_id IS NOT NULL) WHERE k = 1),
+b AS (SELECT DISTINCT repo, node_id AS src, split_part(trim(b), '.', -1) AS name FROM (SELECT repo, node_id, unnest(string_split(regexp_extract(code, '^\s*class\s+\w+\s*\(([^)]*)\)', 1), ',')) AS b FROM c UNION ALL SELECT repo, node_id, 'own.' || before FROM c WHERE before IS NOT NULL))
 SELECT DISTINCT b.repo, src, c.node_id AS dst FROM b JOIN c ON c.repo = b.repo AND c.name = b.name WHERE b.name <> '' AND src <> c.node_id""")
 def inherit_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes joined to those with the short name of a base."""
-    rows = table(spark, sf_dir, "nodes").filter("node_type = 'class'").groupBy("node_id").agg(F.max_by(F.struct("repo", "name", "code"), "ingested_at").alias("c"))
+    """Classes joined to those with the short name of a base: of their own bases, and as if each also extended the class declared before it."""
+    rows = table(spark, sf_dir, "nodes").filter("node_type = 'class' and repo is not null and node_id is not null").groupBy("repo", "node_id").agg(F.max_by(F.struct("file_path", "name", "code", "start_line"), "ingested_at").alias("c"))
+    before = F.concat(F.lit("own."), F.lag("c.name").over(Window.partitionBy("repo", "c.file_path").orderBy("c.start_line", "node_id")))
     bases = F.split(F.regexp_extract(F.coalesce("c.code", F.lit("")), r"^\s*class\s+\w+\s*\(([^)]*)\)", 1), ",")
-    return code_graph.inherit_edges(rows.select("node_id", "c.repo", "c.name", bases.alias("bases")))
+    return code_graph.inherit_edges(rows.select("repo", "node_id", "c.name", F.array_compact(F.concat(bases, F.array(before))).alias("bases")))
 
 
 @query("""SELECT user_id, event_id, def_id FROM (SELECT user_id, event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def_id FROM events) WHERE event_type = 'purchase' AND def_id IS NOT NULL""")
@@ -431,29 +470,35 @@ def kmeans_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned
 
 
-@query(CO_EDITED + """, starts AS (SELECT repo || '/' || file_path AS start FROM kept QUALIFY row_number() OVER (PARTITION BY repo ORDER BY n_commits DESC, file_path) = 1),
+@query(CO_EDITED + """, starts AS (SELECT repo || '/' || file_path AS start FROM kept),
 e AS (SELECT repo || '/' || src AS src, repo || '/' || dst AS dst FROM co),
 one AS (SELECT start, dst AS node FROM starts JOIN e ON src = start), two AS (SELECT start, dst AS node FROM one JOIN e ON src = node),
 every AS (SELECT start, start AS node, 0 AS distance FROM starts UNION ALL SELECT start, node, 1 FROM one UNION ALL SELECT start, node, 2 FROM two)
 SELECT start, node, min(distance) AS distance FROM every GROUP BY start, node""")
 def frontier_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files within two steps of common edits from each repository's most edited file."""
+    """Files within two steps of common edits from each kept file."""
     kept = cut(_kept(spark, sf_dir))
-    edges = history.co_edited(_commits(spark, sf_dir), kept, least=2).select(F.concat_ws("/", "repo", "src").alias("src"), F.concat_ws("/", "repo", "dst").alias("dst"))
-    return code_graph.reached(edges, kept.filter("rank = 1").select(F.concat_ws("/", "repo", "file_path").alias("start")), 2)
+    edges = history.co_edited(_commits(spark, sf_dir), kept).select(F.concat_ws("/", "repo", "src").alias("src"), F.concat_ws("/", "repo", "dst").alias("dst"))
+    return code_graph.reached(edges, kept.select(F.concat_ws("/", "repo", "file_path").alias("start")), 2)
 
 
-@query(with_parts("reports", "hunks") + "SELECT instance_id, text AS anchor, file_path AS positive FROM reports JOIN (SELECT DISTINCT instance_id, file_path FROM hunks) USING (instance_id)")
+@query(with_parts("reports", "hunks", "positions", "rrf", "fused") + """, gold AS (SELECT DISTINCT instance_id, file_path FROM hunks),
+missed AS (SELECT instance_id, file_path FROM fused f WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.instance_id = f.instance_id AND g.file_path = f.file_path) QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY rank) = 1)
+SELECT instance_id, text AS anchor, file_path AS text, 1 AS label FROM reports JOIN gold USING (instance_id)
+UNION ALL SELECT g.instance_id, r.text, m.file_path, 0 FROM gold g JOIN reports r USING (instance_id) JOIN missed m ON m.instance_id = g.instance_id""")
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports with the files that were patched for them."""
-    return _reports(spark, sf_dir).join(gold_ranges(spark, sf_dir).select("instance_id", "file_path").distinct(), "instance_id").select("instance_id", F.col("text").alias("anchor"), F.col("file_path").alias("positive"))
+    """Reports with each file that was patched for them and the first ranked one that wasn't."""
+    gold = gold_ranges(spark, sf_dir).select("instance_id", "file_path").distinct()
+    missed = _fused(spark, sf_dir).join(gold, ["instance_id", "file_path"], "left_anti").groupBy("instance_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "file_path"))), lambda f: f["file_path"]).alias("negatives"))
+    pairs = _reports(spark, sf_dir).join(gold, "instance_id").join(missed, "instance_id", "left").select(F.struct("instance_id", "text").alias("anchor"), F.col("file_path").alias("positive"), "negatives")
+    return prompts.training_rows(pairs).select("anchor.instance_id", F.col("anchor.text").alias("anchor"), "text", "label")
 
 
-@query("""SELECT c.c_custkey, n.n_name, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""")
+@query(with_parts("funcs") + r"""SELECT DISTINCT repo, node_id, 'file::' || file_path AS file FROM funcs WHERE file_path IS NOT NULL AND qualname IS NOT NULL""")
 def contain_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up two levels of a hierarchy."""
-    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("c_custkey", "n_name", "r_name")
+    """The file of each function, up one containment or, through a class, two."""
+    nodes = table(spark, sf_dir, "nodes").filter("node_id is not null and repo is not null")
+    return code_graph.file_of(_functions(spark, sf_dir), cut(code_graph.contain_edges_of(nodes)))
 
 
 @query()
@@ -480,14 +525,14 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph.structural_edges(cut(skeleton_rows(spark, sf_dir)))
 
 
-@query(with_parts("funcs") + """, m AS (SELECT DISTINCT label, unnest(member_function_ids) AS m FROM concepts WHERE label IS NOT NULL AND label <> '')
-SELECT DISTINCT 'func::' || m AS src, 'concept::' || label AS dst FROM m WHERE contains(m, '::') AND 'func::' || m IN (SELECT node_id FROM funcs)""")
+@query(with_parts("funcs") + """, m AS (SELECT DISTINCT repo, label, unnest(member_function_ids) AS m FROM concepts WHERE label IS NOT NULL AND label <> '')
+SELECT DISTINCT m.repo, 'func::' || m AS src, 'concept::' || label AS dst FROM m JOIN funcs ON funcs.repo = m.repo AND funcs.node_id = 'func::' || m WHERE contains(m, '::')""")
 def concept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From functions to the concepts that have them as members."""
     return code_graph.concept_graph(table(spark, sf_dir, "concepts"), _functions(spark, sf_dir))[1]
 
 
-@query("""SELECT 'commit::' || sha AS node_id, left(sha, 12) AS name, left(coalesce(message, ''), 500) AS message, authored_at FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY ingested_at DESC) AS k FROM commits WHERE sha IS NOT NULL) WHERE k = 1""")
+@query("""SELECT repo, 'commit::' || sha AS node_id, left(sha, 12) AS name, left(coalesce(message, ''), 500) AS message, authored_at FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY ingested_at DESC) AS k FROM commits WHERE sha IS NOT NULL) WHERE k = 1""")
 def commit_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node for every commit."""
     return code_graph.commit_nodes(_commits(spark, sf_dir))
@@ -507,19 +552,35 @@ def statement_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph.def_use(rows.select("repo", "file_path", F.col("s.function").alias("function"), "ix", "s.line", "s.defs", "s.uses"), keys=["repo", "file_path", "function"])
 
 
+def _index(spark: SparkSession, sf_dir: str) -> plan.Index:
+    skeleton = cut(skeleton_rows(spark, sf_dir))
+    edges = cut(code_graph.structural_edges(skeleton).select("repo", "src", "dst", "edge_type").filter("edge_type in ('invoke', 'inherit')"))
+    statements = skeleton.select("repo", "file_path", F.explode("statements").alias("s")).select("repo", T.node_id("func", F.col("file_path"), F.col("s.function")).alias("node_id"), "s.line", "s.text")
+    sizes = retrieval.outline_sizes(skeletons.outline_text(skeleton), scope="repo", text="outline")
+    return plan.Index(table(spark, sf_dir, "nodes"), edges, table(spark, sf_dir, "concepts"), statements, sizes)
+
+
 @query()
 def localized_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions that each report points to, by searches, their pools reranked, and a vote."""
-    edges = cut(code_graph.structural_edges(cut(skeleton_rows(spark, sf_dir))).select("src", "dst", "edge_type").filter("edge_type in ('invoke', 'inherit')"))
-    return plan.localize(table(spark, sf_dir, "issues"), table(spark, sf_dir, "rankings"), plan.Index(table(spark, sf_dir, "nodes"), edges))
+    """Functions and lines that each report points to, by searches, their pools reranked, and a vote."""
+    return plan.localize(table(spark, sf_dir, "issues"), table(spark, sf_dir, "rankings"), _index(spark, sf_dir))
 
 
 @query()
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of metrics of the localized functions and fused files."""
+    """One row of metrics of the localized functions and fused files; an instance without a result counts as an empty one."""
     gold_files, gold_functions, gold_lines = _gold(spark, sf_dir)
     found = cut(localized_functions(spark, sf_dir))
     files = _fused(spark, sf_dir).withColumn("rank", F.col("rank") + 1)
-    spans = _functions(spark, sf_dir).select(F.concat_ws("::", "file_path", "qualname").alias("function_key"), "file_path", "start_line", "end_line")
-    lines = found.join(spans, "function_key").select("instance_id", "rank", "file_path", "start_line", "end_line")
-    return evaluation.report(files, gold_files, found.select("instance_id", "function_key", "rank"), gold_functions, lines, gold_lines)
+    lines = found.select("instance_id", "rank", F.substring_index("function_key", "::", 1).alias("file_path"), "start_line", "end_line")
+    return evaluation.report(files, gold_files, found.select("instance_id", "function_key", "rank", "score"), gold_functions, lines, gold_lines, asked=_reports(spark, sf_dir))
+
+
+@query(SEEDS + """, keyed AS (SELECT instance_id, file_path || '::' || qualname AS key FROM seeded JOIN reports USING (instance_id) JOIN funcs USING (repo, node_id) WHERE rank = 1),
+n AS (SELECT instance_id, count(*) AS n_files FROM fused GROUP BY instance_id)
+SELECT instance_id, key AS top1_func, coalesce(n_files, 0)::BIGINT AS n_files FROM reports LEFT JOIN keyed USING (instance_id) LEFT JOIN n USING (instance_id)""")
+def per_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: a row for each report, also one without a result: the best seed as its first function, and how many files it was given."""
+    asked = _reports(spark, sf_dir)
+    seeds = _seeds(spark, sf_dir).join(asked.select("instance_id", "repo"), "instance_id").join(_functions(spark, sf_dir).select("repo", "node_id", F.concat_ws("::", "file_path", "qualname").alias("function_key")), ["repo", "node_id"])
+    return evaluation.per_instance(asked, seeds, _fused(spark, sf_dir))

@@ -9,8 +9,8 @@ SCHEMA = "key string, text string, reasoning string"
 
 
 def looked_up(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(requests with a cached reply, requests without), by `key`; a key cached twice gives its smaller text."""
-    known = cache.groupBy("key").agg(F.min(F.struct("text", "reasoning")).alias("r")).select("key", "r.*")
+    """(requests with a cached reply, requests without), by `key`; a key cached twice gives its smaller text, a row without text is a miss."""
+    known = cache.filter("text is not null").groupBy("key").agg(F.min(F.struct("text", "reasoning")).alias("r")).select("key", "r.*")
     return requests.join(known, "key"), requests.join(known.select("key"), "key", "left_anti")
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from mossline.functions import text as T
@@ -74,8 +76,15 @@ def test_cluster_count_and_kmeans(spark):
 
 
 def test_cache_and_settings(spark, tmp_path):
-    key = lambda *p: spark.range(1).select(T.request_key(*[F.lit(x) for x in p])).first()[0]
-    assert key("m", "plain", "q", 0, 0) == key("m", "plain", "q", 0, 0) != key("m", "think", "q", 0, 0) and len(key("m", "plain", "q", 0, 0)) == 64
+    none = F.lit(None).cast("struct<type:string>")
+
+    def key(model="m", mode="plain", said=("q",), form=none, temperature=0, seed=0):
+        messages = F.array(*[F.struct(F.lit("user").alias("role"), F.lit(x).alias("content")) for x in said])
+        return spark.range(1).select(T.request_key(model=F.lit(model), mode=F.lit(mode), messages=messages, response_format=form, temperature=F.lit(temperature), seed=F.lit(seed))).first()[0]
+
+    keys = [key(), key(mode="think"), key(form=F.struct(F.lit("object").alias("type"))), key(said=("q", "")), key(said=("q|mode=plain",)), key(temperature=0.3), key(seed=1), key(model="m2")]
+    assert key() == keys[0] and len(set(keys)) == len(keys) and all(len(k) == 64 for k in keys)
+    assert keys[0] == hashlib.sha256(b'{"messages":[{"content":"q","role":"user"}],"mode":"plain","model":"m","response_format":null,"seed":0,"temperature":0.0}').hexdigest()
     replies.add(spark.createDataFrame([("aa1", "x", None)], "key string, text string, reasoning string"), str(tmp_path / "c"))
     hit, miss = replies.looked_up(spark.createDataFrame([("aa1",), ("bb2",)], "key string"), replies.read(spark, str(tmp_path / "c")))
     assert [r.text for r in hit.collect()] == ["x"] and [r.key for r in miss.collect()] == ["bb2"]
@@ -94,3 +103,16 @@ def test_concepts_are_grouped_until_nothing_moves(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, [1.0] * 64)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     reference_queries.kmeans_concepts(spark, str(tmp_path))
     assert asked == [{"key": "vec_id", "vector": "embedding", "dimensions": 64}]
+
+
+def test_report_counts_and_calibration(spark):
+    asked = spark.createDataFrame([(i,) for i in "ijk"], "instance_id string")
+    files = spark.createDataFrame([("i", "a.py", 1), ("i", "b.py", 2), ("j", "c.py", 1)], "instance_id string, file_path string, rank int")
+    functions = spark.createDataFrame([("i", "a.py::f", 1, 0.9), ("j", "c.py::g", 1, 0.5)], "instance_id string, function_key string, rank int, score double")
+    gold = spark.createDataFrame([("i", "a.py::f"), ("j", "x.py::y"), ("k", "z.py::z")], "instance_id string, function_key string")
+    gold_files = gold.select("instance_id", F.substring_index("function_key", "::", 1).alias("file_path"))
+    lines = spark.createDataFrame([("i", 1, "a.py", 1, 5)], "instance_id string, rank int, file_path string, start_line int, end_line int")
+    gold_lines = spark.createDataFrame([("i", "a.py", 3, 4)], "instance_id string, file_path string, start_line int, end_line int")
+    row = E.report(files, gold_files, functions, gold, lines, gold_lines, asked=asked).first()
+    assert (row.n_predictions, row.n_with_gold_function, row.file_acc_1, row.line_recall_5, row.ece) == (3, 3, 0.333333, 1.0, 0.3)
+    assert {r.instance_id: (r.top1_func, r.n_files) for r in E.per_instance(asked, functions, files).collect()} == {"i": ("a.py::f", 2), "j": ("c.py::g", 1), "k": (None, 0)}

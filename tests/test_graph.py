@@ -142,3 +142,38 @@ def test_runs_are_searched_with_their_own_scores(spark):
     edges = spark.createDataFrame([], "src string, dst string, edge_type string")
     scores = spark.createDataFrame([("i", 0, "A", 1.0), ("i", 1, "B", 1.0)], "instance_id string, run int, node_id string, sem double")
     assert {r.run: r.node_id for r in traversed(seeds, edges, scores).filter("rank = 1").collect()} == {0: "A", 1: "B"}
+
+
+def test_search_goes_up_and_down_inherit_edges_and_asks_for_what_it_needs(spark):
+    seeds = spark.createDataFrame([("i", "r", 0, "base", 1.0, 1)], "instance_id string, repo string, run int, node_id string, prior double, rank int")
+    edges = spark.createDataFrame([("r", "child", "base", "inherit"), ("s", "other", "base", "inherit"), ("r", "child", "far", "invoke"), ("r", "far", "further", "invoke")], "repo string, src string, dst string, edge_type string")
+    vectors = spark.createDataFrame([("r", n, [1.0, 0.1 * i]) for i, n in enumerate(("base", "child", "far", "further"))] + [("s", "base", [0.0, 0.0]), ("s", "other", [9.0, 9.0])], "repo string, node_id string, vector array<double>")
+    queries = spark.createDataFrame([("i", 0, [0.5, 1.0])], "instance_id string, run int, vector array<double>")
+    got = traversed(seeds, edges, vectors=vectors, queries=queries, limits=Limits(iterations=40)).collect()
+    assert {r.node_id: r.distance for r in got} == {"base": 0, "child": 1, "far": 2, "further": 3} and {r.ended for r in got} <= {"stable", "queue_empty"}
+
+
+def test_concepts_and_files_stay_in_their_repository(spark):
+    concepts = spark.createDataFrame([("r", "seeds", ["a.py::f"], None, BASE), ("s", "seeds", ["a.py::f", "b.py::g"], None, BASE)], "repo string, label string, member_function_ids array<string>, centroid array<double>, built_at timestamp")
+    functions = spark.createDataFrame([("r", "func::a.py::f"), ("s", "func::b.py::g")], "repo string, node_id string")
+    nodes, edges = G.concept_graph(concepts, functions)
+    assert nodes.count() == 2 and sorted(map(tuple, edges.collect())) == [("r", "func::a.py::f", "concept::seeds"), ("s", "func::b.py::g", "concept::seeds")]
+    rows = [("r", "file::a.py", "file", "a.py", None), ("r", "class::a.py::C", "class", "a.py", "C"), ("r", "func::a.py::C.m", "function", "a.py", "C.m"), ("r", "func::a.py::f.g", "function", "a.py", "f.g"), ("s", "func::a.py::C.m", "function", "a.py", "C.m")]
+    tree = spark.createDataFrame(rows, "repo string, node_id string, node_type string, file_path string, qualname string")
+    contain = G.contain_edges_of(tree)
+    assert ("r", "class::a.py::C", "func::a.py::C.m") in set(map(tuple, contain.collect())) and ("s", "file::a.py", "func::a.py::C.m") in set(map(tuple, contain.collect()))
+    assert {(r.repo, r.node_id, r.file) for r in G.file_of(tree.filter("node_type = 'function'"), contain).collect()} == {("r", "func::a.py::C.m", "file::a.py"), ("r", "func::a.py::f.g", "file::a.py"), ("s", "func::a.py::C.m", "file::a.py")}
+
+
+def test_literals_meet_by_pieces(spark):
+    import random
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abc_.") for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    words = ["", "a", "b_", *["".join(rng.choice("abc_") for _ in range(rng.randrange(1, 6))) for _ in range(20)]]
+    symptoms = spark.createDataFrame([(f"i{k}", "r" if k % 3 else "s", ([w], [], [], [], [])) for k, w in enumerate(words)], "instance_id string, repo string, symptoms struct<exception_types:array<string>,error_messages:array<string>,stack_frames:array<struct<file:string,func:string,line:int>>,behaviors:array<string>,api_calls_named:array<string>>")
+    functions = spark.createDataFrame([("r" if k % 2 else "s", f"n{k}", n, "Doc" if k % 5 else None) for k, n in enumerate(names)], "repo string, node_id string, qualname string, docstring string")
+    hay = lambda k: (names[k] + " " + ("Doc" if k % 5 else "")).lower()
+    exact = {(f"i{i}", f"n{k}") for i, w in enumerate(words) for k in range(60) if w and ("r" if i % 3 else "s") == ("r" if k % 2 else "s") and w in hay(k)}
+    assert set(map(tuple, S.literal_matches(symptoms, functions).collect())) == exact
+    assert S.literal_matches(symptoms.limit(0), functions).count() == 0

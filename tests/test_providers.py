@@ -41,3 +41,37 @@ def test_prompts_and_rows(spark):
     hunks = spark.createDataFrame([("i", "a"), ("i", "b"), ("j", "a")], "instance_id string, file_path string")
     issues = spark.createDataFrame([("i", "r"), ("j", "r"), ("k", "s")], "instance_id string, repo string")
     assert [r.instance_id for r in V.instances(issues, hunks, repos=["r"], several_files=True).collect()] == ["i"]
+
+
+def test_a_model_is_asked_once_per_key_whatever_is_read(spark, tmp_path):
+    """The model leaves a mark for each call, in files, since it runs in other processes."""
+    folder = str(tmp_path)
+
+    def model(prompt):
+        with open(f"{folder}/{prompt}", "a") as calls:
+            calls.write("x")
+        return prompt + "!", "because"
+
+    requests = spark.createDataFrame([("a", "pa"), ("b", "pb"), ("b", "pb"), ("c", "pc")], "key string, prompt string")
+    cache = spark.createDataFrame([("c", None, None)], "key string, text string, reasoning string")
+    every, fresh = V.answered(requests, cache, model)
+    assert sorted((r.key, r.text) for r in every.collect()) == [("a", "pa!"), ("b", "pb!"), ("b", "pb!"), ("c", "pc!")] and fresh.count() == 3 and every.count() == 4
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"pa": "x", "pb": "x", "pc": "x"}
+
+
+def test_the_rate_holds_for_all_tasks_together(spark):
+    requests = spark.createDataFrame([(f"k{i}", "p") for i in range(6)], "key string, prompt string")
+    cache = spark.createDataFrame([], "key string, text string, reasoning string")
+    import time
+
+    times = sorted(float(r.text) for r in V.answered(requests, cache, lambda p: (str(time.time()), None), per_minute=600, tasks=2)[1].collect())
+    assert len(times) == 6 and all(b - a > 0.15 for a, b in zip(times, times[2:], strict=False))
+
+
+def test_listwise_order_and_thinking(spark):
+    head = spark.createDataFrame([("i", "n1", 0, "load_seed", "parse it"), ("i", "n2", 1, "parse", "parse it"), ("i", "n3", 2, "", "parse it")], "instance_id string, node_id string, rank int, name string, text string")
+    assert [(r.node_id, r.confidence) for r in V.listwise_by_overlap(head).orderBy("position").collect()] == [("n2", 1.0), ("n1", 0.0), ("n3", 0.0)]
+    bodies = spark.createDataFrame([("qwen3", "think-high"), ("qwen3", "non-think"), ("Meta-Llama-3", "think-max"), ("DeepSeek-R1", "think-high")], "m string, t string").select(prompts.extra_body(F.col("m"), F.col("t")).alias("b")).collect()
+    assert [r.b != "{}" for r in bodies] == [True, False, False, False]
+    block = spark.createDataFrame([("a.py::f", ["x", "y"], "c" * 9_000), ("a.py::g", [], None)], "k string, c array<string>, t string").select(prompts.candidate_block(F.col("k"), F.col("c"), F.col("t")).alias("b")).collect()
+    assert "chain: x -> y" in block[0].b and len(block[0].b) < 1_600 and "(none)" in block[1].b
