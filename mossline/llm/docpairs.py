@@ -128,7 +128,7 @@ def latest_contents(files: DataFrame, *, keys: list[str], content: str, at: str)
 
 
 def source_spans(contents: DataFrame, names: list[str]) -> DataFrame:
-    """Function spans ('f', at their first decorator and at their def) and comment spans ('c', at their last line)."""
+    """Function spans ('f', at their first decorator and at their def, the code with the latter) and comment spans ('c', at their last line)."""
     kinds = ", ".join(f"{n} {contents.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +140,7 @@ def source_spans(contents: DataFrame, names: list[str]) -> DataFrame:
                     out.append((*key, "c", c.end_line, None, None, c.start_line, None, c.end_line, None, c.text, None))
                 for f in functions:
                     for line in {f.anchor_line, f.start_line}:
-                        out.append((*key, "f", line, f.qualname, f.name, f.start_line, f.anchor_line, f.end_line, f.signature, f.docstring, text[f.start : f.end]))
+                        out.append((*key, "f", line, f.qualname, f.name, f.start_line, f.anchor_line, f.end_line, f.signature, f.docstring, text[f.start : f.end] if line == f.start_line else None))
             yield pd.DataFrame(out, columns=[*names, *[x.split()[0] for x in SPAN.split(", ")]])
 
     return contents.select(*names, "_content").mapInPandas(run, f"{kinds}, {SPAN}")
@@ -171,7 +171,7 @@ def documented_functions(files: DataFrame, *, keys: list[str], content: str = "c
     functions = (
         joined.withColumn("_comment", touching)
         .groupBy(*names, "qualname", "start_line")
-        .agg(*[F.first(c).alias(c) for c in ("name", "end_line", "signature", "doc", "code")], F.max_by("_comment", F.when(F.col("_comment").isNotNull(), F.col("at"))).alias("_comment"))
+        .agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("name", "end_line", "signature", "doc", "code")], F.max_by("_comment", F.when(F.col("_comment").isNotNull(), F.col("at"))).alias("_comment"))
         .filter("doc is not null or _comment is not null")
     )
     return (

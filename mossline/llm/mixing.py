@@ -7,9 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mossline.runtime import cut, small_enough
+
 #: Tokens of a block and of a shard. A shard is what one task orders and sums, so it bounds a task whatever the source.
 BLOCK_TOKENS = 1_024
 SHARD_TOKENS = 4_000_000
+#: Targets and counts per target source are collected; more rows than this are refused.
+MOST_TARGETS = 10_000
 
 
 def normal_source(source: Column) -> Column:
@@ -57,7 +61,7 @@ def shard_quotas(shards: DataFrame, quotas: DataFrame) -> DataFrame:
     """
     total = F.sum("_blocks").over(Window.partitionBy("_source"))
     base = (
-        shards.join(F.broadcast(quotas), "_source")
+        shards.join(quotas, "_source")
         .withColumn("_share", F.col("_want") * F.col("_blocks") / total)
         .withColumn("_base", F.greatest(F.lit(0), F.least(F.col("_cap"), F.floor("_share") - 1)).cast("long"))
         .withColumn("_left", F.col("_want") - F.sum("_base").over(Window.partitionBy("_source")))
@@ -89,19 +93,22 @@ def mixed(
 ) -> DataFrame:
     """key, source, n_tokens, copies INT: each record that takes part and how often (1 to the source's max_repeats).
 
-    sizes: key, source, size (tokens). targets: source, target_share, max_repeats; at most some thousand rows, one per
-    source. Names are compared trimmed and in lower case. Records of other sources or none, without size, and of null
+    sizes: key, source, size (tokens). targets: source, target_share, max_repeats; one row per source, at most
+    MOST_TARGETS rows, or a ValueError is raised. Names are compared trimmed and in lower case. Records of other sources or none, without size, and of null
     key take no part. Without `total_tokens` the mix is as large as it can be with every source that has any record at
     its share; shares of sources without records go to the others in proportion. A given total that is beyond what the
     repeats allow leaves sources at their caps and hands their blocks to the others.
 
-    Records are placed in shards by a seeded hash and one after another in blocks of `block_tokens` by where they begin;
-    a quota of q blocks over n takes every block q // n times and q % n blocks, in seeded order, once more.
+    Records are placed in shards by a seeded hash and one after another in blocks of `block_tokens` by where they begin, so
+    a block holds that many tokens but for what its last record has beyond its end, and a record longer than a block takes
+    the numbers of those that it fills. Quotas therefore count blocks of a source's own average size. A quota of q blocks over n takes every block q // n times and q % n blocks, in seeded order, once more.
     """
+    if not small_enough(targets, MOST_TARGETS):
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     by_source = (
         sizes.select(F.col(key).alias("_key"), normal_source(F.col(source)).alias("_source"), F.col(size).cast("long").alias("_size"))
         .filter("_key is not null and _source is not null and _size > 0")
-        .join(F.broadcast(targets.select(normal_source(F.col("source")).alias("_source")).distinct()), "_source", "left_semi")
+        .join(targets.select(normal_source(F.col("source")).alias("_source")).distinct(), "_source", "left_semi")
     )
     wanted = {
         r["s"]: (float(r["share"] or 0), int(r["repeats"] or 1))
@@ -111,10 +118,11 @@ def mixed(
     n_shards = F.create_map(*[F.lit(x) for s in have for x in (s, max(1, -(-have[s] // shard_tokens)))]) if have else F.create_map(F.lit(""), F.lit(1))
     shuffled = F.xxhash64(F.lit(seed), "_key")
     order = Window.partitionBy("_source", "_shard").orderBy("_hash", "_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
+    placed = cut(
         by_source.withColumn("_hash", shuffled)
         .withColumn("_shard", F.pmod("_hash", n_shards[F.col("_source")]))
         .withColumn("_block", F.floor(F.coalesce(F.sum("_size").over(order), F.lit(0)) / block_tokens))
+        .drop("_hash")
     )
     blocks = placed.groupBy("_source", "_shard", "_block").agg(F.sum("_size").alias("_tokens"))
     shards = blocks.groupBy("_source", "_shard").agg(F.count(F.lit(1)).alias("_blocks"), F.sum("_tokens").alias("_tokens"))
@@ -130,7 +138,7 @@ def mixed(
     spark = sizes.sparkSession
     quotas = spark.createDataFrame(want, "_source string, _want long")
     repeats = spark.createDataFrame([(s, live[s][1]) for s in live], "_source string, _repeats int")
-    capped = shards.join(F.broadcast(repeats), "_source").withColumn("_cap", F.col("_blocks") * F.col("_repeats")).drop("_repeats", "_tokens")
+    capped = shards.join(repeats, "_source").withColumn("_cap", F.col("_blocks") * F.col("_repeats")).drop("_repeats", "_tokens")
     chosen = shard_quotas(capped, quotas).join(shards.drop("_tokens"), ["_source", "_shard"])
     lottery = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "_source", "_shard", "_block"), "_block")
     copies = (

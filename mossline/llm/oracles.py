@@ -60,6 +60,8 @@ fused AS (SELECT g AS instance_id, i AS file_path, round(avg({QUANTILE}), 9) AS
 
 P6_FOUND = P6_FUSED + "SELECT instance_id, arg_min(file_path, struct_pack(a := -fused, b := -n_lists, c := file_path)) AS file_path FROM fused GROUP BY instance_id"
 
+P6_RANKING = P6_FUSED + "SELECT instance_id, file_path, fused, rank() OVER (PARTITION BY instance_id ORDER BY fused DESC) AS position FROM fused"
+
 # Groups of these tables are cliques of similar rows, so the smallest id among a row's neighbours names its group.
 P1_GROUPS = """
 WITH c AS (
@@ -101,4 +103,4 @@ top AS (SELECT cluster, count(*) AS size, list(concept_id ORDER BY k) FILTER (WH
 SELECT cluster, size, label, typical_concepts, typical_members FROM top LEFT JOIN lab USING (cluster) LEFT JOIN mem USING (cluster)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_clusters": P1_CLUSTERS, "p4_found": P4_FOUND, "p4_rebuilt": P4_REBUILT, "p6_found": P6_FOUND, "p7_decoded": P7_DECODED}
+ORACLES = {"p1_found": P1_FOUND, "p1_clusters": P1_CLUSTERS, "p4_found": P4_FOUND, "p4_rebuilt": P4_REBUILT, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p7_decoded": P7_DECODED}

@@ -86,13 +86,21 @@ def encode(text: str | None, path: str, part_chars: int = PART_CHARS, run_chars:
         stop = run.end() if run.end() == len(text) else run.end() - 1
         if run.start() > at:
             ids += (i for part in safe_parts(text[at : run.start()], part_chars) for i in enc.encode_ordinary(part))
-        ids += enc._encode_single_piece(text[run.start() : stop])
+        ids += single_piece(enc, text[run.start() : stop])
         at = stop
     if at < len(text):
         ids += (i for part in safe_parts(text[at:], part_chars) for i in enc.encode_ordinary(part))
     return ids
 
 
+def single_piece(enc, text: str) -> list[int]:
+    """Ids of a text that the pattern takes for one piece, without running the pattern over it."""
+    own = getattr(enc, "_encode_single_piece", None)
+    if own is None:  # not part of the library's public interface
+        raise RuntimeError("this version of tiktoken encodes no single pieces; runs of blanks over 10,000 characters need that")
+    return own(text)
+
+
 def decode_bytes(ids: list[int], path: str) -> bytes:
     """The bytes of ids; a cut inside a character stays as it is, so parts decode independently."""
     enc = encoder(path)
