@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 #: An identifier of two characters or more, ASCII only; applied before lower-casing, which would change what splits.
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]+"
 CAMEL = "[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)"
-TEST_FILE = r"(^|/)tests?/|(^|/)tests?\.py$|(^|/)test_[^/]*\.py$|_test\.py$"
+TEST_FILE = r"(^|/)tests?/|(/|^)tests?\.py$|(/|^)test_[^/]*\.py$|_test\.py$"
 SKIPPED_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv", "build", "dist", ".tox")
 
 

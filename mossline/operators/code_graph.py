@@ -63,14 +63,14 @@ def unambiguous(functions: DataFrame) -> DataFrame:
 
 
 def call_edges(skeletons: DataFrame) -> DataFrame:
-    """repo, src, dst, line: resolved calls, by name in the same file (smallest qualified name), else a module function of a name that is unique in the repository."""
+    """repo, src, dst, line (of the last one): resolved calls, by name in the same file (smallest qualified name), else a module function of a name that is unique in the repository."""
     functions = functions_of(skeletons).select("repo", "file_path", "name", "qualname", "class", T.node_id("func", F.col("file_path"), F.col("qualname")).alias("node_id"))
     calls = skeletons.select("repo", "file_path", F.explode("calls").alias("c")).select("repo", "file_path", T.node_id("func", F.col("file_path"), F.col("c.caller")).alias("src"), T.last_part(F.col("c.callee")).alias("name"), F.col("c.line").alias("line"))
     calls = calls.join(functions.select("repo", F.col("node_id").alias("src")), ["repo", "src"], "left_semi")
     here = functions.groupBy("repo", "file_path", "name").agg(F.min_by("node_id", "qualname").alias("here"))
     single = unambiguous(functions).join(functions.filter("class is null").select("repo", "node_id"), ["repo", "node_id"], "left_semi").select("repo", "name", F.col("node_id").alias("there"))
     resolved = calls.join(here, ["repo", "file_path", "name"], "left").join(single, ["repo", "name"], "left").withColumn("dst", F.coalesce("here", "there")).filter("dst is not null and dst <> src")
-    return resolved.groupBy("repo", "src", "dst").agg(F.min("line").alias("line"))
+    return resolved.groupBy("repo", "src", "dst").agg(F.max("line").alias("line"))
 
 
 def structural_edges(skeletons: DataFrame) -> DataFrame:

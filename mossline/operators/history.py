@@ -61,7 +61,36 @@ def co_edited(commits: DataFrame, files: DataFrame, least: int = 3) -> DataFrame
 
 
 def commits_before_base(issues: DataFrame, commits: DataFrame) -> DataFrame:
-    """instance_id, n_before, last_before: how many commits of the issue's repository precede its base, and the last one's time.
+    """instance_id, n_before, last_before: how many commits of the issue's repository precede its base, and the last one's time."""
+    return before_bases(issues, commits).select("instance_id", "n_before", "last_before")
+
+
+#: Commits that are looked at before a base.
+WINDOW = 7_000
+
+
+def numbered(commits: DataFrame) -> DataFrame:
+    """repo, sha, authored_at, no: commits of a repository numbered by time, of equal times the larger sha first; in blocks of time."""
+    made = commits.filter("authored_at is not null and repo is not null").select("repo", "sha", "authored_at", F.shiftright(micros("authored_at"), BLOCK_BITS).alias("block"))
+    earlier = Window.partitionBy("repo").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = made.groupBy("repo", "block").count().select("repo", "block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("repo", "block").orderBy("authored_at", F.desc("sha"))
+    return made.withColumn("_n", F.row_number().over(inside)).join(offsets, ["repo", "block"]).select("repo", "sha", "authored_at", (F.col("_before") + F.col("_n")).alias("no"))
+
+
+def windows_before_bases(issues: DataFrame, commits: DataFrame, limit: int = WINDOW) -> DataFrame:
+    """instance_id, repo, first_no, last_no, oldest_sha, oldest_at: the newest `limit` commits before each issue's base, as a range of numbers.
+
+    A window is two numbers, so it takes as much room for seven thousand commits as for one; whoever needs the commits
+    joins `numbered` by range. Issues without any commit before their base give no row.
+    """
+    bounds = before_bases(issues, commits).filter("n_before > 0").select("instance_id", "repo", F.greatest(F.lit(1), F.col("n_before") - limit + 1).alias("first_no"), F.col("n_before").alias("last_no"))
+    oldest = numbered(commits).select("repo", F.col("no").alias("first_no"), F.col("sha").alias("oldest_sha"), F.col("authored_at").alias("oldest_at"))
+    return bounds.join(oldest, ["repo", "first_no"]).select("instance_id", "repo", "first_no", "last_no", "oldest_sha", "oldest_at")
+
+
+def before_bases(issues: DataFrame, commits: DataFrame) -> DataFrame:
+    """instance_id, repo, n_before, last_before: as commits_before_base.
 
     Commits and bases of a repository stand in one order of time, bases before commits of the same time, so that equal
     times stay out; running counts replace the join of every issue with every commit. They run within blocks of time, on
@@ -83,4 +112,4 @@ def commits_before_base(issues: DataFrame, commits: DataFrame) -> DataFrame:
         marks.withColumn("n", F.coalesce(F.sum("kind").over(order), F.lit(0))).withColumn("last", F.max(F.when(F.col("kind") == 1, F.col("at"))).over(order)).filter("kind = 0")
         .join(blocks, ["repo", "block"])
     )
-    return counted.select("instance_id", (F.col("n") + F.col("n_earlier")).alias("n_before"), F.coalesce("last", "last_earlier").alias("last_before"))
+    return counted.select("instance_id", "repo", (F.col("n") + F.col("n_earlier")).alias("n_before"), F.coalesce("last", "last_earlier").alias("last_before"))

@@ -9,8 +9,8 @@ from mossline.functions import blocks
 from mossline.functions import text as T
 from mossline.runtime import cut
 
+# Constants of BM25, fusion constant and the weight of each list, lengths that decide whether a repository is large.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Fusion constant and the weight of each list.
 RRF_K, LIST_WEIGHTS = 60, {"llm": 1.0, "bm25": 0.7, "dense": 0.7}
 OUTLINE_CHARS, POOL_FACTOR, POOL_FILES = 600_000, 5, 100
 

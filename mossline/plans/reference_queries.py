@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mossline.functions import prompts, vectors
 from mossline.functions import text as T
-from mossline.operators import code_graph, consensus, evaluation, grouping, history, retrieval, seeding
+from mossline.operators import code_graph, consensus, evaluation, grouping, history, retrieval, seeding, traversal
 from mossline.plans import localize as plan
 from mossline.runtime import cut, table
 from mossline.sources import diffs, replies, skeletons
@@ -76,26 +76,40 @@ def _files_of_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).join(_reports(spark, sf_dir).select("instance_id", "repo"), "instance_id")
 
 
-@query(with_parts("files", "reports") + r"""
-, tok AS (SELECT repo, file_path, list_transform(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM files),
+def bm25_sql(tokens: str) -> str:
+    """SQL of the twenty best files by BM25; `tokens` makes a list of terms from a text x."""
+    return with_parts("files", "reports") + f"""
+, tok AS (SELECT repo, file_path, {tokens.replace("$", "content")} AS t FROM files),
 n AS (SELECT repo, count(*) AS n, avg(len(t)) AS avg_len FROM tok GROUP BY repo),
 tf AS (SELECT repo, file_path, len, term, count(*) AS tf FROM (SELECT repo, file_path, len(t) AS len, unnest(t) AS term FROM tok) GROUP BY ALL),
 idf AS (SELECT repo, term, any_value(avg_len) AS avg_len, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN n USING (repo) GROUP BY repo, term),
 fl AS (SELECT repo, 0.25 * avg(idf) AS floor FROM idf GROUP BY repo),
-q AS (SELECT instance_id, repo, term, count(*) AS times FROM (SELECT instance_id, repo, unnest(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))) AS term FROM reports) GROUP BY ALL),
+q AS (SELECT instance_id, repo, term, count(*) AS times FROM (SELECT instance_id, repo, unnest({tokens.replace("$", "text")}) AS term FROM reports) GROUP BY ALL),
 s AS (SELECT instance_id, file_path, round(sum(times * (CASE WHEN idf < 0 THEN floor ELSE idf END) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS score
       FROM q JOIN tf USING (repo, term) JOIN idf USING (repo, term) JOIN fl USING (repo) GROUP BY instance_id, file_path)
 SELECT instance_id, file_path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, file_path)::INT AS rank FROM s) WHERE rank <= 20 AND score > 0
-""")
+"""
+
+
+IDENTIFIERS_SQL = "list_transform(regexp_extract_all($, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))"
+# The pattern's look ahead, put into two replacements: capitals before a digit or underscore go, those before a word are set apart.
+CAMEL_SQL = r"regexp_extract_all(regexp_replace(regexp_replace(x, '[A-Z]([0-9_])', ' \1', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+')"
+CODE_TOKENS_SQL = (
+    "list_transform(flatten(list_transform(regexp_extract_all($, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: list_concat([x], "
+    f"CASE WHEN contains(x, '_') THEN list_filter(string_split(x, '_'), lambda p: p <> '') ELSE [] END, CASE WHEN len({CAMEL_SQL}) > 1 THEN {CAMEL_SQL} ELSE [] END))), lambda x: lower(x))"
+)
+
+
+@query(bm25_sql(IDENTIFIERS_SQL))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best files of its repository for each report."""
     index = retrieval.postings(_files(spark, sf_dir), scope="repo", key="file_path", text="content")
     return retrieval.bm25(_reports(spark, sf_dir), index, 20, scope="repo", query="instance_id", text="text", key="file_path")
 
 
-@query()
+@query(bm25_sql(CODE_TOKENS_SQL))
 def bm25_full_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As bm25_topk with tokens split into their parts; the split looks ahead, which the SQL engine's patterns can't."""
+    """As bm25_topk with tokens split into their parts."""
     index = retrieval.postings(_files(spark, sf_dir), scope="repo", key="file_path", text="content", tokenizer=T.code_tokens)
     return retrieval.bm25(_reports(spark, sf_dir), index, 20, scope="repo", query="instance_id", text="text", key="file_path", tokenizer=T.code_tokens)
 
@@ -214,6 +228,15 @@ def commits_before_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.commits_before_base(table(spark, sf_dir, "issues"), _commits(spark, sf_dir))
 
 
+@query(with_parts("commits1") + """, asked AS (SELECT DISTINCT instance_id, base_commit FROM issues WHERE instance_id IS NOT NULL),
+b AS (SELECT instance_id, c.repo, c.authored_at AS base_at FROM asked JOIN commits1 c ON c.sha = base_commit WHERE c.authored_at IS NOT NULL),
+w AS (SELECT instance_id, b.repo, c.sha, c.authored_at, row_number() OVER (PARTITION BY instance_id, base_at ORDER BY c.authored_at DESC, c.sha) AS k, count(*) OVER (PARTITION BY instance_id, base_at) AS n, base_at FROM b JOIN commits1 c ON c.repo = b.repo AND c.authored_at < base_at)
+SELECT instance_id, repo, greatest(1, n - 6999) AS first_no, n AS last_no, sha AS oldest_sha, authored_at AS oldest_at FROM w WHERE k = least(n, 7000)""")
+def commit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest seven thousand commits before each issue's base, by number, and the oldest of them."""
+    return history.windows_before_bases(table(spark, sf_dir, "issues"), _commits(spark, sf_dir))
+
+
 KEYWORDS = with_parts("reports", "funcs") + r""", kw AS (
   SELECT DISTINCT instance_id, repo, lower(unnest(list_concat(regexp_extract_all(text, '\b([A-Z]\w*(?:Error|Exception|Warning|Overflow))\b', 1), regexp_extract_all(text, '`([A-Za-z_][\w.]*)`', 1)))) AS keyword FROM reports),
 literal AS (SELECT DISTINCT instance_id, node_id FROM kw JOIN funcs f USING (repo) WHERE keyword <> '' AND contains(lower(coalesce(qualname, '') || ' ' || coalesce(docstring, '')), keyword)),
@@ -566,6 +589,20 @@ def localized_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.localize(table(spark, sf_dir, "issues"), table(spark, sf_dir, "rankings"), _index(spark, sf_dir))
 
 
+def located(spark: SparkSession, sf_dir: str, instance_id: str, limits: traversal.Limits | None = None, top: int = 10) -> dict:
+    """What one report points to: why its last search ended, how many steps it took, and its first functions with score, label, runs, lines and chain."""
+    issues = table(spark, sf_dir, "issues").filter(F.col("instance_id") == instance_id)
+    rankings = table(spark, sf_dir, "rankings").filter(F.col("instance_id") == instance_id)
+    searches: dict = {}
+    found = plan.localize(issues, rankings, _index(spark, sf_dir), limits=limits or traversal.Limits(), details=searches)
+    last = searches["searches"].orderBy(F.desc("run")).select("ended", "iterations").first()
+    ranked = [
+        {"function_key": r.function_key, "score": r.score, "confidence": r.label, "runs_appearing": r.appearances, "lines": [r.start_line, r.end_line], "chain": r.chain or []}
+        for r in found.orderBy("rank").limit(top).collect()
+    ]
+    return {"instance_id": instance_id, "termination": last.ended if last else "queue_empty", "iterations": last.iterations if last else 0, "ranked": ranked}
+
+
 @query()
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of metrics of the localized functions and fused files; an instance without a result counts as an empty one."""

@@ -18,6 +18,7 @@ def session(app: str = "mossline", master: str = "local[*]", **conf: str) -> Spa
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # small inputs keep all cores busy; large ones don't notice
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
@@ -30,7 +31,7 @@ def spread(df: DataFrame) -> DataFrame:
     Inputs of more partitions, as any large one has, are not shuffled. Plans with a shuffle are left alone too: their
     partitions are known only once it has run.
     """
-    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -67,7 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_enough(df: DataFrame, limit_rows: int) -> bool:
-    """Whether `df` has at most `limit_rows` rows, read no further than that; used before a broadcast."""
+    """Whether `df` has at most `limit_rows` rows, read no further than that; asked before rows are collected."""
     return df.limit(limit_rows + 1).count() <= limit_rows
 
 

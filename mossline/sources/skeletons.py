@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossline.functions.text import SKIPPED_DIRS
@@ -135,7 +135,8 @@ def python_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
 
 
 def write_skeletons(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """JSON lines in the order of repositories and paths."""
+    rows.orderBy("repo", "file_path").write.mode("overwrite").json(path)
 
 
 def read_skeletons(spark: SparkSession, path: str) -> DataFrame:
@@ -143,23 +144,28 @@ def read_skeletons(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SKELETON).json(path)
 
 
-def outline_text(rows: DataFrame) -> DataFrame:
-    """repo, file_path, outline: a skeleton as compact text for ranking and prompts."""
+#: Imports of an outline, and characters of a docstring in it.
+OUTLINE_IMPORTS, OUTLINE_DOC_CHARS = 50, 120
 
-    def signature(indent: str):
-        return lambda f: F.concat(F.lit(f"{indent}def "), f["name"], f["signature"], F.when(f["docstring"] != "", F.concat(F.lit("  # "), F.substring(f["docstring"], 1, 120))).otherwise(F.lit("")))
 
-    classes = F.transform(
-        "classes",
-        lambda c: F.concat_ws(
-            "\n", F.concat(F.lit("class "), c["name"], F.when(F.size(c["bases"]) > 0, F.concat(F.lit("("), F.array_join(c["bases"], ", "), F.lit(")"))).otherwise(F.lit(""))),
-            F.when(c["docstring"] != "", F.concat(F.lit("  doc: "), F.substring(c["docstring"], 1, 120))), F.array_join(F.transform(c["methods"], signature("  ")), "\n"),
-        ),
-    )
-    return rows.select(
-        "repo", "file_path",
-        F.concat_ws(
-            "\n", F.concat(F.lit("FILE: "), "file_path"), F.when(F.size("imports") > 0, F.concat(F.lit("IMPORTS: "), F.array_join(F.slice("imports", 1, 50), "; "))),
-            F.when(F.size("classes") > 0, F.array_join(classes, "\n")), F.when(F.size("functions") > 0, F.array_join(F.transform("functions", signature("")), "\n")),
-        ).alias("outline"),
-    )
+def outline_text(rows: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """repo, file_path, outline: a skeleton as compact text for ranking and prompts. summaries: repo, file_path, summary of files that have one."""
+
+    def quoted(indent: str, doc: Column) -> Column:
+        return F.when(doc != "", F.concat(F.lit(f'{indent}"""'), F.substring(doc, 1, OUTLINE_DOC_CHARS), F.lit('"""')))
+
+    def function(indent: str):
+        return lambda f: F.concat_ws("\n", F.concat(F.lit(f"{indent}def "), f["name"], f["signature"]), quoted(indent + "  ", f["docstring"]))
+
+    def part(name: str, each) -> Column:
+        return F.when(F.size(name) > 0, F.array_join(F.transform(name, each), "\n"))
+
+    def whole_class(c: Column) -> Column:
+        bases = F.when(F.size(c["bases"]) > 0, F.concat(F.lit("("), F.array_join(c["bases"], ", "), F.lit(")"))).otherwise("")
+        methods = F.when(F.size(c["methods"]) > 0, F.array_join(F.transform(c["methods"], function("  ")), "\n"))
+        return F.concat_ws("\n", F.concat(F.lit("class "), c["name"], bases), quoted("  ", c["docstring"]), methods)
+
+    said = F.lit(None).cast("string") if summaries is None else F.when(F.col("summary") != "", F.concat(F.lit("SUMMARY: "), "summary"))
+    joined = rows if summaries is None else rows.join(summaries.select("repo", "file_path", "summary"), ["repo", "file_path"], "left")
+    imports = F.when(F.size("imports") > 0, F.concat(F.lit("IMPORTS: "), F.array_join(F.slice("imports", 1, OUTLINE_IMPORTS), ", ")))
+    return joined.select("repo", "file_path", F.concat_ws("\n", F.concat(F.lit("FILE: "), "file_path"), said, imports, part("classes", whole_class), part("functions", function(""))).alias("outline"))

@@ -177,3 +177,23 @@ def test_literals_meet_by_pieces(spark):
     exact = {(f"i{i}", f"n{k}") for i, w in enumerate(words) for k in range(60) if w and ("r" if i % 3 else "s") == ("r" if k % 2 else "s") and w in hay(k)}
     assert set(map(tuple, S.literal_matches(symptoms, functions).collect())) == exact
     assert S.literal_matches(symptoms.limit(0), functions).count() == 0
+
+
+def test_outline_line_by_line(spark):
+    rows = skeletons.skeletons(files(spark, [("r", "m.py", SOURCE), ("r", "n.py", "x = 1\n")]))
+    summaries = spark.createDataFrame([("r", "m.py", "Runs things."), ("r", "other.py", "No file.")], "repo string, file_path string, summary string")
+    got = {r.file_path: r.outline for r in skeletons.outline_text(rows, summaries).collect()}
+    assert got["m.py"].split("\n") == [
+        "FILE: m.py", "SUMMARY: Runs things.", "IMPORTS: import os, from a.b import c", "class Thing(base.Other)", '  """A thing."""', "  def run(self, x: int = 1)", "def helper(v)", "def helper2(v)",
+    ] and got["n.py"] == "FILE: n.py"
+
+
+def test_windows_before_bases(spark):
+    days = {"a": 1, "b": 2, "c": 2, "d": 3, "e": 90, "f": 91}
+    c = commits(spark, [(s, "r", BASE + timedelta(days=d), ["x"]) for s, d in days.items()] + [("z", "s", BASE, ["x"])])
+    issues = spark.createDataFrame([("i", "f"), ("j", "d"), ("k", "a"), ("l", "none")], "instance_id string, base_commit string")
+    for limit, expected in ((2, {"i": (4, 5, "d"), "j": (2, 3, "c")}), (7_000, {"i": (1, 5, "a"), "j": (1, 3, "a")}), (1, {"i": (5, 5, "e"), "j": (3, 3, "b")})):
+        got = {r.instance_id: (r.first_no, r.last_no, r.oldest_sha) for r in H.windows_before_bases(issues, c, limit).collect()}
+        assert got == expected
+        newest = [r.sha for r in H.before(c.filter("repo = 'r'"), F.lit(BASE + timedelta(days=3)), limit).collect()]
+        assert newest[-1] == expected["j"][2]
