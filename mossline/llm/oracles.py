@@ -103,4 +103,16 @@ top AS (SELECT cluster, count(*) AS size, list(concept_id ORDER BY k) FILTER (WH
 SELECT cluster, size, label, typical_concepts, typical_members FROM top LEFT JOIN lab USING (cluster) LEFT JOIN mem USING (cluster)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_clusters": P1_CLUSTERS, "p4_found": P4_FOUND, "p4_rebuilt": P4_REBUILT, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p7_decoded": P7_DECODED}
+P8_KEPT = "SELECT lower(trim(source)) AS source, max(max_repeats)::INT AS max_repeats, true AS within_cap, true AS near_target FROM mix_targets WHERE source IS NOT NULL GROUP BY 1"
+
+# Blanks, line ends and letters as Python's Unicode patterns have them.
+BLANKS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
+P9_COUNTS = rf"""
+SELECT doc_id, length(t)::BIGINT AS n_chars, len(regexp_extract_all(t, '{LETTERS}(?:[''’]{LETTERS})?'))::BIGINT AS n_words,
+       len(list_filter(regexp_split_to_array(t, '\r\n|[\n\r\x{{0b}}\f\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[^{BLANKS}]')))::BIGINT AS n_lines,
+       coalesce(list_max(list_transform(regexp_extract_all(t, '[^{BLANKS}]+'), lambda x: length(x))), 0)::BIGINT AS longest_word
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p1_clusters": P1_CLUSTERS, "p4_found": P4_FOUND, "p4_rebuilt": P4_REBUILT, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p7_decoded": P7_DECODED, "p8_kept": P8_KEPT, "p9_counts": P9_COUNTS}

@@ -84,16 +84,29 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares_reached(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, max_repeats, within_cap, near_target: whether the mix keeps to the caps and, among sources with records, to the shares."""
+    reached = cut(p8_shares(spark, sf_dir))
+    live = reached.filter("n_records > 0").agg(F.sum("target_share").alias("_live"))
+    wanted = F.when(F.col("n_records") > 0, F.col("target_share") / F.col("_live")).otherwise(0.0)
+    return reached.crossJoin(live).select("source", F.col("max_repeats").cast("int").alias("max_repeats"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("reached_share") - wanted) < 0.02).alias("near_target"))
+
+
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.quality(table(spark, sf_dir, "documents"))
     return stats.select("doc_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in quality.COLUMNS], "kind")
 
 
+def p9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the statistics those that SQL can count."""
+    return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_words", "n_lines", "longest_word")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).filter("kind <> ''").select("doc_id", "kind")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_clusters, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_pairs, p6_found, p6_ranking, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_stats)
+    for f in (p1_found, p1_clusters, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_pairs, p6_found, p6_ranking, p7_ids, p7_decoded, p8_mix, p8_shares, p8_kept, p9_found, p9_counts, p9_stats)
 }
