@@ -9,6 +9,8 @@ from mossline.functions import blocks
 from mossline.functions import text as T
 from mossline.runtime import cut
 
+#: Texts of a block: one may have some thousand terms.
+TEXT_ROWS = 512
 # Constants of BM25, fusion constant and the weight of each list, lengths that decide whether a repository is large.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, LIST_WEIGHTS = 60, {"llm": 1.0, "bm25": 0.7, "dense": 0.7}
@@ -49,7 +51,7 @@ def bm25(queries: DataFrame, index: DataFrame, k: int, *, scope: str, query: str
     terms = queries.select(F.col(scope).alias("scope"), F.col(query).alias("q"), F.explode(tokenizer(F.col(text))).alias("term")).groupBy("scope", "q", "term").count()
     asked = terms.groupBy("scope", "q").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), counted.alias("w"))).alias("x"))
     known = index.groupBy(F.col(scope).alias("scope"), F.col(key).alias("r")).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").alias("w"))).alias("x"))
-    found = blocks.best(asked.select("scope", "q", "x.t", "x.w"), known.select("scope", "r", "x.t", "x.w"), k, blocks.sparse_kernel(6))
+    found = blocks.best(asked.select("scope", "q", "x.t", "x.w"), known.select("scope", "r", "x.t", "x.w"), k, blocks.sparse_kernel(6), query_rows=TEXT_ROWS, record_rows=TEXT_ROWS)
     return found.select(F.col("q").alias(query), F.col("r").alias(key), "score", "rank")
 
 

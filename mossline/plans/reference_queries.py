@@ -613,6 +613,33 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.report(files, gold_files, found.select("instance_id", "function_key", "rank", "score"), gold_functions, lines, gold_lines, asked=_reports(spark, sf_dir))
 
 
+@query(SEEDS + ", " + SQL["hunks"] + """, gold AS (SELECT DISTINCT instance_id, file_path FROM hunks),
+hf AS (SELECT g.instance_id, min(f.rank + 1) AS best FROM gold g LEFT JOIN fused f USING (instance_id, file_path) GROUP BY g.instance_id),
+inside AS (SELECT h.instance_id, f.file_path || '::' || f.qualname AS key, row_number() OVER (PARTITION BY h.instance_id, h.file_path, h.start_line ORDER BY f.start_line DESC, f.end_line, f.node_id DESC) AS k
+  FROM (SELECT DISTINCT instance_id, file_path, start_line FROM hunks) h JOIN reports r USING (instance_id) JOIN funcs f ON f.repo = r.repo AND f.file_path = h.file_path AND h.start_line BETWEEN f.start_line AND f.end_line),
+gk AS (SELECT DISTINCT instance_id, key FROM inside WHERE k = 1),
+sk AS (SELECT instance_id, rank, prior, f.file_path, f.start_line, f.end_line, f.file_path || '::' || f.qualname AS key FROM seeded JOIN reports USING (instance_id) JOIN funcs f USING (repo, node_id)),
+hg AS (SELECT instance_id, key, min(rank) AS rank FROM gk LEFT JOIN sk USING (instance_id, key) GROUP BY instance_id, key),
+pg AS (SELECT instance_id, count(*) AS n, min(rank) AS best, count(*) FILTER (WHERE rank <= 1) AS r1, count(*) FILTER (WHERE rank <= 3) AS r3, count(*) FILTER (WHERE rank <= 5) AS r5 FROM hg GROUP BY instance_id),
+m AS (SELECT h.instance_id, h.file_path, h.start_line, h.end_line, max(CASE WHEN p.end_line + 10 >= h.start_line AND p.start_line - 10 <= h.end_line THEN 1 ELSE 0 END) AS met FROM hunks h LEFT JOIN (SELECT * FROM sk WHERE rank <= 5) p USING (instance_id, file_path) GROUP BY ALL),
+pl AS (SELECT instance_id, sum(coalesce(met, 0)) / count(*) AS line_recall FROM m GROUP BY instance_id),
+t AS (SELECT sk.instance_id, prior AS confidence, (EXISTS (SELECT 1 FROM gk WHERE gk.instance_id = sk.instance_id AND gk.key = sk.key))::INT AS correct FROM sk WHERE rank = 1 AND instance_id IN (SELECT instance_id FROM gk)),
+e AS (SELECT i, i * 0.1::DOUBLE AS lo, CASE WHEN i = 9 THEN 1.0 ELSE (i + 1) * 0.1::DOUBLE END AS hi FROM range(10) r(i)),
+b AS (SELECT i, count(*) AS m, avg(confidence) AS conf, avg(correct) AS acc FROM t JOIN e ON confidence >= lo AND confidence < hi GROUP BY i)
+SELECT round((SELECT avg((coalesce(best, 99) <= 1)::INT) FROM hf), 6) AS file_acc_1, round((SELECT avg((coalesce(best, 99) <= 3)::INT) FROM hf), 6) AS file_acc_3, round((SELECT avg((coalesce(best, 99) <= 5)::INT) FROM hf), 6) AS file_acc_5,
+  round(avg(r1 / n), 6) AS func_recall_1, round(avg(r3 / n), 6) AS func_recall_3, round(avg(r5 / n), 6) AS func_recall_5, round(avg((coalesce(best, 99) <= 1)::INT), 6) AS func_acc_1, round(avg((coalesce(best, 99) <= 5)::INT), 6) AS func_acc_5,
+  round(avg(coalesce(1.0 / best, 0)), 6) AS mrr, count(*) AS n_with_gold_function, round((SELECT avg(line_recall) FROM pl), 6) AS line_recall_5,
+  (SELECT round(sum(m / (SELECT count(*) FROM t) * abs(conf - acc)), 6) FROM b) AS ece, (SELECT count(*) FROM reports) AS n_predictions FROM pg""")
+def report_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's row for the seeds as functions, against the functions around the first lines of hunks."""
+    known, asked = cut(_functions(spark, sf_dir)), cut(_reports(spark, sf_dir).select("instance_id", "repo"))
+    keys = known.select("repo", "node_id", F.concat_ws("::", "file_path", "qualname").alias("function_key"), "file_path", "start_line", "end_line")
+    gold = cut(gold_ranges(spark, sf_dir))
+    gold_functions = enclosing_deepest(spark, sf_dir).join(asked, "instance_id").join(keys.select("repo", "node_id", "function_key"), ["repo", "node_id"]).select("instance_id", "function_key").distinct()
+    seeds = cut(_seeds(spark, sf_dir).join(asked, "instance_id").join(keys, ["repo", "node_id"]).withColumnRenamed("prior", "score"))
+    return evaluation.report(_fused(spark, sf_dir).withColumn("rank", F.col("rank") + 1), gold.select("instance_id", "file_path").distinct(), seeds, cut(gold_functions), seeds, gold, asked=asked)
+
+
 @query(SEEDS + """, keyed AS (SELECT instance_id, file_path || '::' || qualname AS key FROM seeded JOIN reports USING (instance_id) JOIN funcs USING (repo, node_id) WHERE rank = 1),
 n AS (SELECT instance_id, count(*) AS n_files FROM fused GROUP BY instance_id)
 SELECT instance_id, key AS top1_func, coalesce(n_files, 0)::BIGINT AS n_files FROM reports LEFT JOIN keyed USING (instance_id) LEFT JOIN n USING (instance_id)""")

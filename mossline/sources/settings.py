@@ -14,13 +14,16 @@ def deep_merge(base: dict, over: dict) -> dict:
 
 
 def load(path: str) -> dict:
-    """A YAML file, laid on the one that its `inherits` names, relative to it."""
+    """A YAML file, laid on those that its `inherits` names (one or a list, the later over the earlier), relative to it."""
     import yaml
 
     with open(path, encoding="utf-8") as file:
         own = yaml.safe_load(file) or {}
-    parent = own.pop("inherits", None)
-    return deep_merge(load(os.path.join(os.path.dirname(path), parent)), own) if parent else own
+    parents = own.pop("inherits", None) or []
+    merged: dict = {}
+    for parent in [parents] if isinstance(parents, str) else parents:
+        merged = deep_merge(merged, load(os.path.join(os.path.dirname(path), parent)))
+    return deep_merge(merged, own)
 
 
 def limits(settings: dict) -> Limits:

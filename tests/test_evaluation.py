@@ -92,6 +92,9 @@ def test_cache_and_settings(spark, tmp_path):
     (tmp_path / "own.yaml").write_text("inherits: base.yaml\na: {y: 3}\n")
     loaded = settings.load(str(tmp_path / "own.yaml"))
     assert loaded["a"] == {"x": 1, "y": 3} and settings.limits(loaded).iterations == 5
+    (tmp_path / "more.yaml").write_text("traversal: {iterations: 9}\n")
+    (tmp_path / "both.yaml").write_text("inherits: [own.yaml, more.yaml]\na: {z: 4}\n")
+    assert settings.load(str(tmp_path / "both.yaml")) == {"a": {"x": 1, "y": 3, "z": 4}, "traversal": {"iterations": 9}}
     assert "–" in E.markdown({"mrr": float("nan"), "n": 3}, "own")
 
 
