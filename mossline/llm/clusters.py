@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -83,33 +84,42 @@ def member_edges(sets: DataFrame, least: float, block_rows: int = BLOCK_ROWS) ->
     rows = sets.filter("size(tokens) >= 2").select(F.explode(F.expr(f"slice(tokens, 1, {needed} + 1)")).alias("token"), "id", "tokens", "weight")
     hot = cut(rows.groupBy("token").count().filter(F.col("count") > block_rows).select("token"))
     mirror = [F.col("id").alias("b"), F.col("tokens").alias("tokens_b"), F.col("weight").alias("weight_b")]
-    enough = f"size(_common) >= 2 and size(_common) >= {least} * (size(tokens) + size(tokens_b) - size(_common))"
-    jaccard = F.size("_common") / (F.size("tokens") + F.size("tokens_b") - F.size("_common"))
-    judged = [F.col("id").alias("a"), "b", (1 - jaccard).cast("float").alias("distance"), F.col("weight").alias("weight_a"), "weight_b"]
     common = F.array_intersect("tokens", "tokens_b")
+    distance = F.element_at(F.transform(F.array(F.size(common)), lambda n: (1 - n / (F.size("tokens") + F.size("tokens_b") - n)).cast("float")), 1).alias("distance")
+    judged = [F.col("id").alias("a"), "b", distance, F.col("weight").alias("weight_a"), "weight_b"]
+
+    def near(c: Column, *first: str) -> Column:
+        """Whether common tokens are enough and begin with those of the block."""
+        own = F.size(c) >= 2
+        for i, name in enumerate(first):
+            own = own & (F.get(c, F.lit(i)) == F.col(name))
+        return own & (F.size(c) >= F.lit(Decimal(str(least))) * (F.size("tokens") + F.size("tokens_b") - F.size(c)))
 
     def meet(rows: DataFrame, keys: list[str]) -> DataFrame:
         placed = rows.select(*keys, "id", "tokens", "weight").repartition(*keys)
-        return placed.join(placed.select(*keys, *mirror), keys).filter("id < b").withColumn("_common", common)
+        return placed.join(placed.select(*keys, *mirror), keys).filter("id < b").filter(near_once(*keys)).select(*judged)
+
+    def near_once(*first: str) -> Column:
+        """The same of the two sets, which are intersected once; as plain columns Catalyst would repeat that for each mention."""
+        return F.exists(F.array(common), lambda c: near(c, *first))
 
     if hot.isEmpty():
-        return meet(rows, ["token"]).filter(f"_common[0] = token and {enough}").select(*judged)
-    pairs = meet(rows.join(hot, "token", "left_anti"), ["token"]).filter(f"_common[0] = token and {enough}").select(*judged)
+        return meet(rows, ["token"])
+    pairs = meet(rows.join(hot, "token", "left_anti"), ["token"])
     divided = rows.join(hot, "token").withColumn("second", F.explode(F.expr(f"slice(tokens, 1, {needed} + 2)"))).filter("second > token")
     two = ["token", "second"]
-    own_block = f"_common[0] = token and _common[1] = second and {enough}"
     crowded = cut(divided.groupBy(*two).count().filter(F.col("count") > block_rows).select(*two, F.ceil(F.col("count") / max(block_rows, LEAST_TILE)).cast("int").alias("_chunks")))
-    pairs = pairs.union(meet(divided.join(crowded, two, "left_anti"), two).filter(own_block).select(*judged))
+    pairs = pairs.union(meet(divided.join(crowded, two, "left_anti"), two))
     if crowded.isEmpty():
         return pairs
     large = divided.join(crowded, two).withColumn("_chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
     tile = [*two, "_low", "_high"]
     left = large.select(*two, F.col("_chunk").alias("_low"), F.explode(F.sequence("_chunk", F.col("_chunks") - 1)).alias("_high"), "id", "tokens", "weight")
     right = large.select(*two, F.explode(F.sequence(F.lit(0), F.col("_chunk"))).alias("_low"), F.col("_chunk").alias("_high"), *mirror)
-    met = left.join(right, tile).filter("_low < _high or id < b").withColumn("_common", common).filter(own_block)
+    met = left.join(right, tile).filter("_low < _high or id < b").filter(near_once(*two))
     swapped = F.col("id") > F.col("b")
     return pairs.union(met.select(
-        F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), (1 - jaccard).cast("float").alias("distance"),
+        F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), distance,
         F.when(swapped, F.col("weight_b")).otherwise(F.col("weight")).alias("weight_a"), F.when(swapped, F.col("weight")).otherwise(F.col("weight_b")).alias("weight_b"),
     ))
 
