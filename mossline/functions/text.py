@@ -105,12 +105,12 @@ def symptom_text(symptoms: Column) -> Column:
     """Symptoms as labelled lines, five error messages at most."""
     frames = F.transform(symptoms["stack_frames"], lambda f: F.concat(f["file"], F.lit(":"), f["line"].cast("string"), F.lit(" in "), f["func"]))
 
-    def line(name: str, values: Column) -> Column:
-        return F.when(F.size(values) > 0, F.concat(F.lit(f"{name}: "), F.array_join(values, ", ")))
+    def line(name: str, values: Column, between: str = ", ") -> Column:
+        return F.when(F.size(values) > 0, F.concat(F.lit(f"{name}: "), F.array_join(values, between)))
 
     return F.concat_ws(
-        "\n", line("Exceptions", symptoms["exception_types"]), line("Errors", F.slice(symptoms["error_messages"], 1, 5)),
-        line("Frames", frames), line("Behaviors", symptoms["behaviors"]), line("APIs", symptoms["api_calls_named"]),
+        "\n", line("Exceptions", symptoms["exception_types"]), line("Errors", F.slice(symptoms["error_messages"], 1, 5), " | "),
+        line("Stack", frames, "; "), line("Behaviors", symptoms["behaviors"]), line("APIs", symptoms["api_calls_named"]),
     )
 
 

@@ -38,10 +38,11 @@ def grams(text: Column, least: int) -> Column:
     return F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(least, GRAM + 1)])))
 
 
-def literal_matches(symptoms: DataFrame, functions: DataFrame) -> DataFrame:
+def literal_matches(symptoms: DataFrame, functions: DataFrame, first: int | None = None) -> DataFrame:
     """instance_id, node_id: functions whose name and docstring contain a keyword of the instance.
 
-    Keywords are compared once per repository, however many instances share them. A keyword meets the texts that have its
+    With `first`, of each keyword only so many functions of the smallest ids: seeds of one source and prior go by their
+    ids, so no other can be among as many seeds, and a keyword that all functions have stays small. Keywords are compared once per repository, however many instances share them. A keyword meets the texts that have its
     rarest piece of three characters (or itself, if it is shorter), by an equi-join on repository and piece, and is then
     looked for in them.
     """
@@ -55,6 +56,8 @@ def literal_matches(symptoms: DataFrame, functions: DataFrame) -> DataFrame:
     met = parts.join(held.groupBy("repo", "gram").count(), ["repo", "gram"]).groupBy("repo", "keyword", "_n").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("count", "gram")).alias("_g"))
     rarest = met.filter("_m = _n").select("repo", "keyword", F.col("_g.gram").alias("gram"))
     found = rarest.join(held, ["repo", "gram"]).join(hay, ["repo", "node_id"]).filter(F.col("hay").contains(F.col("keyword"))).select("repo", "keyword", "node_id")
+    if first:
+        found = found.withColumn("_n", F.row_number().over(Window.partitionBy("repo", "keyword").orderBy("node_id"))).filter(F.col("_n") <= first).drop("_n")
     return asked.join(found, ["repo", "keyword"]).select("instance_id", "node_id").distinct()
 
 

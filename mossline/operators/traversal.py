@@ -83,6 +83,11 @@ def bounded_reasoner(batch: list[str], scores: dict[str, float]) -> tuple[list[t
     return [(n, round(10 * max(0.0, scores.get(n, 0.0) / most), 6), [n.rsplit("::", 1)[-1]]) for n in batch] if most > 0 else [], []
 
 
+def silent_reasoner(batch: list[str], scores: dict[str, float]) -> tuple[list[tuple], list[str]]:
+    """No chains and no suggestions: the search goes by similarities and priors alone."""
+    return [], []
+
+
 def search(seeds: Iterable[tuple[str, float]], graph: Graph, limits: Limits = Limits(), reasoner: Reasoner = bounded_reasoner, expansions: tuple[str, ...] = ("invoke", "inherit"), details: dict[str, Found] | None = None) -> tuple[list[tuple[str, float, int, float, list[int]]], str, int]:
     """((node, score, distance, chain score, lines) best first, why it ended, iterations).
 

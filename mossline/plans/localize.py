@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mossline.functions import text as T
@@ -80,14 +80,16 @@ def nearness(files: DataFrame, known: DataFrame, queries: DataFrame) -> DataFram
 def concept_seeds(concepts: DataFrame, known: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """instance_id, run, node_id: members of the concepts of the report's repository that are nearest to the run's report.
 
-    A concept's centroid is the mean of its members' vectors, so it lies in the encoder's space.
+    A concept's centroid is the mean of its members' vectors, so it lies in the encoder's space. Of its members, those of the
+    smallest ids are enough: no more can be among the seeds.
     """
     edges = cut(code_graph.concept_graph(concepts, known)[1].withColumn("concept", F.xxhash64("repo", "dst")))
     members = edges.select("repo", "concept", F.col("src").alias("node_id"))
     centroids = cut(unit_mean(members.join(vectors, ["repo", "node_id"]), group="concept", vector="vector", dimensions=DIMENSIONS).join(edges.select("repo", "concept").distinct(), "concept"))
     case = F.struct("instance_id", "run").alias("case")
     nearest = top_k(queries.select("repo", case, "vector"), centroids, CONCEPTS, query_id="case", record_id="concept", query_vector="vector", record_vector="centroid", dimensions=DIMENSIONS, scope="repo")
-    matched = seeding.concept_matches(nearest.select(F.col("case").alias("instance_id"), F.col("concept").alias("concept_id")), members.withColumnRenamed("concept", "concept_id"))
+    leading = members.withColumn("_n", F.row_number().over(Window.partitionBy("concept").orderBy("node_id"))).filter(F.col("_n") <= seeding.SEED_CAP)
+    matched = seeding.concept_matches(nearest.select(F.col("case").alias("instance_id"), F.col("concept").alias("concept_id")), leading.select(F.col("concept").alias("concept_id"), "node_id"))
     return matched.select("instance_id.*", "node_id")
 
 
@@ -99,7 +101,7 @@ def seeds_of_runs(asked: DataFrame, variants: DataFrame, known: DataFrame, near:
     functions = near.select(case.alias("repo"), "file_path", "node_id", "order_key")
     per_run = lambda frame: frame.join(numbers, "instance_id").select(case, "node_id")
     found = seeding.seeds(
-        stack=per_run(seeding.stack_matches(asked, known)), literal=per_run(seeding.literal_matches(asked, known)), files=seeding.file_matches(own_files, functions),
+        stack=per_run(seeding.stack_matches(asked, known)), literal=per_run(seeding.literal_matches(asked, known, seeding.SEED_CAP)), files=seeding.file_matches(own_files, functions),
         concept=concept.select(case, "node_id") if concept is not None else None,
     )
     return found.select("instance_id.*", "node_id", "prior", "provenance", "rank").join(asked.select("instance_id", "repo"), "instance_id")

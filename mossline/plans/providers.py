@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mossline.functions import blocks
 from mossline.functions import text as T
 from mossline.functions.vectors import hashed_vectors
+from mossline.operators.retrieval import TEXT_ROWS
 from mossline.runtime import cut
 from mossline.sources import replies
 
@@ -39,12 +41,19 @@ def labels(members: DataFrame, n: int = 8) -> DataFrame:
 
 
 def ranked_by_overlap(reports: DataFrame, outlines: DataFrame, k: int = 10) -> DataFrame:
-    """instance_id, file_path, position (from 0): files by how many distinct identifiers they share with the report."""
-    asked = reports.select("instance_id", "repo", F.explode(F.array_distinct(T.identifiers(F.col("text")))).alias("t"))
-    known = outlines.select("repo", "file_path", F.explode(F.array_distinct(T.identifiers(F.col("outline")))).alias("t"))
-    shared = asked.join(known, ["repo", "t"]).groupBy("instance_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("instance_id").orderBy(F.desc("n"), "file_path")
-    return shared.withColumn("position", F.row_number().over(order) - 1).filter(F.col("position") < k).select("instance_id", "file_path", "position")
+    """instance_id, file_path, position (from 0): files of the report's repository by how many distinct identifiers they share with it.
+
+    reports: instance_id, repo, text; outlines: repo, file_path, outline. Pairs are counted in blocks, as in BM25; ties go to the
+    smaller path.
+    """
+
+    def side(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
+        terms = F.transform(F.array_distinct(T.identifiers(F.col(text))), lambda t: F.xxhash64(t))
+        found = rows.select(F.col("repo").alias("scope"), F.col(key).alias(name), terms.alias("t")).filter(F.size("t") > 0)
+        return found.withColumn("w", F.transform("t", lambda _: F.lit(1.0)))
+
+    best = blocks.best(side(reports, "instance_id", "text", "q"), side(outlines, "file_path", "outline", "r"), k, blocks.sparse_kernel(0), query_rows=TEXT_ROWS, record_rows=TEXT_ROWS)
+    return best.select(F.col("q").alias("instance_id"), F.col("r").alias("file_path"), (F.col("rank") - 1).alias("position"))
 
 
 def listwise_by_overlap(head: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from mossline.functions import prompts, vectors
 from mossline.functions import text as T
 from mossline.operators import code_graph, consensus, evaluation, grouping, history, retrieval, seeding, traversal
 from mossline.plans import localize as plan
+from mossline.plans import providers
 from mossline.runtime import cut, table
 from mossline.sources import diffs, replies, skeletons
 
@@ -292,7 +293,7 @@ def seed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, known = cut(_reports(spark, sf_dir)), cut(_functions(spark, sf_dir))
     files = _fused(spark, sf_dir).join(asked.select("instance_id", "repo"), "instance_id")
-    return seeding.seeds(stack=seeding.stack_matches(asked, known), literal=seeding.literal_matches(asked, known), files=seeding.file_matches(files, known))
+    return seeding.seeds(stack=seeding.stack_matches(asked, known), literal=seeding.literal_matches(asked, known, seeding.SEED_CAP), files=seeding.file_matches(files, known))
 
 
 @query(with_parts("reports") + r""", s AS (SELECT instance_id, unnest(list_concat(list_transform(list_distinct(regexp_extract_all(text, '\b([A-Z]\w*(?:Error|Exception|Warning|Overflow))\b', 1)), lambda x: struct_pack(o := 0, kind := 'exception', label := x)),
@@ -648,3 +649,103 @@ def per_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _reports(spark, sf_dir)
     seeds = _seeds(spark, sf_dir).join(asked.select("instance_id", "repo"), "instance_id").join(_functions(spark, sf_dir).select("repo", "node_id", F.concat_ws("::", "file_path", "qualname").alias("function_key")), ["repo", "node_id"])
     return evaluation.per_instance(asked, seeds, _fused(spark, sf_dir))
+
+
+@query(with_parts("funcs") + f""", w AS (SELECT *, list_slice({CODE_TOKENS_SQL.replace("$", "coalesce(name, '')")}, 2, 21) AS l FROM funcs WHERE repo IS NOT NULL),
+d AS (SELECT *, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS words FROM w)
+SELECT repo, node_id, CASE WHEN coalesce(docstring, '') <> '' THEN split_part(docstring, chr(10), 1) WHEN words <> '' THEN words ELSE name END AS summary FROM d""")
+def function_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line about each function, from its docstring or the words of its name."""
+    known = _functions(spark, sf_dir).filter("repo is not null").withColumn("node_id", F.struct("repo", "node_id"))
+    return providers.summaries(known).select("node_id.*", "summary")
+
+
+@query(with_parts("funcs") + r""", m AS (SELECT DISTINCT c.repo, c.label AS cluster, f.node_id, f.docstring FROM (SELECT DISTINCT repo, label, unnest(member_function_ids) AS m FROM concepts WHERE label IS NOT NULL AND label <> '') c JOIN funcs f ON f.repo = c.repo AND f.node_id = 'func::' || c.m),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo, cluster ORDER BY node_id, docstring) AS k FROM m),
+w AS (SELECT repo, cluster, w, count(*) AS n FROM (SELECT repo, cluster, unnest(list_transform(regexp_extract_all(coalesce(docstring, ''), '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))) AS w FROM k WHERE k <= 8) GROUP BY ALL),
+b AS (SELECT repo, cluster, string_agg(w, ' ' ORDER BY r) AS label FROM (SELECT *, row_number() OVER (PARTITION BY repo, cluster ORDER BY n DESC, w) AS r FROM w) WHERE r <= 3 GROUP BY repo, cluster)
+SELECT c.repo, c.cluster, left(coalesce(label, ''), 60) AS words FROM (SELECT DISTINCT repo, cluster FROM k) c LEFT JOIN b USING (repo, cluster)""")
+def concept_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label for each concept, the most frequent words of its first members' docstrings."""
+    known = _functions(spark, sf_dir)
+    edges = code_graph.concept_graph(table(spark, sf_dir, "concepts"), known)[1]
+    members = edges.join(known.select("repo", F.col("node_id").alias("src"), "docstring"), ["repo", "src"])
+    named = members.select(F.struct("repo", F.substring("dst", len("concept::") + 1, 10_000).alias("cluster")).alias("cluster"), F.col("src").alias("node_id"), F.col("docstring").alias("summary"))
+    return providers.labels(named).select("cluster.*", F.col("label").alias("words"))
+
+
+@query(with_parts("files", "reports") + """, f AS (SELECT DISTINCT repo, file_path, lower(unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]+'))) AS t FROM files),
+q AS (SELECT DISTINCT instance_id, repo, lower(unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'))) AS t FROM reports)
+SELECT instance_id, file_path, position FROM (SELECT instance_id, file_path, (row_number() OVER (PARTITION BY instance_id ORDER BY count(*) DESC, file_path) - 1)::INT AS position FROM q JOIN f USING (repo, t) GROUP BY instance_id, file_path) WHERE position < 10""")
+def overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten files that share most identifiers with each report, the order used without a model."""
+    return providers.ranked_by_overlap(_reports(spark, sf_dir), _files(spark, sf_dir).withColumnRenamed("content", "outline"))
+
+
+@query(SEEDS + """, c AS (SELECT instance_id, node_id FROM seeded WHERE rank <= 5),
+extra AS (SELECT instance_id, node_id FROM (SELECT f.instance_id, n.node_id, row_number() OVER (PARTITION BY f.instance_id, f.file_path ORDER BY coalesce(n.start_line, 0), n.node_id) AS k FROM fused f JOIN reports r USING (instance_id) JOIN funcs n ON n.repo = r.repo AND n.file_path = f.file_path
+  WHERE f.rank < 3 AND NOT EXISTS (SELECT 1 FROM c WHERE c.instance_id = f.instance_id AND c.node_id = n.node_id)) WHERE k <= 3)
+SELECT * FROM c UNION SELECT * FROM extra""")
+def extended_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best seeds and of each report's first three files the first three functions that aren't among them."""
+    candidates = cut(_seeds(spark, sf_dir).filter("rank <= 5").select("instance_id", "node_id"))
+    return consensus.extended_pool(candidates, _files_of_issues(spark, sf_dir), _functions(spark, sf_dir))
+
+
+@query(SEEDS + ", " + SQL["hunks"] + """, inside AS (SELECT h.instance_id, f.node_id, h.start_line AS line, row_number() OVER (PARTITION BY h.instance_id, h.file_path, h.start_line ORDER BY f.start_line DESC, f.end_line, f.node_id DESC) AS k
+  FROM (SELECT DISTINCT instance_id, file_path, start_line FROM hunks) h JOIN reports r USING (instance_id) JOIN funcs f ON f.repo = r.repo AND f.file_path = h.file_path AND h.start_line BETWEEN f.start_line AND f.end_line),
+drilled AS (SELECT instance_id, node_id, min(line) AS a, max(line) AS b FROM inside WHERE k = 1 GROUP BY ALL)
+SELECT instance_id, node_id, coalesce(a, start_line) AS start_line, coalesce(b, end_line) AS end_line FROM seeded JOIN reports USING (instance_id) JOIN funcs USING (repo, node_id) LEFT JOIN drilled USING (instance_id, node_id)""")
+def suspect_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines to look at in each seed: those that its report's patch touches, as if drilled into, else all of it."""
+    seeds = _seeds(spark, sf_dir).join(_reports(spark, sf_dir).select("instance_id", "repo"), "instance_id")
+    spans = seeds.join(_functions(spark, sf_dir).select("repo", "node_id", "start_line", "end_line"), ["repo", "node_id"])
+    return consensus.suspect_lines(spans, enclosing_deepest(spark, sf_dir))
+
+
+ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+@query(with_parts("reports") + r""", p AS (SELECT instance_id, regexp_extract_all(text, '\b([A-Z]\w*(?:Error|Exception|Warning|Overflow))\b', 1) AS e, regexp_extract_all(text, '(?m)^[A-Z]\w*(?:Error|Exception|Warning|Overflow): (.+)$', 1) AS m,
+  list_transform(regexp_extract_all(text, 'File "[^"\n]+", line \d+, in \w+'), lambda f: regexp_replace(f, 'File "([^"\n]+)", line (\d+), in (\w+)', '\1:\2 in \3')) AS s, regexp_extract_all(text, '`([A-Za-z_][\w.]*)`', 1) AS a FROM reports)
+""" + f"SELECT instance_id, concat_ws(chr(10), CASE WHEN len(e) > 0 THEN 'Exceptions: ' || array_to_string({ONCE.format('e')}, ', ') END, CASE WHEN len(m) > 0 THEN 'Errors: ' || array_to_string(list_slice({ONCE.format('m')}, 1, 5), ' | ') END, CASE WHEN len(s) > 0 THEN 'Stack: ' || array_to_string(s, '; ') END, CASE WHEN len(a) > 0 THEN 'APIs: ' || array_to_string({ONCE.format('a')}, ', ') END) AS said FROM p")
+def symptom_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symptoms of each report as labelled lines."""
+    return _reports(spark, sf_dir).select("instance_id", T.symptom_text(F.col("symptoms")).alias("said"))
+
+
+@query(with_parts("reports") + "SELECT instance_id, run, CASE WHEN run = 1 THEN text || chr(10) || chr(10) || '[seed=2]' ELSE text END AS text FROM reports, (VALUES (0), (1), (2)) AS r(run)")
+def run_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each report as three runs see it."""
+    variants = plan.distinct_variants(_reports(spark, sf_dir), 3)
+    return variants.select("instance_id", F.explode("runs").alias("run"), "text")
+
+
+@query(with_parts("positions") + """, p AS (SELECT instance_id, file_path, min(position + 1) AS r FROM positions WHERE position < 50 GROUP BY instance_id, file_path)
+SELECT instance_id, file_path, row_number() OVER (PARTITION BY instance_id ORDER BY r, file_path)::INT AS rank FROM p""")
+def predictions_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all lists of an issue by their first place, each once."""
+    return evaluation.ranked_once(retrieval.list_positions(table(spark, sf_dir, "rankings")).withColumn("rank", F.col("position") + 1), "file_path")
+
+
+@query(with_parts("reports") + """SELECT instance_id, 'List what the report says went wrong. Answer with JSON with the keys exception_types, error_messages, stack_frames (file, func, line), behaviors, api_calls_named.' || chr(10) || chr(10) || 'Report:' || chr(10) || left(text, 6000) AS content, 'user' AS role FROM reports""")
+def symptom_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message that asks a model for the symptoms of each report."""
+    said = _reports(spark, sf_dir).select("instance_id", F.explode(prompts.messages(prompts.symptom_prompt(F.col("text")))).alias("m"))
+    return said.select("instance_id", "m.content", "m.role")
+
+
+@query(SEEDS + """, s AS (SELECT instance_id, node_id, rank, prior, round(least(1.0, length(coalesce(docstring, '')) / 100.0), 6)::DOUBLE AS sem FROM seeded JOIN reports USING (instance_id) JOIN funcs USING (repo, node_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY sem + 0.6::DOUBLE * prior + 0.2::DOUBLE DESC, rank) AS i FROM s),
+t AS (SELECT a.instance_id, a.i, list_slice(list(b.node_id ORDER BY b.sem DESC, b.i), 1, 3) AS top FROM o a JOIN o b ON b.instance_id = a.instance_id AND b.i <= a.i GROUP BY a.instance_id, a.i),
+e AS (SELECT instance_id, i, top = lag(top) OVER w AND top = lag(top, 2) OVER w AND top = lag(top, 3) OVER w AS still FROM t WINDOW w AS (PARTITION BY instance_id ORDER BY i)),
+stop AS (SELECT instance_id, min(i) AS stop FROM e WHERE still AND i >= 6 GROUP BY instance_id)
+SELECT instance_id, node_id, sem AS score, r AS rank FROM (SELECT o.*, row_number() OVER (PARTITION BY o.instance_id ORDER BY sem DESC, i)::INT AS r FROM o LEFT JOIN stop USING (instance_id) WHERE i <= coalesce(stop, 30)) WHERE r <= 15""")
+def search_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-first searches of the seeds alone, by priority until the best three stay the same, scored by the length of docstrings."""
+    asked = _reports(spark, sf_dir).select("instance_id", "repo")
+    seeds = cut(_seeds(spark, sf_dir).join(asked, "instance_id").withColumn("run", F.lit(0)))
+    sem = F.round(F.least(F.lit(1.0), F.length(F.coalesce("docstring", F.lit(""))) / 100.0), 6)
+    scores = seeds.select("instance_id", "repo", "node_id").join(_functions(spark, sf_dir).select("repo", "node_id", sem.alias("sem")), ["repo", "node_id"])
+    edges = spark.createDataFrame([], "repo string, src string, dst string, edge_type string")
+    return traversal.traversed(seeds, edges, cut(scores), reasoner=traversal.silent_reasoner).select("instance_id", "node_id", "score", "rank")
