@@ -276,7 +276,7 @@ def split_texts(items: DataFrame, *, key: str, text: str, limit: int = LIMIT, ov
 
     Only texts of more than `limit` code points are cut; others, and null ones, give no row. Joining the parts of all
     pieces from where the one before ends gives the text again. longest_line is that of the whole text. Null keys are
-    dropped; keys must be unique.
+    dropped; of a key's rows the one with the longest text counts, then the one with the larger hash of it.
     """
     slices = _slices(items, key, text, limit, overlap, range_bytes, segment_bytes)
     return _named(emitted(offsets_of(slices, limit, overlap, segment_bytes), slices, range_bytes), key, "_piece")
@@ -288,7 +288,8 @@ def _slices(items: DataFrame, key: str, text: str, limit: int, overlap: int, ran
     if segment_bytes < 8 * limit or range_bytes < 1:
         raise ValueError("a segment must hold eight times the limit")
     long = items.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter((F.length("_text") > limit) & F.col("_id").isNotNull())
-    return slices_of_texts(long, limit, overlap, range_bytes)
+    once = long.groupBy("_id").agg(F.max_by("_text", F.struct(F.length("_text"), F.xxhash64("_text"))).alias("_text"))
+    return slices_of_texts(once, limit, overlap, range_bytes)
 
 
 def _named(pieces: DataFrame, key: str, *more: str) -> DataFrame:
@@ -318,7 +319,7 @@ def slices_of_files(files: DataFrame, limit: int, overlap: int, range_bytes: int
     """The same columns as `slices_of_texts`, read from files by their ranges."""
     left, right = halos(limit, overlap)
     n = F.ceil(F.col("n_bytes") / range_bytes).cast("long")
-    work = files.filter("n_bytes > 0").select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("no")).repartition("path", "no")
+    work = files.filter("n_bytes > 0 and path is not null").groupBy("path").agg(F.max("n_bytes").alias("n_bytes")).select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("no")).repartition("path", "no")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -103,6 +103,14 @@ def test_files_by_byte_ranges(spark, tmp_path):
     assert S.split_files(files, range_bytes=1 << 20).orderBy("path", "piece_no").collect() == rows
 
 
+def test_repeated_and_missing_keys(spark):
+    long, other = "a b\n" * 900, "c d\n" * 700
+    frame = spark.createDataFrame([("k", long, 1), ("k", long, 2), ("k", other, 3), (None, long, 4), ("n", None, 5)], "k string, t string, _text int")
+    rows = S.split_texts(frame, key="k", text="t").orderBy("piece_no").collect()
+    assert {r.k for r in rows} == {"k"} and rows[-1].end_char == len(long) and all(r.piece == long[r.start_char : r.end_char] for r in rows)
+    assert [r.piece_no for r in rows] == list(range(len(rows)))
+
+
 def test_bytes_that_are_no_text_count_one_each(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"ok \xff\xfe\x80 end\n" * 700)
     rows = S.split_files(S.files_below(spark, str(tmp_path)), range_bytes=999).orderBy("piece_no").collect()
