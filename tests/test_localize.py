@@ -49,3 +49,21 @@ def test_repositories_do_not_mix(spark):
     assert (found["is", "setup.py::load"].start_line, found["is", "setup.py::load"].end_line) == (77, 77)
     assert found["ir", "setup.py::load"].chain == ["load"] and {r.ended for r in searches["searches"].collect()} <= {"stable", "queue_empty", "iter_cap"}
     assert all(r.node_id in (name("load"), name("parse"), name("only_r")) for r in searches["searches"].filter("instance_id = 'ir'").collect())
+
+
+def test_empty_tables_and_missing_values(spark):
+    t = datetime(2024, 1, 1)
+    issue, ranking = "instance_id string, repo string, problem_statement string, created_at timestamp", "instance_id string, repo string, retriever string, file_path string, rank int, score double"
+    concept = "repo string, label string, member_function_ids array<string>, built_at timestamp, centroid array<double>"
+    nodes = spark.createDataFrame([("r", "func::a.py::f", "function", "a.py", "f", "f", 1, 5, None, None), (None, "func::a.py::f", "function", "a.py", "f", "f", 1, 5, "", ""), ("r", None, "function", None, None, None, None, None, None, None)], REPO)
+    edges = spark.createDataFrame([], "repo string, src string, dst string, edge_type string")
+    issues = spark.createDataFrame([("i", "r", None, None), ("j", None, "f fails", t), (None, "r", "x", t), ("i", "r", None, None)], issue)
+    rankings = spark.createDataFrame([("i", "r", "bm25", "a.py", 1, None), ("i", "r", "bm25", "a.py", 1, None), ("i", "r", None, "a.py", None, 1.0), ("j", None, "dense", None, 1, 1.0)], ranking)
+    concepts = spark.createDataFrame([("r", None, ["a.py::f"], t, None), ("r", "x", None, t, None), ("r", "y", ["a.py::f", None, "no"], None, None)], concept)
+    sizes = spark.createDataFrame([("r", 10), (None, 5)], "repo string, chars bigint")
+    statements = spark.createDataFrame([("r", "func::a.py::f", 2, None)], "repo string, node_id string, line int, text string")
+    found = localize(issues, rankings, Index(nodes, edges, concepts, statements, sizes)).collect()
+    assert [(r.instance_id, r.function_key, r.appearances) for r in found] == [("i", "a.py::f", 3)]
+    none = lambda frame: frame.limit(0)
+    assert localize(none(issues), none(rankings), Index(none(nodes), edges, none(concepts), none(statements), none(sizes))).count() == 0
+    assert localize(issues, none(rankings), Index(nodes, edges)).count() == 0
