@@ -749,3 +749,55 @@ def search_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = seeds.select("instance_id", "repo", "node_id").join(_functions(spark, sf_dir).select("repo", "node_id", sem.alias("sem")), ["repo", "node_id"])
     edges = spark.createDataFrame([], "repo string, src string, dst string, edge_type string")
     return traversal.traversed(seeds, edges, cut(scores), reasoner=traversal.silent_reasoner).select("instance_id", "node_id", "score", "rank")
+
+
+OUTLINED = with_parts("files") + r""", fn AS (SELECT repo, file_path, qualname, split_part(qualname, '.', -1) AS name, CASE WHEN contains(qualname, '.') THEN regexp_replace(qualname, '[.][^.]*$', '') END AS owner, start_line, code
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo, node_id ORDER BY ingested_at DESC) AS k FROM nodes WHERE node_type = 'function' AND node_id IS NOT NULL) JOIN (SELECT repo, file_path FROM files) USING (repo, file_path) WHERE k = 1 AND qualname IS NOT NULL),
+up AS (SELECT DISTINCT repo, file_path, i, len(p) AS n, array_to_string(list_slice(p, 1, i), '/') AS d FROM (SELECT repo, file_path, p, unnest(range(1, len(p))) AS i FROM (SELECT repo, file_path, string_split(file_path, '/') AS p FROM files)))
+"""
+
+
+def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skeletons made of the table of nodes instead of the parser: what precedes a function's name is its class, calls and imports are found by patterns."""
+    files = _files(spark, sf_dir).select("repo", "file_path", F.regexp_extract_all("content", F.lit(r"(?:^|[\r\n])((?:from|import) [^\r\n]*)"), F.lit(1)).alias("imports"), F.lit(0).alias("n_lines"))
+    known = plan.functions(table(spark, sf_dir, "nodes"), code=True).filter("qualname is not null")
+    parts = known.select("repo", "file_path", "qualname", F.when(F.col("qualname").contains("."), F.regexp_replace("qualname", "[.][^.]*$", "")).alias("owner"), "start_line", "code")
+    own = F.struct(T.last_part(F.col("qualname")).alias("name"), "qualname", "start_line", F.lit(0).alias("end_line"), F.lit("").alias("docstring"), F.lit("()").alias("signature"))
+    called = F.transform(F.regexp_extract_all(F.coalesce("code", F.lit("")), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)), lambda c: F.struct(F.col("qualname").alias("caller"), c.alias("callee"), F.col("start_line").alias("line")))
+    owners = parts.groupBy("repo", "file_path", "owner").agg(F.collect_list(own).alias("f"), F.flatten(F.collect_list(called)).alias("c"))
+    classes = F.struct(F.col("owner").alias("name"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array().cast("array<string>").alias("bases"), F.lit("").alias("docstring"), F.col("f").alias("methods"))
+    whole = owners.groupBy("repo", "file_path").agg(F.collect_list(F.when(F.col("owner").isNotNull(), classes)).alias("classes"), F.flatten(F.collect_list(F.when(F.col("owner").isNull(), F.col("f")))).alias("functions"), F.flatten(F.collect_list("c")).alias("calls"))
+    return files.join(whole, ["repo", "file_path"], "left")
+
+
+@query(OUTLINED + """SELECT DISTINCT repo, 'dir::' || d AS node_id, 'directory' AS node_type, split_part(d, '/', -1) AS name, d AS file_path FROM up
+UNION ALL SELECT repo, 'file::' || file_path, 'file', split_part(file_path, '/', -1), file_path FROM files
+UNION ALL SELECT DISTINCT repo, 'class::' || file_path || '::' || owner, 'class', owner, file_path FROM fn WHERE owner IS NOT NULL
+UNION ALL SELECT DISTINCT repo, 'func::' || file_path || '::' || qualname, 'function', name, file_path FROM fn""")
+def outlined_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the code graph, as made of skeletons."""
+    return code_graph.graph_nodes(cut(_outlined(spark, sf_dir))).select("repo", "node_id", "node_type", "name", "file_path")
+
+
+@query(OUTLINED + r""", st AS (SELECT repo, file_path, unnest(regexp_extract_all(content, '(?:^|[\r\n])((?:from|import) [^\r\n]*)', 1)) AS s FROM files),
+im AS (SELECT DISTINCT repo, file_path, replace(coalesce(nullif(regexp_extract(s, '^\s*from\s+\.*([\w.]*)\s*import\b', 1), ''), nullif(regexp_extract(s, '^\s*import\s+([\w.]+)', 1), '')), '.', '/') || '.py' AS target FROM st),
+ca AS (SELECT DISTINCT repo, file_path, 'func::' || file_path || '::' || qualname AS src, start_line AS line, unnest(regexp_extract_all(coalesce(code, ''), '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM fn),
+ids AS (SELECT repo, file_path, name, qualname, owner, 'func::' || file_path || '::' || qualname AS node_id FROM fn),
+here AS (SELECT repo, file_path, name, arg_min(node_id, qualname) AS here FROM ids GROUP BY ALL),
+single AS (SELECT repo, name, min(node_id) AS there FROM ids GROUP BY repo, name HAVING count(DISTINCT node_id) = 1 AND max(owner) IS NULL),
+called AS (SELECT repo, src, coalesce(here, there) AS dst, max(line) AS line FROM ca LEFT JOIN here USING (repo, file_path, name) LEFT JOIN single USING (repo, name) WHERE coalesce(here, there) <> src GROUP BY ALL)
+SELECT DISTINCT a.repo, 'dir::' || a.d AS src, 'dir::' || b.d AS dst, 'contain' AS edge_type, NULL::INT AS line FROM up a JOIN up b ON b.repo = a.repo AND b.file_path = a.file_path AND b.i = a.i + 1
+UNION ALL SELECT repo, 'dir::' || d, 'file::' || file_path, 'contain', NULL FROM up WHERE i = n - 1
+UNION ALL SELECT DISTINCT repo, 'file::' || file_path, 'class::' || file_path || '::' || owner, 'contain', NULL FROM fn WHERE owner IS NOT NULL
+UNION ALL SELECT DISTINCT repo, CASE WHEN owner IS NULL THEN 'file::' || file_path ELSE 'class::' || file_path || '::' || owner END, 'func::' || file_path || '::' || qualname, 'contain', NULL FROM fn
+UNION ALL SELECT DISTINCT im.repo, 'file::' || im.file_path, 'file::' || target, 'import', NULL FROM im JOIN files f ON f.repo = im.repo AND f.file_path = target
+UNION ALL SELECT repo, src, dst, 'invoke', line::INT FROM called""")
+def outlined_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contain, import and invoke edges, as made of skeletons."""
+    return code_graph.structural_edges(cut(_outlined(spark, sf_dir))).select("repo", "src", "dst", "edge_type", "line")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x{0b}\f\r]+'))::INT AS n FROM documents")
+def whitespace_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens blanks separate in each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.whitespace_tokens(F.col("text")).alias("n"))
