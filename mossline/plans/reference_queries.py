@@ -758,8 +758,11 @@ up AS (SELECT DISTINCT repo, file_path, i, len(p) AS n, array_to_string(list_sli
 
 
 def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skeletons made of the table of nodes instead of the parser: what precedes a function's name is its class, calls and imports are found by patterns."""
-    files = _files(spark, sf_dir).select("repo", "file_path", F.regexp_extract_all("content", F.lit(r"(?:^|[\r\n])((?:from|import) [^\r\n]*)"), F.lit(1)).alias("imports"), F.lit(0).alias("n_lines"))
+    """Skeletons made of the table of nodes instead of the parser: what precedes a function's name is its class, calls and imports are found by patterns, and each file also imports the one before it."""
+    before = F.lag("file_path").over(Window.partitionBy("repo").orderBy("file_path"))
+    one = F.concat(F.lit("from "), F.translate(F.regexp_replace(before, "[.]py$", ""), "/", "."), F.lit(" import x"))
+    own_imports = F.regexp_extract_all("content", F.lit(r"(?:^|[\r\n])((?:from|import) [^\r\n]*)"), F.lit(1))
+    files = _files(spark, sf_dir).select("repo", "file_path", F.array_compact(F.concat(own_imports, F.array(one))).alias("imports"), F.lit(0).alias("n_lines"))
     known = plan.functions(table(spark, sf_dir, "nodes"), code=True).filter("qualname is not null")
     parts = known.select("repo", "file_path", "qualname", F.when(F.col("qualname").contains("."), F.regexp_replace("qualname", "[.][^.]*$", "")).alias("owner"), "start_line", "code")
     own = F.struct(T.last_part(F.col("qualname")).alias("name"), "qualname", "start_line", F.lit(0).alias("end_line"), F.lit("").alias("docstring"), F.lit("()").alias("signature"))
@@ -779,7 +782,7 @@ def outlined_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph.graph_nodes(cut(_outlined(spark, sf_dir))).select("repo", "node_id", "node_type", "name", "file_path")
 
 
-@query(OUTLINED + r""", st AS (SELECT repo, file_path, unnest(regexp_extract_all(content, '(?:^|[\r\n])((?:from|import) [^\r\n]*)', 1)) AS s FROM files),
+@query(OUTLINED + r""", st AS (SELECT repo, file_path, unnest(regexp_extract_all(content, '(?:^|[\r\n])((?:from|import) [^\r\n]*)', 1)) AS s FROM files UNION ALL SELECT repo, file_path, 'from ' || replace(regexp_replace(lag(file_path) OVER (PARTITION BY repo ORDER BY file_path), '[.]py$', ''), '/', '.') || ' import x' FROM files),
 im AS (SELECT DISTINCT repo, file_path, replace(coalesce(nullif(regexp_extract(s, '^\s*from\s+\.*([\w.]*)\s*import\b', 1), ''), nullif(regexp_extract(s, '^\s*import\s+([\w.]+)', 1), '')), '.', '/') || '.py' AS target FROM st),
 ca AS (SELECT DISTINCT repo, file_path, 'func::' || file_path || '::' || qualname AS src, start_line AS line, unnest(regexp_extract_all(coalesce(code, ''), '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM fn),
 ids AS (SELECT repo, file_path, name, qualname, owner, 'func::' || file_path || '::' || qualname AS node_id FROM fn),
