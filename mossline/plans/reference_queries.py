@@ -12,7 +12,7 @@ from mossline.functions import text as T
 from mossline.operators import code_graph, consensus, evaluation, grouping, history, retrieval, seeding, traversal
 from mossline.plans import localize as plan
 from mossline.plans import providers
-from mossline.runtime import cut, table
+from mossline.runtime import cut, table, table_folder
 from mossline.sources import diffs, replies, skeletons
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,10 +324,10 @@ REQUESTS = """requests AS (SELECT instance_id, repo, created_at, sha256('{"messa
   FROM issues WHERE instance_id IS NOT NULL AND created_at IS NOT NULL AND repo IS NOT NULL)"""
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _requests(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     rows = table(spark, sf_dir, "issues").filter("instance_id is not null and created_at is not null and repo is not null")
     key = T.request_key(model=F.lit("local"), mode=F.lit("non-think"), messages=prompts.messages(F.coalesce("problem_statement", F.lit(""))), response_format=F.struct(F.lit("object").alias("type")), temperature=F.lit(0.0), seed=F.lit(0))
-    return rows.select("instance_id", "repo", "created_at", key.alias("key"))
+    return rows.select("instance_id", "repo", "created_at", key.alias("key"), F.coalesce("problem_statement", F.lit("")).alias("prompt")).select("instance_id", "repo", "created_at", "key", *more)
 
 
 @query(f"WITH {REQUESTS} SELECT DISTINCT instance_id, key FROM requests")
@@ -751,7 +751,7 @@ def search_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.traversed(seeds, edges, cut(scores), reasoner=traversal.silent_reasoner).select("instance_id", "node_id", "score", "rank")
 
 
-OUTLINED = with_parts("files") + r""", fn AS (SELECT repo, file_path, qualname, split_part(qualname, '.', -1) AS name, CASE WHEN contains(qualname, '.') THEN regexp_replace(qualname, '[.][^.]*$', '') END AS owner, start_line, code
+OUTLINED = with_parts("files") + r""", fn AS (SELECT repo, file_path, qualname, split_part(qualname, '.', -1) AS name, CASE WHEN contains(qualname, '.') THEN regexp_replace(qualname, '[.][^.]*$', '') END AS owner, start_line, coalesce(docstring, '') AS docstring, code
   FROM (SELECT *, row_number() OVER (PARTITION BY repo, node_id ORDER BY ingested_at DESC) AS k FROM nodes WHERE node_type = 'function' AND node_id IS NOT NULL) JOIN (SELECT repo, file_path FROM files) USING (repo, file_path) WHERE k = 1 AND qualname IS NOT NULL),
 up AS (SELECT DISTINCT repo, file_path, i, len(p) AS n, array_to_string(list_slice(p, 1, i), '/') AS d FROM (SELECT repo, file_path, p, unnest(range(1, len(p))) AS i FROM (SELECT repo, file_path, string_split(file_path, '/') AS p FROM files)))
 """
@@ -764,12 +764,12 @@ def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
     own_imports = F.regexp_extract_all("content", F.lit(r"(?:^|[\r\n])((?:from|import) [^\r\n]*)"), F.lit(1))
     files = _files(spark, sf_dir).select("repo", "file_path", F.array_compact(F.concat(own_imports, F.array(one))).alias("imports"), F.lit(0).alias("n_lines"))
     known = plan.functions(table(spark, sf_dir, "nodes"), code=True).filter("qualname is not null")
-    parts = known.select("repo", "file_path", "qualname", F.when(F.col("qualname").contains("."), F.regexp_replace("qualname", "[.][^.]*$", "")).alias("owner"), "start_line", "code")
-    own = F.struct(T.last_part(F.col("qualname")).alias("name"), "qualname", "start_line", F.lit(0).alias("end_line"), F.lit("").alias("docstring"), F.lit("()").alias("signature"))
+    parts = known.select("repo", "file_path", "qualname", F.when(F.col("qualname").contains("."), F.regexp_replace("qualname", "[.][^.]*$", "")).alias("owner"), "start_line", "docstring", "code")
+    own = F.struct(T.last_part(F.col("qualname")).alias("name"), "qualname", "start_line", F.lit(0).alias("end_line"), F.coalesce("docstring", F.lit("")).alias("docstring"), F.lit("()").alias("signature"))
     called = F.transform(F.regexp_extract_all(F.coalesce("code", F.lit("")), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)), lambda c: F.struct(F.col("qualname").alias("caller"), c.alias("callee"), F.col("start_line").alias("line")))
-    owners = parts.groupBy("repo", "file_path", "owner").agg(F.collect_list(own).alias("f"), F.flatten(F.collect_list(called)).alias("c"))
+    owners = parts.groupBy("repo", "file_path", "owner").agg(F.sort_array(F.collect_list(own)).alias("f"), F.flatten(F.collect_list(called)).alias("c"))
     classes = F.struct(F.col("owner").alias("name"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array().cast("array<string>").alias("bases"), F.lit("").alias("docstring"), F.col("f").alias("methods"))
-    whole = owners.groupBy("repo", "file_path").agg(F.collect_list(F.when(F.col("owner").isNotNull(), classes)).alias("classes"), F.flatten(F.collect_list(F.when(F.col("owner").isNull(), F.col("f")))).alias("functions"), F.flatten(F.collect_list("c")).alias("calls"))
+    whole = owners.groupBy("repo", "file_path").agg(F.sort_array(F.collect_list(F.when(F.col("owner").isNotNull(), classes))).alias("classes"), F.flatten(F.collect_list(F.when(F.col("owner").isNull(), F.col("f")))).alias("functions"), F.flatten(F.collect_list("c")).alias("calls"))
     return files.join(whole, ["repo", "file_path"], "left")
 
 
@@ -804,3 +804,39 @@ def outlined_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whitespace_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens blanks separate in each document."""
     return table(spark, sf_dir, "documents").select("doc_id", T.whitespace_tokens(F.col("text")).alias("n"))
+
+
+@query(OUTLINED + r""", im AS (SELECT repo, file_path, list_slice(list_filter(list_concat(regexp_extract_all(content, '(?:^|[\r\n])((?:from|import) [^\r\n]*)', 1), ['from ' || replace(regexp_replace(lag(file_path) OVER (PARTITION BY repo ORDER BY file_path), '[.]py$', ''), '/', '.') || ' import x']), lambda x: x IS NOT NULL), 1, 50) AS i FROM files),
+de AS (SELECT repo, file_path, owner, string_agg(CASE WHEN owner IS NULL THEN '' ELSE '  ' END || 'def ' || name || '()' || CASE WHEN docstring <> '' THEN chr(10) || CASE WHEN owner IS NULL THEN '' ELSE '  ' END || '  ' || repeat(chr(34), 3) || left(docstring, 120) || repeat(chr(34), 3) ELSE '' END, chr(10) ORDER BY name, qualname) AS body FROM fn GROUP BY ALL),
+cl AS (SELECT repo, file_path, string_agg('class ' || owner || chr(10) || body, chr(10) ORDER BY owner) AS classes FROM de WHERE owner IS NOT NULL GROUP BY ALL)
+SELECT im.repo, im.file_path, concat_ws(chr(10), 'FILE: ' || im.file_path, CASE WHEN len(i) > 0 THEN 'IMPORTS: ' || array_to_string(i, ', ') END, classes, body) AS outline FROM im LEFT JOIN cl USING (repo, file_path) LEFT JOIN (SELECT * FROM de WHERE owner IS NULL) de ON de.repo = im.repo AND de.file_path = im.file_path""")
+def outlined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of skeletons that were written as JSON lines and read again."""
+    path = table_folder(spark)
+    skeletons.write_skeletons(_outlined(spark, sf_dir), path)
+    return skeletons.outline_text(skeletons.read_skeletons(spark, path))
+
+
+@query("SELECT repo, src, dst FROM (" + ORACLES["outlined_edges"] + ") WHERE edge_type = 'invoke'")
+def saved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between functions, out of a graph that was saved in folders by repository and type and loaded again."""
+    path, rows = table_folder(spark), cut(_outlined(spark, sf_dir))
+    code_graph.save_graph(code_graph.graph_nodes(rows), code_graph.structural_edges(rows), path)
+    nodes, edges = code_graph.load_graph(spark, path)
+    known = nodes.filter("node_type = 'function'").select("repo", F.col("node_id").alias("src"))
+    return edges.filter("edge_type = 'invoke'").join(known, ["repo", "src"], "left_semi").select("repo", "src", "dst")
+
+
+@query(f"WITH {REQUESTS}, known AS (SELECT DISTINCT r.key FROM requests r JOIN issues i USING (instance_id) WHERE i.patch IS NULL OR i.patch = '')" + """
+SELECT DISTINCT r.instance_id, r.key, CASE WHEN r.key IN (SELECT key FROM known) THEN 'cached' ELSE length(coalesce(i.problem_statement, ''))::VARCHAR END AS text
+FROM requests r JOIN issues i ON i.instance_id = r.instance_id AND i.created_at = r.created_at AND i.repo = r.repo
+WHERE r.key = sha256('{"messages":[{"content":' || to_json(coalesce(i.problem_statement, ''))::VARCHAR || ',"role":"user"}],"mode":"non-think","model":"local","response_format":{"type":"object"},"seed":0,"temperature":0.0}')""")
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to all requests, those to reports without a patch out of a cache, the rest asked of a model that counts characters."""
+    rows = table(spark, sf_dir, "issues").filter("instance_id is not null").select("instance_id", "patch").distinct()
+    requests = _requests(spark, sf_dir, "prompt").select("instance_id", "key", "prompt").distinct()
+    known = requests.join(rows.filter("patch is null or patch = ''"), "instance_id", "left_semi").select("key", F.lit("cached").alias("text"), F.lit(None).cast("string").alias("reasoning")).distinct()
+    path = table_folder(spark)
+    replies.add(known, path)
+    every, _ = providers.answered(requests, replies.read(spark, path), lambda prompt: (str(len(prompt)), None))
+    return every.select("instance_id", "key", "text").distinct()

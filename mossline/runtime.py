@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,17 +54,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
-
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a local one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder below the cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a local one is made."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"mossline-{os.getpid()}"))
+    return context.getCheckpointDir()
+
+
+def table_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, for a table that is written and read again."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
