@@ -67,7 +67,7 @@ def drawn(candidates: DataFrame, n: int = 8) -> DataFrame:
 
     candidates: instance_id, rank (from 1), node_id, file_path, qualname.
     """
-    name = F.concat(F.lit("n"), F.pmod(F.xxhash64("node_id"), F.lit(10**8)).cast("string"))
+    name = F.concat(F.lit("n"), F.substring(F.md5("node_id"), 1, 8))
     line = F.concat(F.lit("  "), name, F.lit('["'), F.element_at(F.split("file_path", "/"), -1), F.lit("::"), F.col("qualname"), F.lit('"]'))
     rows = candidates.filter(F.col("rank") <= n).groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
     return rows.select("instance_id", F.concat(F.lit("graph TD\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("drawing"))

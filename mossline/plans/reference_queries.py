@@ -840,3 +840,26 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies.add(known, path)
     every, _ = providers.answered(requests, replies.read(spark, path), lambda prompt: (str(len(prompt)), None))
     return every.select("instance_id", "key", "text").distinct()
+
+
+@query(r"""WITH fn AS (SELECT repo, node_id, code FROM (SELECT *, row_number() OVER (PARTITION BY repo, node_id ORDER BY ingested_at DESC) AS k FROM nodes WHERE node_type = 'function' AND node_id IS NOT NULL) WHERE k = 1 AND repo IS NOT NULL AND code IS NOT NULL),
+l AS (SELECT repo, node_id, i AS line, t[i] AS s FROM (SELECT repo, node_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT repo, node_id, regexp_split_to_array(code, '\r\n|\r|\n') AS t FROM fn))),
+m AS (SELECT repo, node_id, line, var, bool_or(def) AS def, bool_or(NOT def) AS use FROM (SELECT repo, node_id, line, unnest(regexp_extract_all(s, '^\s*([A-Za-z_][A-Za-z0-9_]*) *=[^=]', 1)) AS var, true AS def FROM l
+  UNION ALL SELECT repo, node_id, line, unnest(regexp_extract_all(regexp_replace(s, '^\s*[A-Za-z_][A-Za-z0-9_]* *=([^=])', '\1'), '[A-Za-z_][A-Za-z0-9_]*')), false FROM l) GROUP BY ALL),
+d AS (SELECT *, last_value(CASE WHEN def THEN line END IGNORE NULLS) OVER (PARTITION BY repo, node_id, var ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def_line FROM m)
+SELECT repo, node_id, var, def_line::INT AS def_line, line::INT AS use_line FROM d WHERE use AND def_line IS NOT NULL""")
+def line_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Def-use links between the lines of each function, a line that begins with a name and = taken for its definition."""
+    known = plan.functions(table(spark, sf_dir, "nodes"), code=True).filter("repo is not null and code is not null")
+    lines = known.select("repo", "node_id", F.posexplode(F.split("code", "\r\n|\r|\n")).alias("ix", "s"))
+    defs = F.regexp_extract_all("s", F.lit(r"^\s*([A-Za-z_][A-Za-z0-9_]*) *=[^=]"), F.lit(1))
+    uses = F.regexp_extract_all(F.regexp_replace("s", r"^\s*[A-Za-z_][A-Za-z0-9_]* *=([^=])", "$1"), F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    return code_graph.def_use(lines.select("repo", "node_id", "ix", (F.col("ix") + 1).alias("line"), defs.alias("defs"), uses.alias("uses")), keys=["repo", "node_id"])
+
+
+@query(SEEDS + """, s AS (SELECT instance_id, rank, '  n' || left(md5(node_id), 8) || '[' || chr(34) || split_part(file_path, '/', -1) || '::' || qualname || chr(34) || ']' AS line FROM seeded JOIN reports USING (instance_id) JOIN funcs USING (repo, node_id) WHERE rank <= 8)
+SELECT instance_id, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS drawing FROM s GROUP BY instance_id""")
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the first eight seeds of each report as the nodes of a drawing."""
+    seeds = _seeds(spark, sf_dir).join(_reports(spark, sf_dir).select("instance_id", "repo"), "instance_id")
+    return prompts.drawn(seeds.join(_functions(spark, sf_dir).select("repo", "node_id", "file_path", "qualname"), ["repo", "node_id"]))
