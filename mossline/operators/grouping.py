@@ -14,6 +14,10 @@ from mossline.functions.vectors import unit_mean
 from mossline.runtime import cut
 
 
+#: More centroids than this are not handed to every worker.
+MOST_CENTROIDS = 10_000
+
+
 def cluster_count(n: int, least: int = 5, most: int = 500) -> int:
     """The whole root of n within bounds, but never more than n."""
     return min(n, max(least, min(most, math.isqrt(n))))
@@ -24,8 +28,8 @@ def assign(records: DataFrame, centroids: DataFrame, *, key: str, vector: str, d
 
     centroids: cluster, centroid; at most 500 by the rule above, so they go to every worker.
     """
-    known = sorted((r.cluster, r.centroid) for r in centroids.collect())
-    if len(known) > 10_000:
+    known = sorted((r.cluster, r.centroid) for r in centroids.limit(MOST_CENTROIDS + 1).collect())
+    if len(known) > MOST_CENTROIDS:
         raise ValueError("too many centroids to hand to every worker")
     names, matrix = [c for c, _ in known], np.array([v for _, v in known], dtype=np.float64).reshape(len(known), dimensions)
     rows = records.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == dimensions)
