@@ -3,8 +3,8 @@
 Lines are tokenised into typed tokens: times, levels, names, numbers, bracketed groups, keys, and punctuation as it
 stands. Each partition clusters its lines by the tokens up to the time, wherever it stands, and what is bracketed behind
 it, and reduces a cluster to the longest common subsequence of its members: what all share is constant, what lies between
-is a variable slot, and the first gap is where free text begins. No line is cut before that gap is known. Templates of all
-partitions are merged the same way. A slot is then classified by the types and values that it took: timestamp, level,
+is a variable slot, and the first gap is where free text begins. Lines are compared whole, whatever their length. Templates
+of all partitions are merged the same way. A slot is then classified by the types and values that it took: timestamp, level,
 component, thread or number, message. The few templates that result go with the second pass, which reads entries by them.
 """
 
@@ -15,6 +15,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -50,8 +52,8 @@ TIME = re.compile("|".join(f"(?P<{k}>{v})" for k, v in TIMES.items()))
 #: A line without this has no time; the same condition keeps lines from Python.
 MAY_HAVE_TIME = r"\d\d:\d\d:\d\d|\d{10}"
 HAS_TIME = re.compile(MAY_HAVE_TIME)
-#: Tokens behind the constant part of a template that take part in a common subsequence.
-BEHIND = 8
+#: Bits of a table of common subsequences that are held at once; larger ones are halved, with the same length.
+TABLE_BITS = 1 << 26
 #: Signs in front of a line that mark it as quoted.
 MARKS = (">", "|", "+", "-", "*", "#", "$")
 GAP, SLOTS = "…", ("<name>", "<number>", "<level>", "<group>", "<string>")
@@ -113,51 +115,91 @@ def is_time(symbol: str) -> bool:
     return symbol.strip("[]<>") in TIMES and symbol.startswith(("<", "[<"))
 
 
-def common(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
-    """The common subsequence of two templates, with a gap wherever either has more.
-
-    What both begin with is kept at any length; of what follows, the longest common subsequence of the next tokens.
-    """
-    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or x == GAP), min(len(a), len(b)))
-    head, more = a[:same], len(a) > same + BEHIND or len(b) > same + BEHIND
-    a, b = a[same : same + BEHIND], b[same : same + BEHIND]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] and a[i] != GAP else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = list(head), 0, 0
-
-    def gap() -> None:
-        if not out or out[-1] != GAP:
-            out.append(GAP)
-
-    while i < n and j < m:
-        if a[i] == b[j] and a[i] != GAP:
-            out.append(a[i])
-            i, j = i + 1, j + 1
+def rows_of(a: tuple[str, ...], b: tuple[str, ...]) -> Iterator[int]:
+    """For each beginning of `a`, a number whose bit j is 0 where b[: j + 1] has one more in common with it than b[:j]; gaps are equal to nothing."""
+    places: dict[str, int] = defaultdict(int)
+    for j, symbol in enumerate(b):
+        if symbol != GAP:
+            places[symbol] |= 1 << j
+    row = every = (1 << len(b)) - 1
+    for symbol in a:
+        met = row & places.get(symbol, 0)
+        row = ((row + met) | (row - met)) & every
+        yield row
+
+
+def in_common(row: int, n: int) -> list[int]:
+    """How many symbols each beginning of n symbols, the empty one first, has in common by a row of `rows_of`."""
+    return [0, *accumulate(int(bit == "0") for bit in reversed(f"{row:0{n}b}"))] if n else [0]
+
+
+def matches(a: tuple[str, ...], b: tuple[str, ...]) -> list[tuple[int, int]]:
+    """The positions in both of a longest common subsequence."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half, before, behind = len(a) // 2, 0, 0
+        for before in rows_of(a[:half], b):
+            pass
+        for behind in rows_of(a[half:][::-1], b[::-1]):
+            pass
+        both = [x + y for x, y in zip(in_common(before, len(b)), reversed(in_common(behind, len(b))), strict=True)]
+        at = both.index(max(both))
+        return matches(a[:half], b[:at]) + [(half + i, at + j) for i, j in matches(a[half:], b[at:])]
+    rows, found, i, j = [(1 << len(b)) - 1, *rows_of(a, b)], [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif rows[i - 1] >> (j - 1) & 1:
+            i, j = i - 1, j - 1
+            found.append((i, j))
         else:
-            gap()
-            i, j = (i + 1, j) if best[i + 1][j] >= best[i][j + 1] else (i, j + 1)
-    if i < n or j < m or more:
-        gap()
-    return tuple(out)
+            i -= 1
+    return found[::-1]
+
+
+def common(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
+    """The longest common subsequence of two templates, of which what both begin and end with is part, with a gap wherever either has more."""
+    least = min(len(a), len(b))
+    start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or x == GAP), least)
+    end = next((i for i in range(least - start) if a[-1 - i] != b[-1 - i] or a[-1 - i] == GAP), least - start)
+    between = [(start + i, start + j) for i, j in matches(a[start : len(a) - end], b[start : len(b) - end])]
+    out, i, j = list(a[:start]), start, start
+    for x, y in between:
+        out += [GAP, a[x]] if x > i or y > j else [a[x]]
+        i, j = x + 1, y + 1
+    if i < len(a) - end or j < len(b) - end:
+        out.append(GAP)
+    return (*out, *a[len(a) - end :])
+
+
+@lru_cache(maxsize=1024)
+def blocks(template: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """What stands between a template's gaps, before the first and behind the last."""
+    ends = [i for i, symbol in enumerate(template) if symbol == GAP]
+    return [template[i + 1 : j] for i, j in zip([-1, *ends], [*ends, len(template)], strict=True)]
 
 
 def fits(template: tuple[str, ...], shape: tuple[str, ...]) -> bool:
     """Whether a shape has the template's constants in order and more only at its gaps."""
-    at, free = 0, False
-    for symbol in template:
-        if symbol == GAP:
-            free = True
-            continue
-        if free:
-            while at < len(shape) and shape[at] != symbol:
-                at += 1
-        if at >= len(shape) or shape[at] != symbol:
-            return False
-        at, free = at + 1, False
-    return free or at == len(shape)
+    first, *others = blocks(template)
+    if not others:
+        return shape == first
+    *inner, last = others
+    at, end = len(first), len(shape) - len(last)
+    if at > end or shape[:at] != first or shape[end:] != last:
+        return False
+    for block in inner:
+        while block:
+            try:
+                at = shape.index(block[0], at, end)
+            except ValueError:
+                return False
+            if shape[at : at + len(block)] == block:
+                break
+            at += 1
+        at += len(block)
+    return at <= end
 
 
 @dataclass
@@ -204,45 +246,18 @@ def free_before(symbols: tuple[str, ...]) -> bool:
     return any(s in ("<name>", "<number>") for s in symbols[3 if symbols[:3] == ("<", "<number>", ">") else 0 : at])
 
 
-def head_of(line: str, known: dict[tuple, Template]) -> tuple[tuple[str, ...], list[tuple[str, str]]] | None:
-    """(cluster, tokens) of a line: its symbols up to the time with levels and bracketed groups right behind, and as many
-    tokens as its template needs. None for a line without a time, or that is marked or quotes before the time."""
-    stream, found = token_stream(line), []
-    symbols: list[str] = []
-
-    def take(n: int | None) -> bool:
-        """Reads on to n tokens, or to the end; whether there may be more."""
-        for token in stream:
-            found.append(token)
-            symbols.append(token[0])
-            if n is not None and len(found) >= n:
-                return True
-        return False
-
-    more, at = True, None
-    while more and at is None:
-        more = take(len(found) + 1)
-        if symbols and is_time(symbols[-1]):
-            at = len(symbols) - 1
-        elif symbols and symbols[-1] == "<string>":
-            return None
-    if at is None or symbols[0] == " " or (symbols[0] in MARKS and symbols[1] == " "):
+def head_of(line: str) -> tuple[tuple[str, ...], list[tuple[str, str]]] | None:
+    """(cluster, tokens) of a line: its symbols up to the time with levels and bracketed groups right behind, and all its
+    tokens. None for a line without a time, or that is marked or quotes before the time."""
+    found = list(token_stream(line))
+    symbols = [s for s, _ in found]
+    at = next((i for i, s in enumerate(symbols) if is_time(s)), None)
+    if at is None or "<string>" in symbols[:at] or symbols[0] == " " or (symbols[0] in MARKS and symbols[1] == " "):
         return None
     start = 3 if symbols[:3] == ["<", "<number>", ">"] else 0
     if ">" in symbols[start:at] or (symbols[at].strip("[]<>") == "epoch" and any(s in ("<name>", "<number>") for s in symbols[start:at])):
         return None
-    end = at + 1
-    while True:
-        more = take(end + 3) if more and len(found) < end + 3 else more
-        further = bracketed_end(symbols, end)
-        if further == end:
-            break
-        end = further
-    key = tuple(symbols[:end])
-    template = known.get(key)
-    if more:
-        take(None if template is None else max(len(found) + 1, len(prefix(template.symbols)) + BEHIND))
-    return key, found
+    return tuple(symbols[: bracketed_end(symbols, at + 1)]), found
 
 
 def time_key(fields: list[tuple[str, str]]) -> str | None:
@@ -272,18 +287,18 @@ def mine(lines: Iterator[str]) -> dict[tuple, Template]:
                 for k, v in fields:
                     template.see(f"{k}=", v)
             continue
-        got = head_of(line, found) if HAS_TIME.search(line) else None
+        got = head_of(line) if HAS_TIME.search(line) else None
         if got is None:
             continue
-        key, head = got
-        shape = tuple(s for s, _ in head)
+        key, tokens = got
+        shape = tuple(s for s, _ in tokens)
         template = found.setdefault(key, Template(shape))
         template.add(shape, 1)
         constant = len(prefix(template.symbols))
-        for i, (s, text) in enumerate(head[:constant]):
+        for i, (s, text) in enumerate(tokens[:constant]):
             if s in SLOTS or s in ("[<level>]", "[<number>]"):
                 template.see(str(i), text)
-        tail = next((i for i in range(len(key), min(len(shape) - 1, constant + BEHIND)) if shape[i] == "<level>" and shape[i + 1] == ":"), None)
+        tail = next((i for i in range(len(key), min(len(shape) - 1, constant + 1)) if shape[i] == "<level>" and shape[i + 1] == ":"), None)
         if tail is not None:
             template.values["\0tail"][str(tail)] += 1
     return found

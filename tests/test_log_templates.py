@@ -119,3 +119,24 @@ def test_too_many_layouts_are_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "MOST_LAYOUTS", 1)
     with pytest.raises(ValueError, match="layouts"):
         entries(spark, [(1, 1, "[10:00:00] [INFO] a"), (1, 2, "10:00:01|I|b|c")])
+
+
+def test_templates_hold_what_all_lines_end_with():
+    text = ["file", "7", "x=1", "a-b", "[old]", "q"]
+    lines = [f"[10:00:{i:02}] [INFO] [vote] {' '.join(text[: i % 5 + 1] * 4)} (3 ms)" for i in range(30)]
+    (found,) = L.mine(iter(lines)).values()
+    assert found.count == 30
+    assert found.symbols[:5] == ("[<clock>]", " ", "[<level>]", " ", "<group>")
+    assert found.symbols[-7:] == (L.GAP, " ", "(", "<number>", " ", "<name>", ")")
+
+
+def test_common_subsequence_is_of_whole_lines(monkeypatch):
+    a, b = ("t", *"abcdefghijkl", ":", *"mn", "!"), ("t", *"opqrstuvwxyz", ":", "!")
+    assert L.common(a, b) == ("t", L.GAP, ":", L.GAP, "!")
+    assert L.fits(("t", L.GAP, ":", "n", L.GAP), ("t", ":", "m", ":", "n"))
+    c, d = tuple("abcabba" * 40), tuple("cbabac" * 50)
+    long = L.common(c, d)
+    monkeypatch.setattr(L, "TABLE_BITS", 64)
+    halved = L.common(c, d)
+    assert L.fits(long, c) and L.fits(long, d) and L.fits(halved, c) and L.fits(halved, d)
+    assert len([x for x in long if x != L.GAP]) == len([x for x in halved if x != L.GAP]) > 150
